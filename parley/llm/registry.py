@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.llm import idfiles, packing, topk
+from parley.llm import decontaminate, idfiles, packing, topk
 
-_MODULES = (packing, idfiles, topk)
+_MODULES = (decontaminate, packing, idfiles, topk)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -150,3 +150,30 @@ def hash_ranges(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def hash_vocab(vocab: pa.Array) -> np.ndarray:
     """A 64-bit hash of each distinct word."""
     return hash_ranges(*raw(vocab))
+
+
+def append_columns(df, text: str, compute, fields):
+    """``df`` with further columns that ``compute(record batch)`` makes from slices of its rows.
+
+    ``fields`` are Spark StructFields; a field whose name ``df`` has already is an error.
+    """
+    from pyspark.sql import types as T
+
+    taken = {n.lower() for n in df.columns} & {f.name.lower() for f in fields}
+    if taken:
+        raise ValueError(f"the table has columns named {sorted(taken)}")
+    schema = T.StructType([*df.schema.fields, *fields])
+    names = schema.names
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=names)
+
+    return df.mapInArrow(task, schema)
+
+
+def sums(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sum of values[doc[i]:doc[i+1]] for each i; 0 for an empty range."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]), values.dtype if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, 0, out=total[1:])
+    return total[doc[1:]] - total[doc[:-1]]
