@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.llm import decontaminate, idfiles, langid, packing, topk, toxicity
+from parley.llm import decontaminate, idfiles, langid, lattice, packing, topk, toxicity
 
-_MODULES = (langid, toxicity, decontaminate, packing, idfiles, topk)
+_MODULES = (langid, toxicity, lattice, decontaminate, packing, idfiles, topk)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
