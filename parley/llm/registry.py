@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.llm import decontaminate, idfiles, langid, lattice, packing, surrogates, topk, toxicity, triejoin
+from parley.llm import decontaminate, idfiles, langid, lattice, packing, repeats, surrogates, topk, toxicity, triejoin
 
-_MODULES = (triejoin, langid, toxicity, lattice, surrogates, decontaminate, packing, idfiles, topk)
+_MODULES = (triejoin, repeats, langid, toxicity, lattice, surrogates, decontaminate, packing, idfiles, topk)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
