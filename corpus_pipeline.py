@@ -1,5 +1,78 @@
-"""Stages of the corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, packing.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs.  Every stage but the last returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm.decontaminate import find_contamination, is_contaminated
+from parley.llm.packing import packed_documents
+from parley.llm.store import documents, written
+from parley.llm.surrogates import replace_entities
+from parley.llm.toxicity import score_toxicity, trained_for
+from parley.llm.triejoin import near_duplicates
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under a half; the model learns from the labels of what is here."""
+    scored = score_toxicity(docs, trained_for(spark, docs, sf_dir), prefix="__toxic_")
+    return scored.where(F.col("__toxic_score") < 0.5).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays; rows without an id stay.
+
+    Rows that repeat both id and text are one document.
+    """
+    found = near_duplicates(docs).select("doc_id", "component_id")
+    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contamination rule clears."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), prefix="__bench_")
+    return found.where(~is_contaminated("__bench_")).select(docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with surrogates in their texts, and their lengths."""
+    done = replace_entities(docs)
+    if "n_chars" in done.columns:
+        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return done.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("surrogates", replace_personal_data),
+    ("packing", pack),
+]
+#: A trained classifier and a tokenizer are beyond SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, name)
+    return docs
