@@ -93,8 +93,9 @@ def split_words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE, lut
     inner = offs[:-1][offs[:-1] < len(data)]
     first[inner] = keep[inner]
     starts = np.flatnonzero(first)
-    before = np.cumsum(keep, dtype=np.int64)
-    woffs = np.append(before[starts] - 1, before[-1] if len(before) else 0) if len(starts) else np.zeros(1, np.int64)
+    woffs = np.zeros(len(starts) + 1, np.int64)
+    if len(starts):  # the kept bytes from one start to the next are its word
+        np.cumsum(np.add.reduceat(keep.view(np.uint8), starts, dtype=np.int64), out=woffs[1:])
     coded = binary(data[keep], woffs).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False) if len(starts) else np.zeros(0, np.int32)
     return Words(codes, np.searchsorted(starts, offs), coded.dictionary, starts, np.diff(woffs))
@@ -147,6 +148,16 @@ def hash_ranges(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
+def extend_hash(grown: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    """From sums over n-1 bytes at each place to sums over n; ``finish_hash`` makes them ``hash_ranges`` values."""
+    with np.errstate(over="ignore"):
+        return grown + (data[n - 1 : n - 1 + len(grown)].astype(np.uint64) + np.uint64(1)) * _powers(n)[n - 1]
+
+
+def finish_hash(grown: np.ndarray, n: int) -> np.ndarray:
+    return mix64(np.uint64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) ^ mix64(grown))
+
+
 def hash_vocab(vocab: pa.Array) -> np.ndarray:
     """A 64-bit hash of each distinct word."""
     return hash_ranges(*raw(vocab))

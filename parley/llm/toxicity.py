@@ -33,7 +33,7 @@ from parley.llm.store import documents, fold
 from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_ranges, raw, split_words, sums
 
 #: Labelled rows that training may gather: the documented bound of the sample.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 4000
 BUCKETS = 1 << 18
 SEED = 11
 WINDOW = 12
@@ -178,10 +178,11 @@ def train(texts: list[str], toxic: list[int], rounds: int = 60) -> ToxicityModel
     rng = np.random.default_rng(SEED)
     w = split_words(*raw(pa.array(texts, pa.large_string())), NON_ALNUM)
     doc = np.repeat(np.arange(len(y)), w.counts)
-    tag = toxic_words(w, y)[w.codes] & (y[doc] == 1)
-    hits = np.flatnonzero(toxic_words(w, y)[w.codes])
+    marks = toxic_words(w, y)[w.codes]
+    tag = marks & (y[doc] == 1)
+    hits = np.flatnonzero(marks)
     centre = np.concatenate((hits, rng.integers(0, max(1, len(doc)), 3 * len(y)))) if len(doc) else np.zeros(0, np.int64)
-    centre = centre[rng.permutation(len(centre))[:30_000]]
+    centre = centre[rng.permutation(len(centre))[:20_000]]
     start = np.maximum(centre - WINDOW, w.doc[doc[centre]]) if len(centre) else centre
     stop = np.minimum(centre + WINDOW + 1, w.doc[doc[centre] + 1]) if len(centre) else centre
     width = 2 * WINDOW + 1
