@@ -78,7 +78,7 @@ def bare_farewell(message: Column, farewells: list[str], courtesy: list[str]) ->
 
 def fact_ids(raw: Column) -> Column:
     """Distinct ids of a ``;`` list, sorted; blanks are left out."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def redact(text: Column, canary: Column) -> Column:

@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Backend(Protocol):
@@ -27,7 +28,7 @@ def _digest(model: str, digest: str, messages: str, options: str, schema: str |
     return hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def prompt_hash(model: pd.Series, digest: pd.Series, messages: pd.Series, options: pd.Series, schema: pd.Series) -> pd.Series:
     """sha256 of the request as JSON with sorted keys; ``messages``, ``options`` and ``schema`` are JSON texts."""
     return pd.Series([_digest(*r) for r in zip(model, digest, messages, options, schema, strict=True)])

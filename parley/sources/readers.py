@@ -105,7 +105,7 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """(name, version, body) of prompt files that begin with a ``Version:`` line."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[a-z]+$", 1).alias("name"), "value")
-    return files.select("name", F.regexp_extract("value", r"^Version:\s*([0-9]+)", 1).try_cast("int").alias("version"), F.trim(F.regexp_replace("value", r"^Version:[^\n]*\n", "")).alias("body"))
+    return files.select("name", F.regexp_extract("value", r"^Version:\s*([0-9]+)", 1).try_cast("int").alias("version"), F.regexp_replace(F.regexp_replace("value", r"^Version:[^\n]*\n", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def sha256_sums(spark: SparkSession, path: str) -> DataFrame:

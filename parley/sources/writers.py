@@ -20,7 +20,7 @@ def csv_table(df: DataFrame, path: str, columns: list[str], order: list[str] | N
     kinds = dict(df.dtypes)
     cells = [F.initcap(F.col(c).cast("string")).alias(c) if kinds[c] == "boolean" else F.concat_ws(" ", c).alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns]
     out = df.orderBy(*order) if order else df
-    out.select(*cells).coalesce(1).write.options(header=True, nullValue="", emptyValue="").csv(path)
+    out.select(*cells).coalesce(1).write.options(header=True, nullValue="", emptyValue="", escape='"').csv(path)
 
 
 def json_lines(df: DataFrame, path: str, partition: str | None = None) -> None:
