@@ -34,6 +34,8 @@ BUCKETS = 1 << 16
 DIM = 16
 SIZES = (2, 3, 4, 5)
 SEED = 7
+#: The least number of gradient steps.
+STEPS = 600
 
 
 def subword_sums(vocab: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +168,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 3.
         mean = sums(table[b], np.concatenate(([0], np.cumsum(many[:, 0])))) / np.maximum(many, 1)
         return b, of, many, mean, mean @ out.T + bias
 
-    steps, total = 0, max(1, epochs * -(-len(fit) // batch))
+    each = max(1, -(-len(fit) // batch))
+    epochs = max(epochs, -(-STEPS // each))  # a small sample is gone over more often
+    steps, total = 0, epochs * each
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(fit)), -(-len(fit) // batch)):
+        for part in np.array_split(rng.permutation(len(fit)), each):
             own = [fit[i] for i in part]
             b, of, many, mean, z = forward(own)
             g = softmax(z)
