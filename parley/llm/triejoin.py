@@ -15,6 +15,9 @@
    trie.  Each set is matched against all others at once: common paths share
    their overlap, and a subtree is left when even all that remains can't reach
    the threshold, or when all of it is linked to the set already.
+   A group of more than ``GROUP`` sets is thinned before, by tasks that each see a
+   part of it: sets near a pivot are tied to it, and as Jaccard distance is a
+   metric, only those tied sets go on that a set beyond the pivot's reach may link.
 
 Defined results: null texts and texts without words have an empty set, which
 links with nothing; fewer than five words are one shingle; repeated rows link;
@@ -42,6 +45,11 @@ SIZE = 5
 NUM, DEN = 75, 100
 #: A shingle of so large a share of documents counts as frequent: at most SIZE-word sets / share of them exist.
 FREQUENT = 256
+#: Candidate groups of more sets are thinned by pivots before one task takes them.
+GROUP = 1000
+ROUNDS = 8
+#: Bytes of text that are cut into shingles at once.
+SLICE = 8 << 20
 
 
 def document_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +90,7 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
     schema = f"kind int, `{key}` {kind}, n long, a long, b long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             hashes, offs = document_sets(part.column(text))
             d = digests(hashes, offs).view(np.int64)
             n = np.diff(offs)
@@ -114,7 +122,7 @@ def _sent(docs: DataFrame, text: str, buckets: int, frequent) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         hot_keys, hot_count = frequent.value
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             hashes, offs = document_sets(part.column(text))
             d = digests(hashes, offs)
             n = np.diff(offs)
@@ -218,105 +226,99 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), take))], names=["key", "set"])
 
 
-class _Node:
-    __slots__ = ("children", "least_n", "leaves", "most", "one", "tokens")
-
-    def __init__(self, tokens: np.ndarray) -> None:
-        self.tokens = tokens
-        self.children: list[_Node] = []
-        self.leaves: list[int] = []
-        self.least_n = 1 << 62
-        self.most = 0
-        self.one = -1
-
-
 class Trie:
-    """Sets as ascending rank sequences; links by matching one set against the whole tree."""
+    """Sets as ascending rank sequences in a path-compressed trie, held in arrays.
+
+    The sets of a subtree are a run of the sorted sequences.  ``match`` walks the
+    tree level by level for one set: nodes share the overlap of their paths, and
+    leave the walk when their bound is too small or their run is linked already.
+    """
 
     def __init__(self, seqs: list[np.ndarray], n: list[int]) -> None:
-        self.seqs, self.n = seqs, n
-        self.parent = list(range(len(seqs)))
-        self.links = [0] * len(seqs)
-        order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes())
-        self.root = self._build(order)
-
-    def _build(self, order: list[int]) -> _Node:
-        root = _Node(np.zeros(0, np.int64))
-        stack = [(root, order, 0)]
-        made = [root]
-        while stack:
-            node, group, depth = stack.pop()
-            while group and len(self.seqs[group[0]]) == depth:
-                node.leaves.append(group[0])
-                group = group[1:]
-            lo = 0
-            while lo < len(group):
-                head = self.seqs[group[lo]][depth]
-                hi = lo + 1
-                while hi < len(group) and self.seqs[group[hi]][depth] == head:
-                    hi += 1
-                first, last = self.seqs[group[lo]], self.seqs[group[hi - 1]]
-                m = min(len(first), len(last))
-                differ = np.flatnonzero(first[depth:m] != last[depth:m])
-                end = depth + int(differ[0]) if len(differ) else m
-                child = _Node(first[depth:end])
-                node.children.append(child)
-                made.append(child)
-                stack.append((child, group[lo:hi], end))
-                lo = hi
-        for node in reversed(made):  # children are made after their parent
-            node.least_n = min([self.n[i] for i in node.leaves] + [c.least_n for c in node.children], default=1 << 62)
-            node.most = max([c.most + len(c.tokens) for c in node.children], default=0)
-            if len(node.leaves) + len(node.children) == 1:
-                node.one = node.leaves[0] if node.leaves else node.children[0].one
-        return root
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def _union(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
+        self.order = np.array(sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes()), np.int64)
+        self.seqs = [seqs[i] for i in self.order]
+        self.n = np.array(n, np.int64)[self.order]
+        self.comp = self.order.copy()  # the smallest set linked, by place in sorted order
+        parent, depth, lo, hi, ends = [-1], [0], [0], [len(seqs)], np.zeros(len(seqs), np.int64)
+        stack = [0]
+        for i, s in enumerate(self.seqs):
+            common = 0
+            if i:
+                before = self.seqs[i - 1]
+                m = min(len(before), len(s))
+                differ = np.flatnonzero(before[:m] != s[:m])
+                common = int(differ[0]) if len(differ) else m
+            last = -1
+            while depth[stack[-1]] > common:
+                last = stack.pop()
+                hi[last] = i
+            if depth[stack[-1]] < common:  # the path parts inside an edge
+                parent.append(stack[-1])
+                depth.append(common)
+                lo.append(lo[last])
+                hi.append(-1)
+                parent[last] = len(depth) - 1
+                stack.append(parent[last])
+            if len(s) > common:
+                parent.append(stack[-1])
+                depth.append(len(s))
+                lo.append(i)
+                hi.append(-1)
+                stack.append(len(depth) - 1)
+            ends[i] = stack[-1]
+        for node in stack:
+            hi[node] = len(seqs)
+        self.lo, self.hi = np.array(lo), np.array(hi)
+        depth, parent = np.array(depth), np.array(parent)
+        edges = [self.seqs[a][d:e] for a, d, e in zip(lo[1:], depth[parent[1:]], depth[1:], strict=True)]
+        self.tokens = np.concatenate([np.zeros(0, np.int64), *edges])
+        self.edge = np.concatenate(([0, 0], np.cumsum([len(e) for e in edges]))).astype(np.int64)
+        self.last = np.array([-1] + [int(e[-1]) for e in edges])
+        size = np.array([len(s) for s in self.seqs])
+        self.least_n = np.array([self.n[a:b].min(initial=1 << 60) for a, b in zip(lo, hi, strict=True)])
+        self.most = np.array([size[a:b].max(initial=0) for a, b in zip(lo, hi, strict=True)]) - depth
+        self.child = np.argsort(parent[1:], kind="stable") + 1
+        self.child_at = np.searchsorted(parent[self.child], np.arange(len(depth) + 1))
+        self.ending = np.argsort(ends, kind="stable")
+        self.ending_at = np.searchsorted(ends[self.ending], np.arange(len(depth) + 1))
 
     def match(self, x: int, inside: np.ndarray) -> None:
-        """Link x with every set of another component that is near enough."""
-        seq, nx = self.seqs[x], self.n[x]
-        inside[seq] = True
-        stack: list = [(self.root, 0, False)]
-        while stack:
-            node, overlap, seen = stack.pop()
-            if seen:  # all below was matched: is it one component by now?
-                parts = [*node.leaves, *(c.one for c in node.children)]
-                if all(p >= 0 for p in parts):
-                    top = self.find(parts[0])
-                    node.one = top if all(self.find(p) == top for p in parts) else -1
-                continue
-            if node.one >= 0 and self.find(node.one) == self.find(x):
-                continue
-            if len(node.tokens):
-                overlap += int(inside[node.tokens].sum())
-                left = len(seq) - int(np.searchsorted(seq, node.tokens[-1], "right"))
-            else:
-                left = len(seq)
-            if (NUM + DEN) * (overlap + min(left, node.most)) < NUM * (nx + node.least_n):
-                continue
-            for leaf in node.leaves:
-                if (NUM + DEN) * overlap >= NUM * (nx + self.n[leaf]):
-                    self._union(x, leaf)
-            stack.append((node, overlap, True))
-            stack.extend((c, overlap, False) for c in node.children)
-        inside[seq] = False
-
-    def join(self) -> list[int]:
+        """Link the x-th sorted set with every set of another component that is near enough."""
+        seq, nx, own = self.seqs[x], self.n[x], self.comp[x]
+        inside[seq] = 1
+        shared = np.concatenate((np.zeros(1, np.int64), np.cumsum(inside[self.tokens])))
+        inside[seq] = 0
+        changes = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.comp[1:] != self.comp[:-1])))
+        node, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        found = []
+        while len(node):
+            linked = (changes[self.hi[node] - 1] == changes[self.lo[node]]) & (self.comp[self.lo[node]] == own)
+            left = len(seq) - np.searchsorted(seq, self.last[node], "right")
+            can = (NUM + DEN) * (overlap + np.minimum(left, self.most[node])) >= NUM * (nx + self.least_n[node])
+            node, overlap = node[can & ~linked], overlap[can & ~linked]
+            many = self.ending_at[node + 1] - self.ending_at[node]
+            sets = self.ending[concat_ranges(self.ending_at[node], many)]
+            near = (NUM + DEN) * np.repeat(overlap, many) >= NUM * (nx + self.n[sets])
+            found.append(sets[near])
+            many = self.child_at[node + 1] - self.child_at[node]
+            below = self.child[concat_ranges(self.child_at[node], many)]
+            overlap = np.repeat(overlap, many) + shared[self.edge[below + 1]] - shared[self.edge[below]]
+            node = below
+        tops = np.unique(np.append(self.comp[np.concatenate(found)], own))
+        if len(tops) > 1:
+            self.comp[np.isin(self.comp, tops)] = tops[0]
+
+    def join(self) -> np.ndarray:
+        """For each set the smallest set (by place given) that links reach."""
         ranks = 1 + max((int(s[-1]) for s in self.seqs if len(s)), default=0)
-        inside = np.zeros(ranks, bool)
+        inside = np.zeros(ranks, np.int64)
         for x in range(len(self.seqs)):
+            if (self.comp == self.comp[0]).all():
+                break
             self.match(x, inside)
-        return [self.find(i) for i in range(len(self.seqs))]
+        out = np.empty(len(self.seqs), np.int64)
+        out[self.order] = self.comp
+        return out
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -336,6 +338,43 @@ def _joined(table: pa.Table) -> pa.Table:
     return pa.table({"set": table["set"], "top": pa.array(ids[trie.join()], pa.int64())})
 
 
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, component, pivot, distance to the pivot, whether they link), of rows with both sets' shingles."""
+    for batch in batches:
+        rows = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        n, m = rows["n"].to_numpy(), rows["pivot_n"].to_numpy()
+        both = np.zeros(len(n), np.int64)
+        last, held = None, np.zeros(0, np.uint64)
+        for i, (keys, other) in enumerate(zip(rows["keys"].to_pylist(), rows["pivot_keys"].to_pylist(), strict=True)):
+            if other is not last and other != last:
+                last, held = other, np.sort(np.frombuffer(other, np.uint64))
+            own = np.frombuffer(keys, np.uint64)
+            at = np.minimum(np.searchsorted(held, own), max(0, len(held) - 1))
+            both[i] = int((held[at] == own).sum()) if len(held) else 0
+        far = 1 - both / (n + m - both)
+        linked = (NUM + DEN) * both >= NUM * (n + m)
+        yield pa.RecordBatch.from_arrays([rows["set"], rows["component"], rows["pivot"], pa.array(far), pa.array(linked)], names=["set", "component", "pivot", "far", "linked"])
+
+
+def _thinned(grouped: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(groups that still need a join, ties found on the way): exact, whatever the size of a group."""
+    ties = None
+    for _ in range(ROUNDS):
+        big = grouped.groupBy("component").agg(F.count("*").alias("__many"), F.min_by(F.struct(F.col("set").alias("pivot"), F.col("n").alias("pivot_n"), F.col("keys").alias("pivot_keys")), "set").alias("p")).where(F.col("__many") > GROUP)
+        big = written(big.select("component", "p.*"), "pivots")
+        if big.isEmpty():
+            break
+        seen = written(grouped.join(big, "component").select("set", "component", "n", "keys", "pivot", "pivot_n", "pivot_keys").mapInArrow(_distances, "set long, component long, pivot long, far double, linked boolean"), "distances")
+        found = seen.where("linked AND set <> pivot").select(F.col("set").alias("src"), F.col("pivot").alias("dst"))
+        ties = found if ties is None else ties.unionByName(found)
+        beyond = seen.where("NOT linked").groupBy("component").agg(F.min("far").alias("least"))
+        # A set y beyond reach links a tied x only if their distances to the pivot differ by a quarter at most.
+        again = seen.join(beyond, "component").where((F.col("set") != F.col("pivot")) & (~F.col("linked") | (F.col("far") >= F.col("least") - (1 - NUM / DEN) - 1e-9))).select("set")
+        small = grouped.join(big.select("component"), "component", "left_anti")
+        grouped = written(small.unionByName(grouped.join(again, "set", "left_semi").select(small.columns)), "grouped")
+    return grouped, ties
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the smallest key among all that links reach."""
     spark = docs.sparkSession
@@ -358,8 +397,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     centre = prefix.groupBy("key").agg(F.min("set").alias("centre"), F.count("*").alias("many")).where("many > 1")
     ties = prefix.join(centre, "key").where("set <> centre").select(F.col("set").alias("src"), F.col("centre").alias("dst")).distinct()
     groups = components(ties)
-    grouped = sets.join(groups, sets.set == groups.node).select("set", "n", "keys", "counts", "component")
-    tops = written(grouped.groupBy("component").applyInArrow(_joined, "set long, top long"), "tops")
+    grouped = written(sets.join(groups, sets.set == groups.node).select("set", "n", "keys", "counts", "component"), "grouped")
+    grouped, ties = _thinned(grouped)
+    tops = grouped.groupBy("component").applyInArrow(_joined, "set long, top long")
+    if ties is not None:
+        links = tops.select(F.col("set").alias("src"), F.col("top").alias("dst")).unionByName(ties)
+        tops = components(links).select(F.col("node").alias("set"), F.col("component").alias("top"))
+    tops = written(tops, "tops")
     # Smallest key of a class, then of a component of classes.
     least = members.where("n > 0").groupBy("a", "b", "n").agg(F.min(key).alias("least"))
     linked = sets.join(tops, "set").select("a", "b", "n", "top").join(least, ["a", "b", "n"])

@@ -180,7 +180,9 @@ def removed(texts, n=repeats.LENGTH):
     return out
 
 
-def test_repeats_equal_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_repeats_equal_brute_force(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(9)
     passage = prose(70, 77)
     more = [prose(r.randint(0, 40), 50 + i) + passage[r.randint(0, 60) : len(passage) - r.randint(0, 60)] + prose(r.randint(0, 40), 90 + i) for i in range(12)]
@@ -429,8 +431,10 @@ def test_near_duplicates_equal_brute_force(spark, empty):
     assert triejoin.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_with_frequent_shingles(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1000, 3])
+def test_near_duplicates_with_frequent_shingles(spark, monkeypatch, group):
     monkeypatch.setattr(triejoin, "FREQUENT", 4)
+    monkeypatch.setattr(triejoin, "GROUP", group)
     texts = variants() * 2
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in triejoin.near_duplicates(df).collect()}
