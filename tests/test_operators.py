@@ -196,3 +196,31 @@ def test_calls(spark):
     r = calls.caller_stats(df, "caller", "p", "o", "s", "c").first()
     assert (r["n"], r["mean_prompt_tokens"], r["mean_latency_s"]) == (2, 15.0, 2.0)
     assert calls.run_hours(36.0, 100, 1, 1) == 1.0
+
+
+def test_machine(spark):
+    from parley.operators.machine import Machine, holds, run
+
+    m = Machine("start", [("identify", "start", "collect", "known"), ("finish", "collect", "done", None), ("farewell", "*", "end", None)], ["start", "collect", "done", "end"], {"order": "AB-[0-9]+", "mail": "[a-z]+@[a-z]+"}, {"known": holds(["order"]), "full": holds(["order", "mail"])}, [("collect", "full", "finish", True)], collecting="collect")
+    turns = [("hi", "identify", None), ("it is AB-1", "identify", "refund"), ("mail x@y", None, None), ("bye thanks", None, None)]
+    row = spark.createDataFrame([(turns,)], "t array<struct<message:string,event:string,intent:string>>").select(run(F.col("t"), m).alias("r")).first()["r"]
+    assert row["state"] == "end" and row["intent"] == "refund" and row["held"] == {"order": "AB-1", "mail": "x@y"}
+    assert [(t["turn"], t["source"], t["dest"], t["event"], t["valid"], t["blocked_by_guard"], t["fired_by"]) for t in row["transitions"]] == [(1, "start", "start", "identify", False, True, "user"), (2, "start", "collect", "identify", True, False, "user"), (3, "collect", "done", "finish", True, False, "auto"), (4, "done", "end", "farewell", True, False, "user")]
+
+
+def test_checks(spark):
+    from parley.operators import checks
+
+    plan = spark.createDataFrame([("U1",), ("U1",), ("U9",), (None,)], "u string")
+    ids = spark.createDataFrame([("U1",), ("U2",)], "id string")
+    assert {tuple(r) for r in checks.coverage(plan, "u", ids, "id").collect()} == {("U1", "repeated"), ("U2", "missing"), ("U9", "unknown")}
+    with pytest.raises(ValueError):
+        checks.select_listed(ids, spark.createDataFrame([("U3",)], "id string"), "id")
+    logs = spark.createDataFrame([("d", [("a",), ("b",)], ["x", "y"])], "k string, records array<struct<state_after:string>>, labels array<string>")
+    assert [tuple(r) for r in checks.labelled_turns(logs, "records", "labels", ["k"]).collect()] == [("d", 1, "x", "a"), ("d", 2, "y", "b")]
+    cells_ = spark.createDataFrame([("edge", 1, ["a", "b", "c", "d", "e"]), ("edge", 2, ["f"])], "category string, cell int, slots array<string>")
+    assert [(r["id"], r["slot"]) for r in checks.expand_plan(cells_, "slots").orderBy("id").collect()] == [("edge_01", "a"), ("edge_02", "b"), ("edge_03", "c"), ("edge_04", "d"), ("edge_05", "f"), ("edge_06", "e")]
+    r = spark.createDataFrame([("d", ["F01"]), ("d", ["F01", "F02"])], "k string, fact_ids array<string>")
+    c = spark.createDataFrame([("d", "supported"), ("d", "uncertain"), ("d", "unsupported")], "k string, support string")
+    s = checks.human_scores(r, c, spark.createDataFrame([("d", ["F01", "F03"])], "k string, required array<string>"), "k").first()
+    assert (s["tp"], s["fp"], s["fn"], s["claim_support"]) == (1, 2, 1, 0.5)
