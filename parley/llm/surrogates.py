@@ -36,9 +36,9 @@ PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|password|passwd|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
+    "phone": r"(?<!\+)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\()\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)",
     "name": r"\b(?:Mrs|Mr|Ms|Herr|Frau|Monsieur|Madame|Señora|Señor)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
