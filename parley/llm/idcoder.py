@@ -12,9 +12,9 @@ The model mixes three predictions of the next id:
 * order 0: adaptive counts over ranges of ids, refreshed every few steps.
 
 Each of the first two puts its weight on one id, a weight that follows how often
-it was right lately at its present confidence; the rest goes to order 0.  Sums
-of point masses and range counts have closed-form cumulative frequencies, which
-a 48-bit range coder turns into 16-bit words.
+it was right lately at its present confidence; the rest goes to order 0.  The
+range of a step is shared out in that order, and a 48-bit range coder turns the
+shares into 16-bit words.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMRC1\n"
-BLOCK = 2048
+BLOCK = 1024
 BITS = 24
 TOTAL = 1 << BITS
-BINS = 128
+BINS = 64
 BASE = 1 << 16
-REFRESH = 32
-SLOTS1, SLOTS2 = 1024, 2048
+REFRESH = 64
+SLOTS1, SLOTS2 = 512, 1024
 U = np.uint64
 
 
@@ -84,42 +84,58 @@ class _Lanes:
             self.refresh()
         self.step += 1
         self.h1 = (self.p * 40503 & SLOTS1 - 1) + self.o1
-        self.h2 = ((self.p * 2654435761 + self.pp * 40503 >> 7) & SLOTS2 - 1) + self.o2
+        self.h2 = (self.p * 2654435761 + self.pp * 40503 >> 7 & SLOTS2 - 1) + self.o2
         x1, x2 = self.t1.take(self.h1).astype(np.int64), self.t2.take(self.h2).astype(np.int64)
         self.s1, self.s2 = x1 & 3, x2 & 3
         self.p1, self.p2 = x1 >> 2, x2 >> 2
-        self.i1, self.i2 = self.s1 + self.oa, self.s2 + self.oa
+        self.i1, self.i2 = self.oa + self.s1, self.oa + self.s2
         self.r1, self.r2 = self.a1.take(self.i1), self.a2.take(self.i2)
-        most = TOTAL - (TOTAL >> 5)
-        self.w2 = np.minimum(self.r2, most)
-        self.w1 = np.minimum((TOTAL - self.w2) * (self.r1 >> 8) >> BITS - 8, most - self.w2)
-        self.mult = TOTAL - self.w1 - self.w2 >> 16
+        # Orders 1 and 2 keep a sliver of the range at least, and order 0 a thirty-second.
+        self.w2 = np.maximum(self.r2 - (self.r2 >> 4), 256)
+        w1 = (TOTAL - self.w2) * (self.r1 >> 8) >> BITS - 8
+        self.w12 = np.minimum(self.w2 + np.maximum(w1, 256), TOTAL - (TOTAL >> 5))
+        self.mult = TOTAL - self.w12 >> 16
 
     def low_freq(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of the range that codes each id."""
         b = self.bin_of.take(ids)
         per = self.per.take(b + self.ob)
-        low = (self.cum.take(b + self.oc) + (ids - self.edge_of.take(ids)) * per) * self.mult
-        return low + self.w1 * (ids > self.p1) + self.w2 * (ids > self.p2), per * self.mult + self.w1 * (ids == self.p1) + self.w2 * (ids == self.p2)
+        low = self.w12 + (self.cum.take(b + self.oc) + (ids - self.edge_of.take(ids)) * per) * self.mult
+        freq = per * self.mult
+        self.hit2 = ids == self.p2
+        self.hit1 = (ids == self.p1) & ~self.hit2
+        np.copyto(low, self.w2, where=self.hit1)
+        np.copyto(freq, self.w12 - self.w2, where=self.hit1)
+        np.copyto(low, 0, where=self.hit2)
+        np.copyto(freq, self.w2, where=self.hit2)
+        return low, freq
 
     def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose range of cumulative frequency holds ``target``, with that range."""
-        l1, f1 = self.low_freq(self.p1)
-        l2, f2 = self.low_freq(self.p2)
-        in1, in2 = (target >= l1) & (target < l1 + f1), (target >= l2) & (target < l2 + f2)
-        t = (target - self.w1 * (target >= l1 + f1) - self.w2 * (target >= l2 + f2)) // self.mult
-        at = self.oc.copy()
+        """The id whose part of the range holds ``target``, with that part."""
+        ids = np.where(target < self.w2, self.p2, self.p1)
+        low = np.where(target < self.w2, 0, self.w2)
+        freq = np.where(target < self.w2, self.w2, self.w12 - self.w2)
+        rest = np.flatnonzero(target >= self.w12)
+        mult, base = self.mult[rest], self.w12[rest]
+        t = ((target[rest] - base).astype(np.float64) / mult).astype(np.int64)
+        at = self.oc[rest]
+        first = at
         for half in _HALVES:
-            at += half * (self.cum.take(at + half) <= t)
-        b = at - self.oc
-        ids = self.edges.take(b) + np.minimum((t - self.cum.take(at)) // self.per.take(b + self.ob), self.width.take(b) - 1)
-        ids[in1] = self.p1[in1]
-        ids[in2] = self.p2[in2]
-        low, freq = self.low_freq(ids)
+            at = at + half * (self.cum.take(at + half) <= t)
+        b = at - first
+        start, per = self.cum.take(at), self.per.take(b + self.ob[rest])
+        k = np.minimum(((t - start).astype(np.float64) / per).astype(np.int64), self.width.take(b) - 1)
+        ids[rest] = self.edges.take(b) + k
+        low[rest] = base + (start + k * per) * mult
+        freq[rest] = per * mult
+        self.hit2 = ids == self.p2
+        self.hit1 = (ids == self.p1) & ~self.hit2
         return ids, low, freq
 
     def learn(self, ids: np.ndarray) -> None:
-        for a, r, i, s, t, h, p in ((self.a1, self.r1, self.i1, self.s1, self.t1, self.h1, self.p1), (self.a2, self.r2, self.i2, self.s2, self.t2, self.h2, self.p2)):
-            hit = p == ids
+        """Weights and predictions follow what came; order 1 learns as well where order 2 spoke first."""
+        hit1 = self.hit1 | self.hit2 & (self.p1 == self.p2)
+        for a, r, i, s, t, h, p, hit in ((self.a1, self.r1, self.i1, self.s1, self.t1, self.h1, self.p1, hit1), (self.a2, self.r2, self.i2, self.s2, self.t2, self.h2, self.p2, self.hit2)):
             a[i] = r + ((hit * TOTAL - r) >> 5)
             t[h] = _NEXT.take(s + 4 * hit) + 4 * np.where(hit | (s > 2), p, ids)
         self.count[self.bin_of.take(ids) + self.ob] += 24

@@ -21,7 +21,12 @@ suffixes at places where a repeat can be matter; so the order is sparse:
    merge of the bytes before the anchors (backwards) gives the longest common
    left context; with the interval's depth it makes a repeat of at least ``LENGTH``.
 
-Equality of surroundings is by 64-bit hash over their bytes, all else by bytes.
+An anchor that more than ``HOT`` places share would gather in one reducer.  The
+strings around such anchors are told apart by their own hashes instead, one for
+each start, through the same exchange, where a string comes once per slice.
+
+Equality of surroundings, and of strings at hot anchors, is by 64-bit hash over
+their bytes, all else by bytes.
 
 Defined results: null and empty texts have no bytes; copies remove each other; a
 text shorter than ``LENGTH`` is kept; keys may repeat, rows are judged one by one;
@@ -48,7 +53,9 @@ LENGTH = 200
 GRAM = 40
 SPAN = LENGTH - GRAM + 1
 LEFT, RIGHT = LENGTH - GRAM, LENGTH
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Places that may share an anchor before its strings are hashed one by one.
+HOT = 10_000
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 1 << 64)
 
@@ -96,7 +103,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lo, hi = np.maximum(at - LEFT, offs[doc]), np.minimum(at + RIGHT, offs[doc + 1])
     with np.errstate(over="ignore"):
         around = (total[hi] - total[lo]) * back[lo] ^ mix64(((at - lo) * 1024 + (hi - at)).astype(np.uint64))
-    return at, h[at], mix64(around)
+    # Anchors are smallest hashes, hence small; mixed again they fill the hash space evenly.
+    return at, mix64(h[at]), mix64(around)
 
 
 _BLOCKS = "block long, ids binary, offs binary, data binary, at binary, anchor binary, around binary"
@@ -132,34 +140,80 @@ def _ask(buckets: int):
         for batch in batches:
             for block, anchor, around in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys, counts = np.unique(np.concatenate((np.frombuffer(anchor, np.uint64), np.frombuffer(around, np.uint64))), return_counts=True)
-                cut = _cuts(keys, buckets)
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(full), block), pa.int64()), pa.array(full, pa.int32()), pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()), pa.array([pack_small(counts[cut[i] : cut[i + 1]]) for i in full], pa.binary())],
-                    names=["block", "bucket", "keys", "counts"],
-                )
+                yield _by_bucket(block, keys, counts, buckets)
 
     return task
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket, to each slice and key: 0 once, 1 again, 2 again and first seen here."""
-    table = table.sort_by("block")
-    keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
-    every, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    counts = np.concatenate([unpack_small(x) for x in table["counts"].to_pylist()])
-    again = np.bincount(place.reshape(-1), counts, len(every)) > 1
-    code = again[place].astype(np.int64)
-    code[first[again]] = 2
-    ends = np.cumsum([len(k) for k in keys])
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "reply": pa.array([pack_small(c) for c in np.split(code, ends[:-1])], pa.binary())})
+def _answerer(hot: int):
+    def answer(table: pa.Table) -> pa.Table:
+        """Of one bucket, to each slice and key: 0 once, 1 again, 2 again and first seen here; 4 more where it is hot."""
+        table = table.sort_by("block")
+        keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
+        every, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        counts = np.concatenate([unpack_small(x) for x in table["counts"].to_pylist()])
+        total = np.bincount(place.reshape(-1), counts, len(every))
+        again = total > 1
+        code = again[place].astype(np.int64)
+        code[first[again]] = 2
+        code += 4 * (total > hot)[place]
+        parts = np.split(code, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "reply": pa.array([pack_small(c) for c in parts], pa.binary()), "hot": pa.array([bool((c > 3).any()) for c in parts])})
+
+    return answer
 
 
 def _replied(anchor: np.ndarray, around: np.ndarray, replies: list) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the anchor recurs, code of its surroundings) for every anchor of a slice."""
+    """(code of the anchor, code of its surroundings without hotness) for every anchor of a slice."""
     keys = np.unique(np.concatenate((anchor, around)))
     code = np.concatenate([unpack_small(r["reply"]) for r in replies]) if replies else np.zeros(0, np.int64)
-    return code[np.searchsorted(keys, anchor)] > 0, code[np.searchsorted(keys, around)]
+    return code[np.searchsorted(keys, anchor)], code[np.searchsorted(keys, around)] % 4
+
+
+def _unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    offs = np.concatenate(([0], np.cumsum(unpack_small(r["offs"]))))
+    return offs, unpack_keys(r["at"]).astype(np.int64), np.frombuffer(r["anchor"], np.uint64), np.frombuffer(r["around"], np.uint64)
+
+
+def _bytes(r: dict) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8)
+
+
+def _hot_strings(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the strings of LENGTH bytes around hot anchors whose surroundings do not recur."""
+    offs, at, anchor, around = _unpacked(r)
+    own, code = _replied(anchor, around, r["replies"])
+    some = at[(own > 3) & (code != 1)]
+    if not len(some):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    data = _bytes(r)
+    doc = np.searchsorted(offs, some, "right") - 1
+    lo = np.maximum(some - LEFT, offs[doc])
+    hi = np.minimum(some, offs[doc + 1] - LENGTH)
+    start = np.unique(concat_ranges(lo, np.maximum(hi - lo + 1, 0)))
+    total, back = _cumulative(data)
+    with np.errstate(over="ignore"):
+        return start, mix64((total[start + LENGTH] - total[start]) * back[start])
+
+
+def _ask_strings(buckets: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                _, h = _hot_strings(r)
+                keys, counts = np.unique(h, return_counts=True)
+                yield _by_bucket(r["block"], keys, counts, buckets)
+
+    return task
+
+
+def _by_bucket(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    cut = _cuts(keys, buckets)
+    full = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(full), block), pa.int64()), pa.array(full, pa.int32()), pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()), pa.array([pack_small(counts[cut[i] : cut[i + 1]]) for i in full], pa.binary())],
+        names=["block", "bucket", "keys", "counts"],
+    )
 
 
 def _padded(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -187,15 +241,15 @@ def _suffixes(buckets: int):
         names = ["block", "bucket", "anchors", "ids", "sizes", "right", "left"]
         for batch in batches:
             for r in batch.to_pylist():
-                offs = np.concatenate(([0], np.cumsum(unpack_small(r["offs"]))))
-                at, anchor, around = unpack_keys(r["at"]).astype(np.int64), np.frombuffer(r["anchor"], np.uint64), np.frombuffer(r["around"], np.uint64)
-                again, code = _replied(anchor, around, r["replies"])
+                offs, at, anchor, around = _unpacked(r)
+                own_code, code = _replied(anchor, around, r["replies"])
+                again = (own_code > 0) & (own_code < 4)
                 first = np.zeros(len(at), bool)
                 first[np.unique(around, return_index=True)[1]] = True
                 some = np.flatnonzero(again & ((code == 0) | ((code == 2) & first)))
                 if not len(some):
                     continue
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8)
+                data = _bytes(r)
                 doc = np.searchsorted(offs, at[some], "right") - 1
                 left = np.minimum(at[some] - offs[doc], LEFT)
                 right = np.minimum(offs[doc + 1] - at[some], RIGHT)
@@ -327,8 +381,7 @@ def _finish(kind: str, key: str, with_text: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                offs = np.concatenate(([0], np.cumsum(unpack_small(r["offs"]))))
-                at, anchor, around = unpack_keys(r["at"]).astype(np.int64), np.frombuffer(r["anchor"], np.uint64), np.frombuffer(r["around"], np.uint64)
+                offs, at, anchor, around = _unpacked(r)
                 _, code = _replied(anchor, around, r["replies"])
                 doc = np.searchsorted(offs, at, "right") - 1
                 whole = code > 0
@@ -341,8 +394,15 @@ def _finish(kind: str, key: str, with_text: bool):
                 delta = np.zeros(int(offs[-1]) + 1, np.int32)
                 np.add.at(delta, at[ok] - reach_l[ok], 1)
                 np.add.at(delta, at[ok] + reach_r[ok], -1)
+                if r.get("strings"):
+                    start, h = _hot_strings(r)
+                    keys = np.unique(h)
+                    again = np.concatenate([unpack_small(x["reply"]) for x in r["strings"]]) % 4 > 0
+                    start = start[again[np.searchsorted(keys, h)]]
+                    np.add.at(delta, start, 1)
+                    np.add.at(delta, start + LENGTH, -1)
                 gone = np.cumsum(delta)[:-1] > 0
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8) if offs[-1] else np.zeros(0, np.uint8)
+                data = _bytes(r) if offs[-1] else np.zeros(0, np.uint8)
                 kept = data[~gone].tobytes()
                 kept_offs = np.concatenate(([0], np.cumsum(~gone)))[offs]
                 start = gone.copy()
@@ -370,12 +430,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     _write_blocks(docs, key, text, f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     asked = blocks.select("block", "anchor", "around").mapInArrow(_ask(buckets), "block long, bucket int, keys binary, counts binary")
-    asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, reply binary").write.option("compression", "zstd").parquet(f"{path}/replies")
-    answers = spark.read.parquet(f"{path}/replies").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
+    answered = "block long, bucket int, reply binary, hot boolean"
+    asked.groupBy("bucket").applyInArrow(_answerer(HOT), answered).write.option("compression", "zstd").parquet(f"{path}/replies")
+    replies = spark.read.parquet(f"{path}/replies")
+    gathered = lambda df, name: df.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias(name))
+    answers = gathered(replies, "replies")
     shards = blocks.drop("ids").join(answers, "block").mapInArrow(_suffixes(buckets), "block long, bucket int, anchors binary, ids binary, sizes binary, right binary, left binary")
     shards.groupBy("bucket").applyInArrow(_merged, "block long, ids binary, reach binary").write.option("compression", "zstd").parquet(f"{path}/found")
     found = spark.read.parquet(f"{path}/found").groupBy("block").agg(F.collect_list(F.struct(F.col("ids"), F.col("reach"))).alias("found"))
     ready = blocks.join(answers, "block", "left").join(found, "block", "left")
+    if not replies.where("hot").isEmpty():
+        strings = blocks.drop("ids").join(answers, "block").mapInArrow(_ask_strings(buckets), "block long, bucket int, keys binary, counts binary")
+        strings.groupBy("bucket").applyInArrow(_answerer(HOT), answered).write.option("compression", "zstd").parquet(f"{path}/strings")
+        ready = ready.join(gathered(spark.read.parquet(f"{path}/strings"), "strings"), "block", "left")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return ready.mapInArrow(_finish(kind, key, with_text), schema)
