@@ -378,7 +378,8 @@ def _thinned(grouped: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the smallest key among all that links reach."""
     spark = docs.sparkSession
-    parts = max(1, docs.rdd.getNumPartitions())
+    # Ranges of the hash space: three for each input partition, so that a reducer holds a third of one's shingles.
+    parts = max(8, 3 * docs.rdd.getNumPartitions())
     seen = written(_members(docs, key, text), "members")
     members = seen.where("kind = 0").drop("kind")
     total = members.count()
