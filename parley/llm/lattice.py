@@ -369,19 +369,13 @@ def _score_block(batch: pa.RecordBatch, row: int, key: str, model: Corpus, path:
     below = model.tokens + 0.1 * (model.distinct + 1)
     base = np.log10((count + 0.1) / below)
     base_end = math.log10((ends + 0.1) / below)
-    # Spelling matters where the word is rare; for the others it is far below the count.
-    rare = np.flatnonzero(count <= 200)
     p = pieces(path)
-    spelled = np.zeros(len(rare))
-    at = 0
-    for own, part, offs in word_runs(n, data, rare):
-        spelled[at : at + len(own)] = forward(p.spans(part, offs), offs, model.weight) + model.stop
-        at += len(own)
-    word = (1 - model.new) * count / big
-    word[rare] += model.new * np.exp(spelled)
-    log_word = np.log(np.maximum(word, 1e-300))
+    spelled = np.zeros(len(n))
+    for own, part, offs in word_runs(n, data, np.arange(len(n))):
+        spelled[own] = forward(p.spans(part, offs), offs, model.weight) + model.stop
+    word = (1 - model.new) * count / big + model.new * np.exp(spelled)
     # A word too long for a double keeps its log.
-    log_word[rare] = np.where(count[rare] == 0, math.log(model.new) + spelled, log_word[rare])
+    log_word = np.where(count == 0, math.log(model.new) + spelled, np.log(np.maximum(word, 1e-300)))
     # Cache: how often the word came before in its document.
     docs = np.repeat(np.arange(len(doc) - 1), np.diff(doc))
     place = np.arange(len(codes)) - doc[:-1][docs]

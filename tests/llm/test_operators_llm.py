@@ -284,6 +284,22 @@ def test_lattice_base_and_probability(spark, docs, empty):
     assert lattice.score_documents(empty, train).count() == 0
 
 
+@pytest.mark.parametrize("count", [0, 200, 201, 5000])
+def test_lattice_spells_words_of_any_count(count):
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    p = lattice.Pieces(path)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as out:
+        out.write_batch(pa.record_batch([pa.array([1])], names=["doc_id"]))
+    block = {"keys": sink.getvalue().to_pybytes(), "doc": np.array([0, 1]).tobytes(), "codes": lattice.pack_small(np.array([0]))}
+    block |= {"replies": [{"bucket": 0, "reply": lattice.pack_small(np.array([7, count]))}], "offs": lattice.pack_small(np.array([2])), "data": b"th"}
+    model = lattice.Corpus(1_000_000, 1000, 0.1, p.first + math.log(0.6), math.log(0.4))
+    got = lattice._score_block(pa.RecordBatch.from_pylist([block]), 0, "doc_id", model, path, 0.3).to_pylist()[0]
+    spelled = math.exp(lattice.forward(p.spans(np.frombuffer(b"th", np.uint8), np.array([0, 2])), np.array([0, 2]), model.weight)[0] + model.stop)
+    want = math.log10(0.9 * count / 1e6 + 0.1 * spelled) + math.log10(0.7) + math.log10(0.9 * 7 / 1e6)
+    assert got["score"] == pytest.approx(want, rel=1e-9)
+
+
 def test_forward_equals_enumeration():
     p = lattice.Pieces(tokens.vocabulary("byte_bpe_50k.json"))
     names = ["thing", "é", "aab"]
