@@ -2,8 +2,8 @@
 
 A token (a word, or the end of a document) is spelled by every segmentation of
 its bytes into pieces of an existing vocabulary, closed by an end-of-word piece.
-The pieces' weights start from the vocabulary's own scores (its order of merges)
-and are re-estimated from the corpus by expected use, ``ROUNDS`` times.  Two more arcs span a whole token: its
+The pieces' weights start from the vocabulary's own scores (by rank, as a file of
+merges has no others) and are re-estimated from the corpus by expected use, ``ROUNDS`` times.  Two more arcs span a whole token: its
 corpus count, and a cache of the document's earlier tokens.  A forward recursion
 in log space sums all paths, so the score is a marginal over segmentations.
 
@@ -16,6 +16,8 @@ the mass of unseen words; the subword part spells any byte string.
 Counts follow the corpus: each slice of documents sends its distinct words, by
 range of their hash, to reducers that add the counts up and answer every slice;
 hot words come once per slice, and no task or driver holds the whole vocabulary.
+A reducer also keeps each distinct word of the training documents once, of any
+length: from these the weights are re-estimated, so they don't depend on slices.
 
 Defined results: a null or empty text is its end token alone; a null key is held
 out of nothing (its fold is null: not trained on, not held out); repeated rows
@@ -26,6 +28,7 @@ unknown; other columns are ignored.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,12 +42,13 @@ from pyspark.sql import functions as F
 from parley.llm.blobs import pack_keys, pack_small, unpack_keys, unpack_small
 from parley.llm.langid import held_out
 from parley.llm.store import documents, fold, scratch
-from parley.llm.textcols import concat_ranges, extend_hash, finish_hash, hash_ranges, raw, slices, split_words, sums
+from parley.llm.textcols import concat_ranges, finish_hash, grow_hash, hash_ranges, raw, slices, split_words, sums
 from parley.llm.tokens import load, vocabulary
 
 #: The end of a document, as a key among the words' hashes.
 END = np.uint64(0)
-MAX_PIECE = 12
+#: No piece is left out for its length.
+MAX_PIECE = sys.maxsize
 CACHE_SHARE = 0.3
 #: Re-estimations of the piece weights.
 ROUNDS = 2
@@ -73,24 +77,33 @@ class Pieces:
         #: The vocabulary's own scores: weights fall with the rank of a piece.
         weight = 1.0 / (100.0 + np.array([found[x] for x in names], float)[order])
         self.first = np.log(weight / weight.sum())
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        whole = dict(zip(names, place.tolist(), strict=True))
+        #: By length: (hashes of the pieces' beginnings, the piece that each is or -1).
+        self.begin = []
+        for n in range(1, max(map(len, names)) + 1):
+            heads = sorted({x[:n] for x in names if len(x) >= n})
+            keys = hash_ranges(np.frombuffer(b"".join(heads), np.uint8), np.arange(len(heads) + 1) * n)
+            by = np.argsort(keys)
+            self.begin.append((keys[by], np.array([whole.get(x, -1) for x in heads])[by]))
 
     def spans(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """By length: (first byte, piece) of every place where a piece stands inside a word."""
         end = np.repeat(offs[1:], np.diff(offs))
         out = []
-        grown = np.zeros(len(data), np.uint64)
-        for n in range(1, MAX_PIECE + 1):
-            m = len(data) - n + 1
-            if m <= 0:
-                break
-            grown = extend_hash(grown[:m], data, n)
-            at = np.flatnonzero(np.arange(n, n + m) <= end[:m])
+        at, grown = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        for n, (heads, piece) in enumerate(self.begin, 1):
+            fits = at + n <= end[at]
+            at = at[fits]
             if not len(at):
                 break
-            keys = finish_hash(grown[at], n)
-            k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            ok = self.keys[k] == keys
-            out.append((at[ok], k[ok]))
+            grown = grow_hash(grown[fits], data[at + (n - 1)], n)
+            keys = finish_hash(grown, n)
+            k = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
+            ok = heads[k] == keys
+            at, grown, k = at[ok], grown[ok], piece[k[ok]]
+            out.append((at[k >= 0], k[k >= 0]))
         return out
 
 
@@ -120,6 +133,33 @@ def _columns(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(offs[-1])) - np.repeat(offs[:-1], n), np.repeat(np.arange(len(n)), n)
 
 
+def _sweep(key: np.ndarray, source: np.ndarray, target: np.ndarray, gain: np.ndarray, mass: np.ndarray) -> None:
+    """Log of the sum of what all arcs carry into each target, in the order of ``key``; a target has one key."""
+    order = np.argsort(key * len(mass) + target)
+    source, target, gain, key = source[order], target[order], gain[order], key[order]
+    first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    last = np.append(first[1:], len(target))
+    step = key[first]
+    bound = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
+    for lo, hi in zip(bound[:-1], bound[1:], strict=True):
+        part = slice(first[lo], last[hi - 1])
+        x = mass[source[part]] + gain[part]
+        at = first[lo:hi] - first[lo]
+        top = np.maximum.reduceat(x, at)
+        safe = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            mass[target[first[lo:hi]]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, last[lo:hi] - first[lo:hi])), at))
+
+
+def _arcs(spans: list, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, byte in the word, source, target, piece) of every span; a word of n bytes has n + 1 places."""
+    col, word = _columns(offs)
+    begin = np.concatenate([at for at, _ in spans])
+    size = np.concatenate([np.full(len(at), i + 1) for i, (at, _) in enumerate(spans)])
+    source = begin + word[begin]
+    return word[begin], col[begin], source, source + size, np.concatenate([k for _, k in spans])
+
+
 def forward(spans: list, offs: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Log of the sum over segmentations of each word's product of piece weights, in log space.
 
@@ -129,63 +169,28 @@ def forward(spans: list, offs: np.ndarray, weight: np.ndarray) -> np.ndarray:
     alpha = np.full(int(offs[-1]) + len(n), -np.inf)
     base = offs[:-1] + np.arange(len(n))
     alpha[base] = 0.0
-    if not spans:
-        return alpha[base + n]
-    col, word = _columns(offs)
-    begin = np.concatenate([at for at, _ in spans])
-    size = np.concatenate([np.full(len(at), i + 1) for i, (at, _) in enumerate(spans)])
-    gain = np.concatenate([weight[k] for _, k in spans])
-    source = begin + word[begin]
-    stop = col[begin] + size
-    order = np.argsort(stop, kind="stable")
-    source, gain, target = source[order], gain[order], (source + size)[order]
-    bound = np.searchsorted(stop[order], np.arange(1, int(stop.max(initial=0)) + 2))
-    for i in range(len(bound) - 1):
-        part = slice(bound[i], bound[i + 1])
-        if bound[i] == bound[i + 1]:
-            continue
-        t = target[part]
-        x = alpha[source[part]] + gain[part]
-        by = np.argsort(t, kind="stable")
-        t, x = t[by], x[by]
-        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        top = np.maximum.reduceat(x, first)
-        many = np.diff(np.append(first, len(t)))
-        safe = np.where(np.isfinite(top), top, 0.0)
-        alpha[t[first]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, many)), first))
+    if spans:
+        _, start, source, target, piece = _arcs(spans, offs)
+        _sweep(start + target - source, source, target, weight[piece], alpha)
     return alpha[base + n]
 
 
 def expected_counts(spans: list, offs: np.ndarray, weight: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece by forward-backward, words counted ``times``."""
+    """Expected uses of each piece by forward-backward in log space, words of any length counted ``times``."""
     n = np.diff(offs)
-    out = np.zeros(len(weight))
     if not spans:
-        return out
+        return np.zeros(len(weight))
     base = offs[:-1] + np.arange(len(n))
-    alpha = np.full(int(offs[-1]) + len(n), 0.0)
-    beta = np.zeros_like(alpha)
-    alpha[base] = 1.0
-    beta[base + n] = 1.0
-    col, word = _columns(offs)
-    begin = np.concatenate([at for at, _ in spans])
-    size = np.concatenate([np.full(len(at), i + 1) for i, (at, _) in enumerate(spans)])
-    piece = np.concatenate([k for _, k in spans])
-    # Weights are scaled per byte so that long words stay within range.
-    gain = np.exp(weight[piece] + 5.0 * size)
-    source = begin + word[begin]
-    stop, start = col[begin] + size, col[begin]
-    for key, a, b, x in ((stop, source, source + size, alpha), (-start, source + size, source, beta)):
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        bound = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
-        for lo, hi in zip(bound[:-1], bound[1:], strict=True):
-            part = order[lo:hi]
-            np.add.at(x, b[part], x[a[part]] * gain[part])
-    z = alpha[base + n]
-    ok = np.isfinite(z) & (z > 0)
-    share = np.where(ok, times / np.where(ok, z, 1.0), 0.0)[word[begin]]
-    return np.bincount(piece, alpha[source] * gain * beta[source + size] * share, len(weight))
+    alpha = np.full(int(offs[-1]) + len(n), -np.inf)
+    beta = alpha.copy()
+    alpha[base] = 0.0
+    beta[base + n] = 0.0
+    word, start, source, target, piece = _arcs(spans, offs)
+    gain = weight[piece]
+    _sweep(start + target - source, source, target, gain, alpha)
+    _sweep(start.max() - start, target, source, gain, beta)
+    share = np.exp(alpha[source] + gain + beta[target] - alpha[base + n][word])
+    return np.bincount(piece, share * times[word], len(weight))
 
 
 @dataclass
@@ -248,12 +253,18 @@ def _counts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, keys, counts): the distinct words of a block by range of their hash."""
+    """(block, bucket, keys, counts, sizes, words): the distinct words of a block by range of their hash, those of training documents spelled out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 hashes, counts, _, docs = _counts(batch, row)
+                n = unpack_small(batch.column(batch.schema.get_field_index("offs"))[row].as_py())
+                data = np.frombuffer(batch.column(batch.schema.get_field_index("data"))[row].as_py(), np.uint8)
+                offs = np.cumsum(n) - n
+                sizes = np.concatenate(([0], np.where(counts > 0, n, 0)))
+                data = data[concat_ranges(offs, sizes[1:])]
+                ends = np.concatenate(([0], np.cumsum(sizes)))
                 keys = np.concatenate(([END], hashes))
                 counts = np.concatenate(([docs], counts))
                 # Ranges of the hash space: bucket = hash * buckets / 2^64.
@@ -266,15 +277,20 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
                         pa.array(full, pa.int32()),
                         pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
                         pa.array([pack_small(counts[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
+                        pa.array([pack_small(sizes[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
+                        pa.array([data[ends[cut[i]] : ends[cut[i + 1]]].tobytes() for i in full], pa.binary()),
                     ],
-                    names=["block", "bucket", "keys", "counts"],
+                    names=["block", "bucket", "keys", "counts", "sizes", "words"],
                 )
 
-    return blocks.select("block", "train", "doc", "codes", "hashes").mapInArrow(task, "block long, bucket int, keys binary, counts binary")
+    return blocks.select("block", "train", "doc", "codes", "hashes", "data", "offs").mapInArrow(task, "block long, bucket int, keys binary, counts binary, sizes binary, words binary")
+
+
+_ANSWER = "block long, bucket int, reply binary, tokens long, distinct long, single long, sizes binary, words binary"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: each block's keys with their counts over the corpus; and the bucket's totals."""
+    """Of one bucket: each block's keys with their counts over the corpus; and the bucket's totals and training words, each once."""
     keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
     counts = [unpack_small(x) for x in table["counts"].to_pylist()]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -283,7 +299,12 @@ def _answer(table: pa.Table) -> pa.Table:
     for k in keys:
         replies.append(pack_small(total[place[at : at + len(k)]]))
         at += len(k)
+    sizes = np.concatenate([unpack_small(x) for x in table["sizes"].to_pylist()])
+    spelled = np.flatnonzero(sizes)
+    own = spelled[np.unique(place[spelled], return_index=True)[1]]
+    words = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8)[concat_ranges((np.cumsum(sizes) - sizes)[own], sizes[own])]
     bucket = table["bucket"][0].as_py()
+    none = [b""] * len(keys)
     return pa.table(
         {
             "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
@@ -292,31 +313,30 @@ def _answer(table: pa.Table) -> pa.Table:
             "tokens": pa.array([0] * len(keys) + [int(total.sum())], pa.int64()),
             "distinct": pa.array([0] * len(keys) + [int((total > 0).sum())], pa.int64()),
             "single": pa.array([0] * len(keys) + [int((total == 1).sum())], pa.int64()),
+            "sizes": pa.array([*none, pack_small(sizes[own])], pa.binary()),
+            "words": pa.array([*none, words.tobytes()], pa.binary()),
         }
     )
 
 
-def _piece_counts(blocks: DataFrame, path: str, weight: np.ndarray) -> np.ndarray:
-    """Expected uses of every piece over the training words of all blocks: a row per task and piece at most."""
-    sent = blocks.sparkSession.sparkContext.broadcast(weight)
+def _piece_counts(words: DataFrame, path: str, weight: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece over the distinct training words: a row per task and piece at most."""
+    sent = words.sparkSession.sparkContext.broadcast(weight)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         out = np.zeros(len(p.keys) + 1)
         for batch in batches:
-            for row in range(batch.num_rows):
-                hashes, counts, _, _ = _counts(batch, row)
-                n = unpack_small(batch.column(batch.schema.get_field_index("offs"))[row].as_py())
-                data = np.frombuffer(batch.column(batch.schema.get_field_index("data"))[row].as_py(), np.uint8)
-                # A word of a slice spells once for its pieces: types, as unseen words are types too.
-                some = np.flatnonzero((counts > 0) & (n <= 64))
-                for own, text, offs in word_runs(n, data, some):
+            for sizes, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = unpack_small(sizes)
+                # A word spells once for its pieces: types, as unseen words are types too.
+                for own, text, offs in word_runs(n, np.frombuffer(data, np.uint8), np.arange(len(n))):
                     out[:-1] += expected_counts(p.spans(text, offs), offs, sent.value, np.ones(len(own)))
-                out[-1] += len(some)
+                out[-1] += len(n)
         used = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out[used])], names=["piece", "uses"])
 
-    rows = blocks.mapInArrow(task, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    rows = words.mapInArrow(task, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
     out = np.zeros(len(pieces(path).keys) + 1)
     out[rows["piece"].to_numpy()] = rows["uses"].to_numpy()
     return out
@@ -333,12 +353,13 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     parts = max(8, 2 * docs.rdd.getNumPartitions())
     _blocks(docs, key, text, f"{at}/blocks", train)
     blocks = spark.read.parquet(f"{at}/blocks")
-    _requests(blocks, parts).groupBy("bucket").applyInArrow(_answer, "block long, bucket int, reply binary, tokens long, distinct long, single long").write.option("compression", "zstd").parquet(f"{at}/replies")
+    _requests(blocks, parts).groupBy("bucket").applyInArrow(_answer, _ANSWER).write.option("compression", "zstd").parquet(f"{at}/replies")
     replies = spark.read.parquet(f"{at}/replies")
     totals = replies.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "single"))).first()
     weight = pieces(vocab).first
+    words = replies.where("block = -1").select("sizes", "words").repartition(parts)
     for _ in range(rounds):
-        uses = _piece_counts(blocks, vocab, weight)
+        uses = _piece_counts(words, vocab, weight)
         smooth = uses[:-1] + 1e-3 * max(1.0, uses[:-1].sum()) * np.exp(pieces(vocab).first)
         weight = np.log(smooth / smooth.sum())
     stop = (uses[-1] + 1.0) / (uses[:-1].sum() + uses[-1] + 2.0)

@@ -148,10 +148,10 @@ def hash_ranges(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
-def extend_hash(grown: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """From sums over n-1 bytes at each place to sums over n; ``finish_hash`` makes them ``hash_ranges`` values."""
+def grow_hash(grown: np.ndarray, byte: np.ndarray, n: int) -> np.ndarray:
+    """From sums over n-1 bytes to sums over n, given each place's n-th byte; ``finish_hash`` makes them ``hash_ranges`` values."""
     with np.errstate(over="ignore"):
-        return grown + (data[n - 1 : n - 1 + len(grown)].astype(np.uint64) + np.uint64(1)) * _powers(n)[n - 1]
+        return grown + (byte.astype(np.uint64) + np.uint64(1)) * _powers(n)[n - 1]
 
 
 def finish_hash(grown: np.ndarray, n: int) -> np.ndarray:

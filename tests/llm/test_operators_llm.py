@@ -300,6 +300,26 @@ def test_lattice_spells_words_of_any_count(count):
     assert got["score"] == pytest.approx(want, rel=1e-9)
 
 
+def test_lattice_does_not_depend_on_slices(spark):
+    rows = [(i, f"{prose(30, i % 7)} {'日本語の文章' * 5}{i % 3} internationalization", "en", "s", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    one, many = ({r["doc_id"]: r["score"] for r in lattice.score_documents(d, F.col("doc_id") % 5 != 0).collect()} for d in (df.coalesce(1), df.repartition(9)))
+    assert one == pytest.approx(many, rel=1e-9)
+
+
+@pytest.mark.parametrize("word", ["日本語の文章" * 6, "\u0394\x01\x02" * 700, "implementation"])
+def test_pieces_of_words_of_any_length_are_counted(word):
+    p = lattice.Pieces(tokens.vocabulary("byte_bpe_50k.json"))
+    data, offs = textcols.raw(pa.array([word]))
+    spans = p.spans(data, offs)
+    uses = lattice.expected_counts(spans, offs, p.first, np.ones(1))
+    size = np.zeros(len(p.keys))
+    for n, (_, k) in enumerate(spans):
+        size[k] = n + 1
+    assert (uses * size).sum() == pytest.approx(len(data))
+    assert word != "implementation" or len(spans[13][0]) == 1
+
+
 def test_forward_equals_enumeration():
     p = lattice.Pieces(tokens.vocabulary("byte_bpe_50k.json"))
     names = ["thing", "é", "aab"]
