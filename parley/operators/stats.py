@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,15 +86,53 @@ def _integers(values: list[float]) -> tuple[list[int], int]:
     return [int(p * den) for p in parts], den
 
 
+#: Draws held at once.
+DRAWS = 1 << 21
+#: Bits of a limb: sums of up to 2^33 limbs fit 64 bits.
+LIMB = 30
+
+
+def _draws(below: int, n: int, n_resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """Rows of ``n`` draws, a bounded number at a time: what ``random.Random(seed)`` gives in ``choice`` and ``randrange``.
+
+    Each takes the top bits of a Mersenne Twister word, again while they are not below.
+    """
+    _, state, _ = random.Random(seed).getstate()
+    words = np.random.RandomState()
+    words.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    held = np.zeros(0, np.uint32)
+    while n_resamples:
+        rows = min(n_resamples, max(1, DRAWS // n))
+        parts, have = [held], len(held)
+        while have < rows * n:
+            got = np.frombuffer(words.bytes(4 * (rows * n - have + 64)), "<u4") >> (32 - below.bit_length())
+            parts.append(got[got < below])
+            have += len(parts[-1])
+        flat = np.concatenate(parts)
+        yield flat[: rows * n].reshape(rows, n)
+        held = flat[rows * n :]
+        n_resamples -= rows
+
+
+def _limbs(ints: list[int]) -> list[np.ndarray]:
+    """Signed limbs, lowest first, whose int64 sums are exact."""
+    top = max((abs(x).bit_length() for x in ints), default=0)
+    return [np.array([(abs(x) >> k & (1 << LIMB) - 1) * (1 if x >= 0 else -1) for x in ints], np.int64) for k in range(0, max(1, top), LIMB)]
+
+
+def _totals(sums: list[np.ndarray]) -> list[int]:
+    return [sum(x << LIMB * k for k, x in enumerate(row)) for row in zip(*(s.tolist() for s in sums), strict=True)]
+
+
 def permutation_two_sided(diffs: list[float], n_resamples: int = N_RESAMPLES, seed: int = SEED) -> float:
     """(extreme + 1) / (B + 1) for the size of the mean under sign flips; sums are exact."""
     ints, den = _integers(diffs)
-    rng, n = random.Random(seed), len(ints)
+    n, limbs = len(ints), _limbs(ints)
     seen = abs(sum(ints)) / (n * den)
     hits = 0
-    for _ in range(n_resamples):
-        total = sum(rng.choice((1, -1)) * x for x in ints)
-        hits += abs(total) / (n * den) >= seen
+    for draws in _draws(2, n, n_resamples, seed):
+        signs = 1 - 2 * draws.astype(np.int64)
+        hits += sum(abs(t) / (n * den) >= seen for t in _totals([signs @ x for x in limbs]))
     return (hits + 1) / (n_resamples + 1)
 
 
@@ -108,8 +147,8 @@ def percentile(ordered: list[float], percent: float) -> float:
 def bootstrap_interval(values: list[float], n_resamples: int = N_RESAMPLES, seed: int = SEED) -> tuple[float, float]:
     """Percentile interval of the mean, 2.5 to 97.5."""
     ints, den = _integers(values)
-    rng, n = random.Random(seed), len(ints)
-    means = sorted(sum(ints[rng.randrange(n)] for _ in range(n)) / (n * den) for _ in range(n_resamples))
+    n, limbs = len(ints), _limbs(ints)
+    means = sorted(t / (n * den) for draws in _draws(n, n, n_resamples, seed) for t in _totals([x[draws].sum(axis=1) for x in limbs]))
     return percentile(means, 2.5), percentile(means, 97.5)
 
 

@@ -137,12 +137,12 @@ def q_wilcoxon_p(spark, sf):
 
 @query()
 def q_permutation(spark, sf):
-    return stats.permutation_p(_pairs(spark, sf), GROUPS, 100)
+    return stats.permutation_p(_pairs(spark, sf), GROUPS)
 
 
 @query()
 def q_bootstrap(spark, sf):
-    return stats.bootstrap_mean_ci(_pairs(spark, sf), GROUPS, 100)
+    return stats.bootstrap_mean_ci(_pairs(spark, sf), GROUPS)
 
 
 CTR = 20
@@ -173,7 +173,7 @@ def q_descriptive(spark, sf):
 
 @query()
 def q_test_table(spark, sf):
-    return tables.tests(e_frame(spark, sf), METRICS, "semantic_primary", METRICS, ["semantic_primary"], n_resamples=50)
+    return tables.tests(e_frame(spark, sf), METRICS, "semantic_primary", METRICS, ["semantic_primary"])
 
 
 @query(f"""WITH {E_SQL}, ss AS (SELECT *, 'overall' AS stratum FROM scores UNION ALL SELECT *, category AS stratum FROM scores),

@@ -2,12 +2,14 @@
 
 import json
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import cells, texts
 from parley.operators import agreement, audit, calls, cases, flow, joins, paired, ranking, replay, sampling, scoring, script, stats
+from parley.plans import registry
 
 
 def one(spark, expr, **values):
@@ -83,6 +85,28 @@ def test_permutation_matches_its_definition(spark):
     assert stats.permutation_p(diffs(spark, [3, 1, 0]), ["metric"], 7).first()["permutation_p"] == (hits + 1) / 8
 
 
+@pytest.mark.parametrize("values", [[0.1, -0.25, 1 / 3, 2.0, 0.0, -1e-12, 7e15], [0.5], [0.1 * (i % 7) - 0.2 for i in range(100)]])
+def test_resamples_equal_plain_draws(values, monkeypatch):
+    monkeypatch.setattr(stats, "DRAWS", 300)
+    exact, n = [Fraction(v) for v in values], len(values)
+    rng, flips = random.Random(42), []
+    for _ in range(50):
+        flips.append(abs(float(sum(x * rng.choice((1, -1)) for x in exact) / n)))
+    assert stats.permutation_two_sided(values, 50) == (sum(f >= abs(float(sum(exact) / n)) for f in flips) + 1) / 51
+    rng = random.Random(42)
+    means = sorted(float(sum(exact[rng.randrange(n)] for _ in range(n)) / n) for _ in range(50))
+    assert stats.bootstrap_interval(values, 50) == (stats.percentile(means, 2.5), stats.percentile(means, 97.5))
+
+
+def test_seeded_queries_draw_all_resamples(monkeypatch):
+    monkeypatch.setattr(registry, "_pairs", lambda *_: None)
+    monkeypatch.setattr(registry, "e_frame", lambda *_: None)
+    for name in ("permutation_p", "bootstrap_mean_ci"):
+        monkeypatch.setattr(stats, name, lambda pairs, groups, n_resamples=stats.N_RESAMPLES: n_resamples)
+    monkeypatch.setattr(registry.tables, "tests", lambda *_, n_resamples=stats.N_RESAMPLES: n_resamples)
+    assert [registry.QUERIES[q](None, "") for q in ("q_permutation", "q_bootstrap", "q_test_table")] == [10_000] * 3
+
+
 def test_bootstrap_bounds():
     low, high = stats.bootstrap_interval([1.0, 2.0, 3.0], 200)
     assert 1 <= low <= high <= 3
