@@ -6,14 +6,18 @@ them occur, so one shingle, the rarest of the corpus, is its necessary prefix:
 documents that lack it cannot hold the window.  The rarity order counts shingles
 over all documents.  A document position with a prefix shingle gives a candidate
 by the shingle's place in the window; length and position bounds keep it inside
-the document; then all words of the item-sized window are compared.
+the document; then the item-sized window is compared, word by word and byte by
+byte.
 
 The windows travel to the tasks in blocks of at most ``BLOCK_BYTES``, a size that
-is measured before; documents pass once per block and are never shuffled.
+is measured before; documents pass twice per block (for the rarity order, and to
+be marked) and are never shuffled.
 
 Defined results: null or empty texts have no words; a null item id can hit words
 but is not listed; repeated items count once; repeated documents are judged each
-by itself; empty tables give no hits; other columns are carried along untouched.
+by itself; a word of any length is one word; empty tables give no hits; other
+columns are carried along untouched, but the added names must be free, else a
+ValueError says so.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm.store import documents
-from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_vocab, mix64, raw, slices, split_words
+from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_vocab, raw, slices, split_words, sums
 
 WINDOW = 13
 SHINGLE = 3
@@ -83,6 +88,8 @@ class WindowIndex:
         self.n = np.array([r["n"] for r in rows], np.int64)
         w = split_words(*raw(pa.array([r["words"] for r in rows], pa.large_string())), NON_ALNUM)
         hashes = hash_vocab(w.vocab)[w.codes]
+        self.vocab, self.codes = w.vocab, w.codes
+        self.code_at = np.concatenate(([0], np.cumsum(self.n)))
         self.words = np.zeros((len(rows), int(self.n.max(initial=1))), np.uint64)
         self.words[np.repeat(np.arange(len(rows)), self.n), concat_ranges(np.zeros(len(rows), np.int64), self.n)] = hashes
         self.item_of = np.array([place[i] for r in rows for i in r["items"]], np.int64)
@@ -103,11 +110,14 @@ class WindowIndex:
         self.all = {size: _Lookup(h) for size, (_, _, h) in self.parts.items()}
         self.prefix: dict = {}
 
-    def order(self, counts: dict[int, dict[int, int]]) -> None:
-        """Take each window's rarest shingle (ties: smaller hash) as its prefix."""
+    def order(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Take each window's rarest shingle (ties: smaller hash) as its prefix; ``counts`` has sorted hashes and their counts by size."""
         for size, (win, at, h) in self.parts.items():
-            seen = counts.get(size, {})
-            df = np.fromiter((seen.get(x, 0) for x in h.view(np.int64).tolist()), np.int64, len(h))
+            seen, many = counts.get(size, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            df = np.zeros(len(h), np.int64)
+            if len(seen):
+                k = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+                df = np.where(seen[k] == h, many[k], 0)
             first = np.lexsort((at, h, df, win))
             first = first[np.unique(win[first], return_index=True)[1]]
             by = first[np.argsort(h[first], kind="stable")]
@@ -131,6 +141,8 @@ class WindowIndex:
                 short = self.n[cand] <= j
                 same = short | (hashes[np.minimum(start + j, len(hashes) - 1)] == self.words[cand, j])
                 start, cand = start[same], cand[same]
+            same = self._equal(w, start, cand)
+            start, cand = start[same], cand[same]
             starts.append(start)
             wins.append(cand)
         if not starts:
@@ -138,6 +150,16 @@ class WindowIndex:
         return np.concatenate(starts), np.concatenate(wins)
 
 
+    def _equal(self, w: Words, start: np.ndarray, cand: np.ndarray) -> np.ndarray:
+        """Whether the words from ``start`` on are those of the window, by their bytes: each pair of words is compared once."""
+        n = self.n[cand]
+        pair = w.codes[concat_ranges(start, n)].astype(np.int64) * max(1, len(self.vocab)) + self.codes[concat_ranges(self.code_at[cand], n)]
+        each, place = np.unique(pair, return_inverse=True)
+        mine, other = np.divmod(each, max(1, len(self.vocab)))
+        ok = pc.equal(w.vocab.take(pa.array(mine)), self.vocab.take(pa.array(other))).to_numpy(zero_copy_only=False).astype(bool)
+        return sums(~ok[place.reshape(-1)], np.concatenate(([0], np.cumsum(n)))) == 0
+
+
 def _shingles_of_rows(rows: np.ndarray) -> np.ndarray:
     out = np.full(len(rows), rows.shape[1], np.uint64)
     with np.errstate(over="ignore"):
@@ -152,8 +174,8 @@ def _words(part: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
     return w, hash_vocab(w.vocab)[w.codes]
 
 
-def _frequencies(docs: DataFrame, text: str, sent) -> dict[int, dict[int, int]]:
-    """How often each shingle of the block's windows occurs in all documents."""
+def _frequencies(docs: DataFrame, text: str, sent) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """How often each shingle of the block's windows occurs in all documents: at most a row per shingle of the block comes back."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -167,9 +189,13 @@ def _frequencies(docs: DataFrame, text: str, sent) -> dict[int, dict[int, int]]:
             some = np.flatnonzero(count[size])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size), pa.int32()), pa.array(look.keys[some].view(np.int64)), pa.array(count[size][some])], names=["size", "h", "n"])
 
-    found: dict[int, dict[int, int]] = {}
-    for r in docs.select(text).mapInArrow(task, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n")).toLocalIterator():
-        found.setdefault(r["size"], {})[r["h"]] = r["n"]
+    got = docs.select(text).mapInArrow(task, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n")).toArrow()
+    size, h, n = (got.column(i).to_numpy() for i in range(3))
+    found = {}
+    for s in np.unique(size).tolist():
+        own = np.flatnonzero(size == s)
+        own = own[np.argsort(h[own].view(np.uint64))]
+        found[s] = h[own].view(np.uint64), n[own]
     return found
 
 
@@ -183,6 +209,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     size, n = windows.agg(F.coalesce(F.sum(F.length("words") * 2 + 400), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     names = [f"{prefix}{x}" for x in ("n_words", "spans", "items")]
+    if taken := {c.lower() for c in docs.columns} & set(map(str.lower, names)):
+        raise ValueError(f"the table has columns named {sorted(taken)}")
     out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.array().cast(_SPANS), names[2]: F.array().cast("array<string>")})
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], _SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))])
     for b in range(blocks):

@@ -7,8 +7,9 @@ softmax are trained together by stochastic gradient descent in numpy, on word
 windows of a bounded sample of labelled rows.  On rows of the sample that the
 training did not see, a temperature is fitted and a rejection threshold set.
 
-Once trained, table and softmax fold into one row of logits per bucket; a task
-sums them per distinct word of a slice, then per document, over whole texts.
+Once trained, table and softmax of few labels fold into one row of logits per
+bucket; a task sums rows per distinct word of a slice, then per document, over
+whole texts.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; labels that are null do not train; without any labelled row every document is
@@ -36,11 +37,24 @@ SIZES = (2, 3, 4, 5)
 SEED = 7
 #: The least number of gradient steps.
 STEPS = 600
+#: Bytes of distinct words whose subwords are summed at once.
+RUN_BYTES = 1 << 17
 
 
 def subword_sums(vocab: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of table rows over each word's subwords, number of subwords)."""
+    """(sum of table rows over each word's subwords, number of subwords), for a bounded run of words at a time."""
     data, offs = raw(vocab)
+    parts, lo = [], 0
+    while lo < len(vocab):
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + RUN_BYTES, "right")) - 1)
+        parts.append(_subword_sums(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], table))
+        lo = hi
+    if not parts:
+        return np.zeros((0, table.shape[1])), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subword_sums(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(offs)
     # Each word between 0x02 and 0x03.
     begin = offs[:-1] + 2 * np.arange(len(n))
@@ -92,8 +106,11 @@ def subword_lists(vocab: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class LanguageModel:
+    """``rows`` per bucket and ``out`` per label; with few labels they are folded into one row of logits per bucket."""
+
     labels: list[str]
-    logits: np.ndarray
+    rows: np.ndarray
+    out: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
@@ -106,8 +123,8 @@ class LanguageModel:
         if not self.labels:
             return np.full(n, -1), np.zeros(n), np.ones(n, bool)
         w = split_words(data, offs)
-        total, count = subword_sums(w.vocab, self.logits)
-        z = sums(total[w.codes], w.doc) / np.maximum(sums(count[w.codes], w.doc), 1)[:, None] + self.bias
+        total, count = subword_sums(w.vocab, self.rows)
+        z = sums(total[w.codes], w.doc) / np.maximum(sums(count[w.codes], w.doc), 1)[:, None] @ self.out.T + self.bias
         p = softmax(z / self.temperature)
         best = np.where(lettered, p.argmax(1), -1)
         score = np.where(lettered, p.max(1), 0.0)
@@ -134,7 +151,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 3.
     """Train on word windows of the texts; every fifth text is kept for calibration."""
     names = sorted(set(labels))
     if not names:
-        return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 1.0)
+        return LanguageModel([], np.zeros((BUCKETS, 1)), np.ones((1, 1)), np.zeros(1), 1.0, 1.0)
     rng = np.random.default_rng(SEED)
     w = split_words(*raw(pa.array(texts, pa.large_string())))
     y = np.searchsorted(names, labels)
@@ -194,19 +211,20 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 3.
     right = np.cumsum((p.argmax(1) == truth)[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(right >= 0.99)
     cut = float(p.max(1)[order][good[-1]]) if len(good) else 1.0
-    return LanguageModel(names, table @ out.T, bias, heat, cut)
+    if len(names) < DIM:
+        table, out = table @ out.T, np.eye(len(names))
+    return LanguageModel(names, table, out, bias, heat, cut)
 
 
 def sample_rows(labelled: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """At most about ``most`` rows, as evenly over the labels as they allow, by a hash of the key."""
-    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().toLocalIterator()}
-    if not counts:
-        return labelled
-    each = most / len(counts)
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(label) == F.lit(name), F.lit(min(1.0, each / n))).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 30)) < share * (1 << 30))
+    """At most about ``most`` rows, as evenly over the labels as they allow, by a hash of the key.
+
+    The labels' counts stay a table and are joined, so any number of labels will do.
+    """
+    counts = labelled.groupBy(label).agg(F.count("*").alias("__n"))
+    share = counts.crossJoin(counts.agg(F.count("*").alias("__labels"))).select(F.col(label).alias("__label"), (F.lit(float(most)) / (F.col("__labels") * F.col("__n"))).alias("__share"))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 30)) < F.col("__share") * (1 << 30)
+    return labelled.join(share, F.col(label) == F.col("__label")).where(drawn).select(labelled.columns)
 
 
 def train_language_model(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most: int = SAMPLE_ROWS) -> LanguageModel:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from parley.llm.blobs import pack_keys, pack_small, unpack_keys, unpack_small
 from parley.llm.langid import held_out
 from parley.llm.store import documents, fold, scratch
-from parley.llm.textcols import concat_ranges, finish_hash, grow_hash, hash_ranges, raw, slices, split_words, sums
+from parley.llm.textcols import concat_ranges, hash_ranges, mix64, raw, slices, split_words, sums
 from parley.llm.tokens import load, vocabulary
 
 #: The end of a document, as a key among the words' hashes.
@@ -54,6 +54,21 @@ CACHE_SHARE = 0.3
 ROUNDS = 2
 
 
+def _grow(before: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs, one byte longer."""
+    with np.errstate(over="ignore"):
+        return mix64(before + byte.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _grown(runs: list[bytes], n: int) -> np.ndarray:
+    """Hashes of byte strings of one length, by their bytes in turn."""
+    rows = np.frombuffer(b"".join(runs), np.uint8).reshape(-1, n)
+    out = np.zeros(len(rows), np.uint64)
+    for i in range(n):
+        out = _grow(out, rows[:, i])
+    return out
+
+
 class Pieces:
     """Byte strings of an existing vocabulary with log weights."""
 
@@ -84,7 +99,7 @@ class Pieces:
         self.begin = []
         for n in range(1, max(map(len, names)) + 1):
             heads = sorted({x[:n] for x in names if len(x) >= n})
-            keys = hash_ranges(np.frombuffer(b"".join(heads), np.uint8), np.arange(len(heads) + 1) * n)
+            keys = _grown(heads, n)
             by = np.argsort(keys)
             self.begin.append((keys[by], np.array([whole.get(x, -1) for x in heads])[by]))
 
@@ -98,10 +113,9 @@ class Pieces:
             at = at[fits]
             if not len(at):
                 break
-            grown = grow_hash(grown[fits], data[at + (n - 1)], n)
-            keys = finish_hash(grown, n)
-            k = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
-            ok = heads[k] == keys
+            grown = _grow(grown[fits], data[at + (n - 1)])
+            k = np.minimum(np.searchsorted(heads, grown), len(heads) - 1)
+            ok = heads[k] == grown
             at, grown, k = at[ok], grown[ok], piece[k[ok]]
             out.append((at[k >= 0], k[k >= 0]))
         return out

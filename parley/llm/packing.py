@@ -32,6 +32,8 @@ from parley.llm.tokens import encode, vocabulary
 
 #: Tokens that wait in a task before sequences are filled from them.
 POOL_TOKENS = 1 << 20
+#: Numbers of sequences that one long example fills begin here, apart from those of the open one.
+FULL = 1 << 38
 #: The smallest gap for which a piece is cut; a smaller one is padded.
 LEAST_CUT = 8
 
@@ -49,7 +51,7 @@ class Packer:
         self.may_cut = may_cut
         self.pools: dict[tuple[int, int], list] = {}
         self.tokens = 0
-        self.next_sequence = 0
+        self.next_sequence = self.full = 0
         self.bin: list = []
         self.used = np.zeros(3)
         self.out: list = []
@@ -68,8 +70,8 @@ class Packer:
             hi = min(hi, lo + max(1, int(over)))
             piece = (key, lo, len(ids), ids[lo:hi], loss[lo:hi])
             if hi - lo == step:
-                self.out.append((*piece[:4], self.next_sequence, 0))
-                self.next_sequence += 1
+                self.out.append((*piece[:4], FULL + self.full, 0))
+                self.full += 1
             else:
                 self._pool(piece)
             lo = hi
@@ -87,14 +89,30 @@ class Packer:
         return piece
 
     def _place(self, piece: tuple) -> None:
-        self.out.append((*piece[:4], self.next_sequence, int(self.used[0])))
+        self.bin.append(piece)
         n, loss = self._demand(piece)
         self.used += (n, 1, loss)
 
     def _close(self) -> None:
-        if self.used[0]:
+        """End the open sequence; one that would be padded by much is cut into powers of two, which need no padding."""
+        left = int(self.used[0])
+        size = int(self.limits[0])
+        if self.may_cut and size - left >= LEAST_CUT and left:
+            size = 1 << (left.bit_length() - 1)
+        used = 0
+        for key, start, total, ids, _ in self.bin:
+            while len(ids):
+                n = min(len(ids), size - used)
+                self.out.append((key, start, total, ids[:n], self.next_sequence, used))
+                ids, start, used, left = ids[n:], start + n, used + n, left - n
+                if used == size and left:
+                    self.next_sequence += 1
+                    used = 0
+                    size = 1 << (left.bit_length() - 1)
+        if self.bin:
             self.next_sequence += 1
-            self.used[:] = 0
+        self.bin = []
+        self.used[:] = 0
 
     def fill(self, rest: int) -> None:
         """Fill sequences until at most ``rest`` tokens wait."""
@@ -127,34 +145,13 @@ class Packer:
                 break
 
     def finish(self) -> None:
-        """Fill from all that waits; the last sequence is cut into powers of two, which need no padding."""
+        """Fill from all that waits, and end the last sequence."""
         self.fill(0)
-        if not self.used[0]:
-            return
-        last = self.next_sequence
-        tail = [p for p in self.out if p[4] == last]
-        if not self.may_cut:
-            self._close()
-            return
-        self.out = [p for p in self.out if p[4] != last]
-        size, used = 1 << (int(self.used[0]).bit_length() - 1), 0
-        left = int(self.used[0])
-        for key, start, total, ids, _, _ in tail:
-            while len(ids):
-                n = min(len(ids), size - used)
-                self.out.append((key, start, total, ids[:n], self.next_sequence, used))
-                ids, start, used, left = ids[n:], start + n, used + n, left - n
-                if used == size:
-                    self.next_sequence += 1
-                    used = 0
-                    size = 1 << (left.bit_length() - 1) if left else 1
-        self.used[:] = 0
+        self._close()
 
     def drain(self) -> list:
+        """The pieces of sequences that have ended."""
         out, self.out = self.out, []
-        if self.used[0]:  # pieces of the open sequence may still be cut anew
-            self.out = [p for p in out if p[4] == self.next_sequence]
-            out = [p for p in out if p[4] != self.next_sequence]
         return out
 
 
@@ -214,7 +211,8 @@ def pack_examples(
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for a table of documents."""
-    return pack_examples(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    # Every id bears loss, and a sequence can't hold more segments than ids: only the tokens bind.
+    return pack_examples(docs, max_segments=2048).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
