@@ -380,49 +380,6 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     assert decontaminate.find_contamination(docs, items).orderBy("doc_id").collect() == once
 
 
-# 7: surrogates.
-
-
-def test_surrogates(spark, empty):
-    rows = [
-        (1, "Write to jane.doe7@mail.example.com or jane.doe7@mail.example.com, not JANE@x.org. Card 4111111111111111 and 4111-1111-1111-1112."),
-        (2, "jane.doe7@mail.example.com from 10.0.0.1, +1 (017) 555-7713; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" end"),
-        (3, None),
-        (4, ""),
-        (5, "nothing here 12.5 or 1234, v1.2.3.4.5"),
-        (6, "Mrs Anna Smith met Mr Smith; Frau Müller too"),
-        (6, "Mrs Anna Smith met Mr Smith; Frau Müller too"),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("entity", F.lit("kept")).withColumn("again", F.lit(1))
-    out = surrogates.replace_entities(df, types="kinds")
-    got = {r["doc_id"]: r for r in out.collect()}
-    assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1] and got[1]["entity"] == "kept"
-    mails = re.findall(r"[\w.]+@[\w.]+\.[a-z]+", got[1]["text"])
-    assert mails[0] == mails[1] and mails[0] in got[2]["text"] and "jane" not in got[1]["text"].lower()
-    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d@[a-z]{4}\.[a-z]{7}\.com", mails[0])
-    assert re.search(r"[A-Z]{4}@[a-z]\.org", got[1]["text"])
-    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10
-    a, b = re.findall(r"(?:\d{4}-?){4}", got[1]["text"])
-    assert luhn(a) == 0 and luhn(b.replace("-", "")) != 0 and b.count("-") == 3 and "4111111111111111" != a
-    assert re.search(r"from \d+\.\d+\.\d+\.\d+, \+1 \(\d{3}\) \d{3}-\d{4}; token = \"[0-9a-f]{40}\" end", got[2]["text"])
-    assert re.fullmatch(r"Mrs \w+ \w+ met Mr \w+; Frau \w+ too", got[6]["text"]) and got[6]["text"].split()[1] in surrogates.FEMALE
-    assert got[1]["kinds"] == ["email", "email", "email", "card", "card"]
-    assert surrogates.replace_entities(empty).count() == 0
-
-
-def test_surrogates_are_distinct_and_redrawn(spark):
-    e = spark.createDataFrame([(f"10.{i // 256}.{i % 256}.7",) for i in range(2000)], "entity string")
-    got = [r["s"] for r in e.select(surrogates.surrogate(F.col("entity"), F.lit(0)).alias("s")).collect()]
-    assert len(set(got)) == 2000
-    one = spark.createDataFrame([("10.0.0.1",)], "entity string")
-    clash = one.select(surrogates.surrogate(F.col("entity"), F.lit(0)).alias("entity"))
-    again = {r["entity"]: r["again"] for r in surrogates.redrawn(one.union(clash)).collect()}
-    assert again == {"10.0.0.1": 1}
-    text = "from 10.0.0.1 to " + clash.first()["entity"]
-    new = surrogates.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
-    assert "10.0.0.1" not in new and clash.first()["entity"] not in new
-
-
 # 8: near-duplicates.
 
 

@@ -1,0 +1,110 @@
+"""Surrogates: format, case, script, coreference, distinctness, and texts that stay untouched."""
+
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from parley.llm import surrogates
+
+ROWS = [
+    (1, "Write to jane.doe7@mail.example.com or jane.doe7@mail.example.com, not JANE@x.org. Card 4111111111111111 and 4111-1111-1111-1112."),
+    (2, "jane.doe7@mail.example.com from 10.0.0.1, +1 (017) 555-7713; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" end"),
+    (3, None),
+    (4, ""),
+    (5, "nothing here 12.5 or 1234, v1.2.3.4.5"),
+    (6, "Mrs Anna Smith met Mr Smith; Frau Müller too"),
+    (6, "Mrs Anna Smith met Mr Smith; Frau Müller too"),
+    (7, "Mr JOHN SMITH met Mr Smith; Mr. John Smith, then John Smith and Smith's dog. Johnson stays."),
+    (8, "Frau Мария Иванова, Mrs Anne-Marie O'Neil-Kurz, Mr John Fitzgerald Kennedy; Kennedy, Мария"),
+    (9, "иван.петров@mail.example.ru bjørn.ßø@x.org 日本@x.org"),
+    (10, "mark  and  stay, 123-45-6789 goes"),
+    (11, "Dr J. Braun " + "plain words " * 20_000 + "J. Braun"),
+]
+
+
+@pytest.fixture(scope="module")
+def got(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    for clash in ("pieces", "found", "draws", "mine", "kind", "unit", "again"):
+        df = df.withColumn(clash, F.lit("kept"))
+    out = surrogates.replace_entities(df, types="kinds").collect()
+    assert all(r["pieces"] == r["found"] == r["draws"] == r["unit"] == "kept" for r in out)
+    return {r["doc_id"]: r for r in out}
+
+
+def test_formats(got):
+    assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == ROWS[4][1]
+    mails = re.findall(r"[\w.]+@[\w.]+\.[a-z]+", got[1]["text"])
+    assert mails[0] == mails[1] and mails[0] in got[2]["text"] and "jane" not in got[1]["text"].lower()
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d@[a-z]{4}\.[a-z]{7}\.com", mails[0])
+    assert re.search(r"[A-Z]{4}@[a-z]\.org", got[1]["text"])
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10
+    a, b = re.findall(r"(?:\d{4}-?){4}", got[1]["text"])
+    assert luhn(a) == 0 and luhn(b.replace("-", "")) != 0 and b.count("-") == 3 and "4111111111111111" != a
+    assert re.search(r"from \d+\.\d+\.\d+\.\d+, \+1 \(\d{3}\) \d{3}-\d{4}; token = \"[0-9a-f]{40}\" end", got[2]["text"])
+    assert got[1]["kinds"] == ["email", "email", "email", "card", "card"] and got[3]["kinds"] is None and got[5]["kinds"] == []
+
+
+def test_names_keep_gender_case_script_and_person(got):
+    text = got[7]["text"]
+    m = re.fullmatch(r"Mr ([A-Z]+) ([A-Z]+) met Mr (\w+); Mr\. (\w+) (\w+), then (\w+) (\w+) and (\w+)'s dog\. Johnson stays\.", text)
+    given, family = m[4], m[5]
+    assert (m[1], m[2]) == (given.upper(), family.upper()) and {m[3], m[7], m[8]} == {family} and m[6] == given
+    assert "Smith" not in text and given.endswith("o") and got[6]["text"].split()[1].endswith("a")
+    assert f"Mr {family};" in got[6]["text"]
+    m = re.fullmatch(r"Frau ([а-яА-Я]+) ([а-яА-Я]+), Mrs ([A-Za-z]+-[A-Z][a-z]+) ([A-Za-z]+'[A-Z][a-z]+-[A-Z][a-z]+), Mr (\w+) (\w+) (\w+); (\w+), ([а-яА-Я]+)", got[8]["text"])
+    assert m[7] == m[8] and m[1] == m[9] and not {"Kennedy", "Marie", "Neil"} & set(re.findall(r"\w+", got[8]["text"]))
+
+
+def test_every_script_is_replaced(got):
+    text = got[9]["text"]
+    assert re.fullmatch(r"[а-я]{4}\.[а-я]{6}@[a-z]{4}\.[a-z]{7}\.ru [^\W\d_]{5}\.[^\W\d_]{3}@[a-z]\.org [a-z]{4}@[a-z]\.org", text)
+    assert not re.search("иван|петров|bj|ø\\.|ßø|日本", text.split()[0] + text.split()[1][:2] + text.split()[2])
+
+
+def test_marks_of_the_text_stay(got):
+    assert re.fullmatch("mark  and  stay, \\d{3}-\\d{2}-\\d{4} goes", got[10]["text"])
+    assert "Braun" not in got[11]["text"] and len(got[11]["text"]) > 200_000
+
+
+def test_text_outside_of_entities_is_untouched(spark):
+    """Brute force: the same patterns in another engine give the same pieces between entities, and as many entities."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    entity = regex.compile("|".join(f"(?:{p.replace('(?i:', '(?i:')})" for p in surrogates.PATTERNS.values()))
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    new, seen = {}, 0
+    for r in surrogates.replace_entities(docs, types="kinds").collect():
+        old = before[r["doc_id"]] or ""
+        found = [m.group() for m in entity.finditer(old)]
+        assert len(found) == len(r["kinds"] or [])
+        seen += len(found)
+        rest = entity.split(old)
+        pattern = "(.+?)".join(map(re.escape, rest))
+        m = re.fullmatch(pattern, r["text"] or "", re.S)
+        assert m, r["doc_id"]
+        for e, s in zip(found, m.groups(), strict=True):
+            assert s != e and new.setdefault(e, s) == s
+    assert seen and len(set(new.values())) == len(new)
+    assert surrogates.replace_entities(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        surrogates.replace_entities(docs.withColumn("kinds", F.lit(1)), types="kinds")
+
+
+def test_collisions_are_drawn_again(spark):
+    one = spark.createDataFrame([("ip", "10.0.0.1")], "kind string, value string")
+    first = one.select(surrogates.surrogate(F.col("kind"), F.col("value"), F.lit(0)).alias("s")).first()["s"]
+    both = one.union(spark.createDataFrame([("ip", first)], "kind string, value string"))
+    assert {r["unit"]: r["again"] for r in surrogates.redrawn(both).collect()} == {"ip:10.0.0.1": 1}
+    rows = [(1, f"from 10.0.0.1 to {first}"), (2, f"{first} x")]
+    texts = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "10.0.0.1" not in texts[1] and first not in texts[1] and texts[1].split()[3] == texts[2].split()[0]
+
+
+def test_a_full_format_keeps_its_permutation(spark, monkeypatch):
+    monkeypatch.setattr(surrogates.redrawn, "__defaults__", (1,))
+    units = spark.createDataFrame([("ssn", f"{i}",) for i in range(10)], "kind string, value string")
+    assert surrogates.redrawn(units) is None
+    values = [r["s"] for r in units.select(surrogates.surrogate(F.col("kind"), F.col("value"), F.lit(0)).alias("s")).collect()]
+    assert sorted(values) == [str(i) for i in range(10)]
