@@ -6,9 +6,10 @@ vectors is at most the sum over segments of ``s * mean * mean' + dev * dev'``;
 for equal norms that is a lower bound of their distance.  Bounds go from coarse
 (one segment) to fine; a candidate is left out as soon as its bound is under the
 query's k-th best so far, and the exact integer product is computed for what is
-left.  Candidates stream through tasks; queries come in blocks of bounded size
-that are shipped to every task, so no pair of rows is ever shuffled and each
-task returns k rows for a query at most.
+left.  Tasks pack candidates and queries into blocks; groups of at most about
+``CANDIDATE_GROUP`` and ``QUERY_GROUP`` vectors meet pairwise through an exchange, one task
+for each pair of groups, which returns k rows for a query at most.  Nothing of
+the tables passes through the driver.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; vectors of different lengths are not compared; repeated
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries that are shipped at once: the bound on what the driver and a task hold of them.
-BLOCK = 2048
+#: Vectors of a group of queries and of candidates: the bound on what a task holds of them.
+QUERY_GROUP, CANDIDATE_GROUP = 8192, 1 << 17
 ROWS = 4096
 
 
@@ -128,39 +130,60 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False), np.floor(1024.0 * flat).reshape(len(rows), int(dim))
 
 
+_BLOCK = "block long, dim int, ids binary, data binary"
+
+
+def _packer(most: int):
+    """Task that turns (id, vector) rows into rows of blocks: at most ``most`` vectors of one length."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, batch.num_rows, most):
+                for ids, v in _matrices(batch.slice(lo, most)):
+                    row = [block, v.shape[1], ids.astype(np.int64).tobytes(), v.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "dim", "ids", "data"])
+                    block += 1
+
+    return task
+
+
+def _unblocked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for dim, ids, data in zip(*(table[n].to_pylist() for n in ("dim", "ids", "data")), strict=True):
+        yield np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
+
+
+def _cell(id_col: str, k: int):
+    """Of one group of queries and one of candidates: the best k of each query."""
+
+    def search(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+        by_dim: dict[int, list] = {}
+        for ids, q in _unblocked(asked):
+            by_dim.setdefault(q.shape[1], []).append((ids, q))
+        own = {dim: Searcher(np.concatenate([i for i, _ in parts]), np.concatenate([q for _, q in parts]), k) for dim, parts in by_dim.items()}
+        for ids, v in _unblocked(candidates):
+            if v.shape[1] in own:
+                own[v.shape[1]].add(ids, v)
+        found = list(zip(*(r for x in own.values() for r in x.result()), strict=True)) or [(), (), ()]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", id_col, "score"), found, strict=True)})
+
+    return search
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): each query's k largest integer inner products with other rows."""
-    spark = vectors.sparkSession
     wanted = F.col(id_col).isNotNull() & _valid(vec_col)
     rows = vectors.where(wanted).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     asked = queries.where(wanted).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    # One block of at most BLOCK queries in the mean is held at a time.
-    blocks = max(1, -(-asked.count() // BLOCK))
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        got = part.toArrow().combine_chunks()
-        packed = [(i, q) for chunk in got.to_batches() for i, q in _matrices(chunk)]
-        by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i, q in packed:
-            old = by_dim.get(q.shape[1])
-            by_dim[q.shape[1]] = (i, q) if old is None else (np.concatenate((old[0], i)), np.concatenate((old[1], q)))
-        sent = spark.sparkContext.broadcast(by_dim)
-
-        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = {dim: Searcher(i, q, k) for dim, (i, q) in sent.value.items()}
-            for batch in batches:
-                for lo in range(0, batch.num_rows, ROWS):
-                    for ids, v in _matrices(batch.slice(lo, ROWS)):
-                        if v.shape[1] in own:
-                            own[v.shape[1]].add(ids, v)
-            found = [r for s in own.values() for r in s.result()]
-            if found:
-                a, b, c = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", id_col, "score"])
-
-        one = rows.mapInArrow(task, f"query_id long, `{id_col}` long, score long")
-        out = one if out is None else out.unionByName(one)
+    query_groups = max(1, -(-asked.count() // QUERY_GROUP))
+    groups = max(1, rows.rdd.getNumPartitions(), -(-rows.count() // CANDIDATE_GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    left = rows.mapInArrow(_packer(ROWS), _BLOCK).select(place(groups).alias("r"), every(query_groups).alias("s"), "dim", "ids", "data")
+    right = asked.repartition(query_groups).mapInArrow(_packer(QUERY_GROUP), _BLOCK).select(every(groups).alias("r"), place(query_groups).alias("s"), "dim", "ids", "data")
+    cells = groups * query_groups
+    dealt = lambda df: df.repartition(cells, "r", "s").groupBy("r", "s")
+    out = dealt(left).cogroup(dealt(right)).applyInArrow(_cell(id_col, k), f"query_id long, `{id_col}` long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
