@@ -7,13 +7,14 @@ count as empty.  ``slices`` bounds what is expanded at once, whatever the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 #: A-Z to a-z, every other byte as it is.
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
@@ -57,6 +58,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
             yield batch.slice(lo, min(hi, batch.num_rows) - lo)
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def binary(data: np.ndarray, offs: np.ndarray) -> pa.Array:
@@ -122,42 +133,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = [np.ones(1, np.uint64)]
+_KEYS = [np.zeros(0, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd 64-bit multiplier, 0 to n-1, modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        step = np.full(max(n, 4096), 0x9E3779B97F4A7C15, np.uint64)
-        step[0] = 1
+def _place_keys(n: int) -> np.ndarray:
+    """Fixed keys of the first n places."""
+    if len(_KEYS[0]) < n:
         with np.errstate(over="ignore"):
-            _POWERS[0] = np.cumprod(step, dtype=np.uint64)
-    return _POWERS[0]
+            _KEYS[0] = mix64(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x243F6A8885A308D3))
+    return _KEYS[0]
 
 
 def hash_ranges(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[offs[i]:offs[i+1]], from its bytes alone."""
+    """A 64-bit hash of each data[offs[i]:offs[i+1]], from its bytes alone.
+
+    Every eight bytes are mixed under the key of their place before they are
+    added up, so no structure of a text cancels, as it can in a polynomial.
+    """
     n = np.diff(offs)
+    words = -(-n // 8)
+    begin = np.cumsum(words) - words
+    padded = np.zeros(8 * int(words.sum()), np.uint8)
+    padded[np.arange(len(data)) + np.repeat(8 * begin - offs[:-1], n)] = data
     out = n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     full = n > 0
     if full.any():
-        at = np.arange(len(data), dtype=np.int64) - np.repeat(offs[:-1], n)
+        at = np.arange(len(padded) // 8) - np.repeat(begin, words)
+        term = mix64(padded.view("<u8") ^ _place_keys(int(words.max()))[at])
         with np.errstate(over="ignore"):
-            term = (data.astype(np.uint64) + np.uint64(1)) * _powers(int(n.max()))[at]
-            out[full] ^= mix64(np.add.reduceat(term, offs[:-1][full]))
+            out[full] ^= np.add.reduceat(term, begin[full])
     return mix64(out)
 
 
-def grow_hash(grown: np.ndarray, byte: np.ndarray, n: int) -> np.ndarray:
-    """From sums over n-1 bytes to sums over n, given each place's n-th byte; ``finish_hash`` makes them ``hash_ranges`` values."""
-    with np.errstate(over="ignore"):
-        return grown + (byte.astype(np.uint64) + np.uint64(1)) * _powers(n)[n - 1]
-
-
-def finish_hash(grown: np.ndarray, n: int) -> np.ndarray:
-    return mix64(np.uint64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) ^ mix64(grown))
-
-
 def hash_vocab(vocab: pa.Array) -> np.ndarray:
     """A 64-bit hash of each distinct word."""
     return hash_ranges(*raw(vocab))

@@ -18,10 +18,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from parley.llm.textcols import SPACE, binary, concat_ranges, hash_vocab
+from parley.llm.textcols import SPACE, binary, concat_ranges
 
-#: Distinct pieces that a worker keeps; beyond it the cache starts anew.
-CACHE = 1_500_000
+#: Bytes of distinct pieces (with what a dictionary costs for each) that a worker keeps; beyond it the cache starts anew.
+CACHE_BYTES = 32 << 20
+PIECE_BYTES = 160
 
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -46,7 +47,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of pieces by one vocabulary file, with a cache keyed by piece hash."""
+    """Ids of pieces by one vocabulary file, with a cache of bounded size."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,7 +63,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -89,24 +91,19 @@ class Encoder:
 
     def lookup(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(start, count) in ``self.ids`` of each distinct piece, encoding the new ones."""
-        keys = hash_vocab(vocab)
-        at = np.searchsorted(self.known, keys)
-        old = np.zeros(len(keys), bool)
-        if len(self.known):
-            old = self.known[np.minimum(at, len(self.known) - 1)] == keys
-        if (new := np.flatnonzero(~old)).size:
-            if len(self.known) + len(new) > CACHE and len(self.known):
-                self.clear()
-                return self.lookup(vocab)
-            ids, counts = self.encode_pieces(vocab.take(pa.array(new)).to_pylist())
-            starts = len(self.ids) + np.cumsum(counts) - counts
+        pieces = vocab.to_pylist()
+        if self.held > CACHE_BYTES:
+            self.clear()
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if new:
+            ids, counts = self.encode_pieces(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.held += PIECE_BYTES * len(new) + sum(map(len, new))
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(counts) - counts))
+            self.count = np.concatenate((self.count, counts))
             self.ids = np.concatenate((self.ids, ids))
-            order = np.argsort(keys[new])
-            into = np.searchsorted(self.known, keys[new][order])
-            self.known = np.insert(self.known, into, keys[new][order])
-            self.start = np.insert(self.start, into, starts[order])
-            self.count = np.insert(self.count, into, counts[order])
-            at = np.searchsorted(self.known, keys)
+        at = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
         return self.start[at], self.count[at]
 
 
