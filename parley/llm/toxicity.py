@@ -13,7 +13,8 @@ largest marginal and their density go through a logistic fitted on the sample.
 Words whose marginal is a half or more give the offending character offsets.
 
 Defined results: null and empty texts have no words and get the score of a text
-without toxic words; a null label does not train; without labels of both kinds
+without toxic words; a null label does not train, a key with both labels counts
+as toxic; a very long word is one word; without labels of both kinds
 every score is the share of label 1 (0 without labels); repeated rows are scored
 alike; other columns are ignored.
 """
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.langid import held_out
+from parley.llm.langid import held_out, sample_rows
 from parley.llm.store import documents, fold
 from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_ranges, raw, split_words, sums
 
 #: Labelled rows that training may gather: the documented bound of the sample.
 SAMPLE_ROWS = 4000
+#: Word windows of the sample that the field is trained on: its other documented bound.
+TRAIN_WINDOWS = 20_000
 BUCKETS = 1 << 18
 SEED = 11
 WINDOW = 12
@@ -169,7 +172,8 @@ def toxic_words(w: Words, toxic: np.ndarray) -> np.ndarray:
     return (a >= max(2, 0.02 * pos)) & (odds > np.log(4)) & (odds > 3 * sure)
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 60) -> ToxicityModel:
+def train(texts: list[str], toxic: list[int], rounds: int = 60, windows: int = TRAIN_WINDOWS) -> ToxicityModel:
+    """Train on word windows: around the marks first, then elsewhere, ``windows`` of them at most."""
     y = np.array(toxic, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
@@ -182,7 +186,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 60) -> ToxicityModel
     tag = marks & (y[doc] == 1)
     hits = np.flatnonzero(marks)
     centre = np.concatenate((hits, rng.integers(0, max(1, len(doc)), 3 * len(y)))) if len(doc) else np.zeros(0, np.int64)
-    centre = centre[rng.permutation(len(centre))[:20_000]]
+    centre = centre[rng.permutation(len(centre))[:windows]]
     start = np.maximum(centre - WINDOW, w.doc[doc[centre]]) if len(centre) else centre
     stop = np.minimum(centre + WINDOW + 1, w.doc[doc[centre] + 1]) if len(centre) else centre
     width = 2 * WINDOW + 1
@@ -220,13 +224,14 @@ def train(texts: list[str], toxic: list[int], rounds: int = 60) -> ToxicityModel
 
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Train on at most about ``most`` labelled rows, taken by a hash of the key."""
-    rows = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).alias("y")).dropDuplicates([key])
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+    """Train on at most about ``most`` labelled documents, evenly over the labels, taken by a hash of the key.
+
+    A key with both labels counts as toxic; of texts that repeat a key the smallest trains.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
+    rows = sample_rows(rows, key, "y", most)
     # At most about ``most`` keys: a bound that makes the broadcast safe.
-    got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(rows), key).orderBy(key, text).select(text, "y").toArrow()
+    got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(rows), key).groupBy(key).agg(F.min(text).alias(text), F.max("y").alias("y")).orderBy(key).select(text, "y").toArrow()
     return train(got.column(0).to_pylist(), got.column(1).to_pylist())
 
 
@@ -239,7 +244,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", pr
         w = split_words(data, offs, NON_ALNUM)
         m = sent.value.tag(w)
         bad = np.flatnonzero(m >= least)
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        chars = np.zeros(len(data) + 1, np.int32)
+        np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
         of = np.searchsorted(w.doc, bad, "right") - 1
         zero = chars[offs[of]]
         spans = pa.StructArray.from_arrays([pa.array(chars[w.starts[bad]] - zero, pa.int64()), pa.array(chars[w.starts[bad] + w.lengths[bad]] - zero, pa.int64())], names=["start", "end"])
