@@ -15,7 +15,7 @@ the mass of unseen words; the subword part spells any byte string.
 
 Counts follow the corpus: each slice of documents sends its distinct words, by
 range of their hash, to reducers that add the counts up and answer every slice;
-hot words come once per slice, and no task or driver holds the whole vocabulary.
+words are told apart by their bytes; hot words come once per slice, and no task or driver holds the whole vocabulary.
 A reducer also keeps each distinct word of the training documents once, of any
 length: from these the weights are re-estimated, so they don't depend on slices.
 
@@ -28,7 +28,6 @@ unknown; other columns are ignored.
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,14 +40,12 @@ from pyspark.sql import functions as F
 
 from parley.llm.blobs import pack_keys, pack_small, unpack_keys, unpack_small
 from parley.llm.langid import held_out
-from parley.llm.store import documents, fold, scratch
-from parley.llm.textcols import concat_ranges, hash_ranges, mix64, raw, slices, split_words, sums
+from parley.llm.store import documents, fold, scratch, spread_keys
+from parley.llm.textcols import binary, concat_ranges, hash_ranges, mix64, raw, slices, split_words, sums
 from parley.llm.tokens import load, vocabulary
 
-#: The end of a document, as a key among the words' hashes.
-END = np.uint64(0)
-#: No piece is left out for its length.
-MAX_PIECE = sys.maxsize
+#: Bytes of text that are coded as one block.
+SLICE = 8 << 20
 CACHE_SHARE = 0.3
 #: Re-estimations of the piece weights.
 ROUNDS = 2
@@ -79,7 +76,7 @@ class Pieces:
         for piece, rank in tok.get_vocab().items():
             if all(c in chars for c in piece):
                 b = bytes(chars[c] for c in piece).strip(b" ").lower()
-                if b and len(b) <= MAX_PIECE and not set(b) & set(b" \t\n\v\f\r"):
+                if b and not set(b) & set(b" \t\n\v\f\r"):
                     found[b] = min(rank, found.get(b, rank))
         for b in range(256):
             found.setdefault(bytes([b]), len(found))
@@ -225,7 +222,7 @@ def _blocks(docs: DataFrame, key: str, text: str, path: str, train: Column) -> N
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             w = split_words(*raw(part.column(text)))
             data, offs = raw(w.vocab)
             order = np.argsort(hash_ranges(data, offs))
@@ -255,80 +252,82 @@ def _blocks(docs: DataFrame, key: str, text: str, path: str, train: Column) -> N
     docs.select(F.col(key), F.col(text), train.alias("train")).mapInArrow(task, schema).write.option("compression", "zstd").parquet(path)
 
 
-def _counts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(hashes, training counts, all words' codes kept, training documents) of a block."""
+def _counts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, training counts, training documents) of a block."""
     get = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()
     hashes = unpack_keys(get("hashes"))
     doc = np.frombuffer(get("doc"), np.int64)
     train = np.unpackbits(np.frombuffer(get("train"), np.uint8))[: len(doc) - 1].astype(bool)
-    codes = unpack_small(get("codes"))
     used = np.repeat(train, np.diff(doc))
-    return hashes, np.bincount(codes[used], minlength=len(hashes)), codes, int(train.sum())
+    return hashes, np.bincount(unpack_small(get("codes"))[used], minlength=len(hashes)), int(train.sum())
+
 
+def _requests(blocks: DataFrame, spread: np.ndarray) -> DataFrame:
+    """(block, bucket, part, counts, sizes, words): the distinct words of a block, spelled out, by range of their hash.
 
-def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, keys, counts, sizes, words): the distinct words of a block by range of their hash, those of training documents spelled out."""
+    The hash only deals the words out; the end of a document is the empty word.
+    """
+    buckets = len(spread)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                hashes, counts, _, docs = _counts(batch, row)
-                n = unpack_small(batch.column(batch.schema.get_field_index("offs"))[row].as_py())
-                data = np.frombuffer(batch.column(batch.schema.get_field_index("data"))[row].as_py(), np.uint8)
-                offs = np.cumsum(n) - n
-                sizes = np.concatenate(([0], np.where(counts > 0, n, 0)))
-                data = data[concat_ranges(offs, sizes[1:])]
+                hashes, counts, docs = _counts(batch, row)
+                sizes = np.concatenate(([0], unpack_small(batch.column(batch.schema.get_field_index("offs"))[row].as_py())))
+                data = batch.column(batch.schema.get_field_index("data"))[row].as_py()
                 ends = np.concatenate(([0], np.cumsum(sizes)))
-                keys = np.concatenate(([END], hashes))
                 counts = np.concatenate(([docs], counts))
-                # Ranges of the hash space: bucket = hash * buckets / 2^64.
-                cut = np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64))
-                cut = np.concatenate(([0], cut, [len(keys)]))
+                # Ranges of the hash space: part = hash * buckets / 2^64; the end belongs to the first.
+                cut = 1 + np.searchsorted(hashes, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64))
+                cut = np.concatenate(([0], cut, [len(counts)]))
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(full), batch.column(0)[row].as_py()), pa.int64()),
+                        pa.array(spread[full], pa.int64()),
                         pa.array(full, pa.int32()),
-                        pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
                         pa.array([pack_small(counts[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
                         pa.array([pack_small(sizes[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
-                        pa.array([data[ends[cut[i]] : ends[cut[i + 1]]].tobytes() for i in full], pa.binary()),
+                        pa.array([data[ends[cut[i]] : ends[cut[i + 1]]] for i in full], pa.binary()),
                     ],
-                    names=["block", "bucket", "keys", "counts", "sizes", "words"],
+                    names=["block", "bucket", "part", "counts", "sizes", "words"],
                 )
 
-    return blocks.select("block", "train", "doc", "codes", "hashes", "data", "offs").mapInArrow(task, "block long, bucket int, keys binary, counts binary, sizes binary, words binary")
+    return blocks.select("block", "train", "doc", "codes", "hashes", "data", "offs").mapInArrow(task, "block long, bucket long, part int, counts binary, sizes binary, words binary")
 
 
-_ANSWER = "block long, bucket int, reply binary, tokens long, distinct long, single long, sizes binary, words binary"
+_ANSWER = "block long, part int, reply binary, tokens long, distinct long, single long, sizes binary, words binary"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: each block's keys with their counts over the corpus; and the bucket's totals and training words, each once."""
-    keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
+    """Of one bucket: each block's words with their counts over the corpus; and the bucket's totals and training words, each once.
+
+    Words are told apart by their bytes.
+    """
     counts = [unpack_small(x) for x in table["counts"].to_pylist()]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
-    replies, at = [], 0
-    for k in keys:
-        replies.append(pack_small(total[place[at : at + len(k)]]))
-        at += len(k)
     sizes = np.concatenate([unpack_small(x) for x in table["sizes"].to_pylist()])
-    spelled = np.flatnonzero(sizes)
-    own = spelled[np.unique(place[spelled], return_index=True)[1]]
-    words = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8)[concat_ranges((np.cumsum(sizes) - sizes)[own], sizes[own])]
-    bucket = table["bucket"][0].as_py()
-    none = [b""] * len(keys)
+    coded = binary(np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8), np.concatenate(([0], np.cumsum(sizes)))).dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    total = np.bincount(place, np.concatenate(counts), len(coded.dictionary)).astype(np.int64)
+    replies, at = [], 0
+    for c in counts:
+        replies.append(pack_small(total[place[at : at + len(c)]]))
+        at += len(c)
+    data, offs = raw(coded.dictionary)
+    n = np.diff(offs)
+    own = np.flatnonzero((total > 0) & (n > 0))
+    words = data[concat_ranges(offs[own], n[own])]
+    rows = len(counts)
     return pa.table(
         {
             "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
-            "bucket": pa.array([bucket] * (len(keys) + 1), pa.int32()),
+            "part": pa.array([*table["part"].to_pylist(), -1], pa.int32()),
             "reply": pa.array([*replies, b""], pa.binary()),
-            "tokens": pa.array([0] * len(keys) + [int(total.sum())], pa.int64()),
-            "distinct": pa.array([0] * len(keys) + [int((total > 0).sum())], pa.int64()),
-            "single": pa.array([0] * len(keys) + [int((total == 1).sum())], pa.int64()),
-            "sizes": pa.array([*none, pack_small(sizes[own])], pa.binary()),
-            "words": pa.array([*none, words.tobytes()], pa.binary()),
+            "tokens": pa.array([0] * rows + [int(total.sum())], pa.int64()),
+            "distinct": pa.array([0] * rows + [int((total > 0).sum())], pa.int64()),
+            "single": pa.array([0] * rows + [int((total == 1).sum())], pa.int64()),
+            "sizes": pa.array([b""] * rows + [pack_small(n[own])], pa.binary()),
+            "words": pa.array([b""] * rows + [words.tobytes()], pa.binary()),
         }
     )
 
@@ -356,10 +355,11 @@ def _piece_counts(words: DataFrame, path: str, weight: np.ndarray) -> np.ndarray
     return out
 
 
-def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", cache: float = CACHE_SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", cache: float = CACHE_SHARE, rounds: int = ROUNDS, whole_words: bool = True) -> DataFrame:
     """Per document: key, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    ``train`` says which documents the corpus counts come from.
+    ``train`` says which documents the corpus counts come from.  Without ``whole_words``
+    and with a ``cache`` of 0 the score is that of the lattice alone.
     """
     spark = docs.sparkSession
     vocab = vocabulary(tokenizer)
@@ -367,17 +367,19 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     parts = max(8, 2 * docs.rdd.getNumPartitions())
     _blocks(docs, key, text, f"{at}/blocks", train)
     blocks = spark.read.parquet(f"{at}/blocks")
-    _requests(blocks, parts).groupBy("bucket").applyInArrow(_answer, _ANSWER).write.option("compression", "zstd").parquet(f"{at}/replies")
+    _requests(blocks, spread_keys(spark, parts)).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_answer, _ANSWER).write.option("compression", "zstd").parquet(f"{at}/replies")
     replies = spark.read.parquet(f"{at}/replies")
     totals = replies.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "single"))).first()
     weight = pieces(vocab).first
     words = replies.where("block = -1").select("sizes", "words").repartition(parts)
+    uses = np.zeros(len(weight) + 1)
     for _ in range(rounds):
         uses = _piece_counts(words, vocab, weight)
         smooth = uses[:-1] + 1e-3 * max(1.0, uses[:-1].sum()) * np.exp(pieces(vocab).first)
         weight = np.log(smooth / smooth.sum())
     stop = (uses[-1] + 1.0) / (uses[:-1].sum() + uses[-1] + 2.0)
-    model = Corpus(int(totals["tokens"]), int(totals["distinct"]), min(0.5, max(1e-4, totals["single"] / max(1, totals["tokens"]))), weight + math.log1p(-stop), math.log(stop))
+    new = min(0.5, max(1e-4, totals["single"] / max(1, totals["tokens"]))) if whole_words else 1.0
+    model = Corpus(int(totals["tokens"]), int(totals["distinct"]), new, weight + math.log1p(-stop), math.log(stop))
     sent = spark.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -386,8 +388,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
             for row in range(batch.num_rows):
                 yield _score_block(batch, row, key, sent.value, vocab, cache)
 
-    answers = replies.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
-    joined = blocks.drop("train").hint("shuffle_merge").join(answers, "block")
+    answers = replies.where("block >= 0").repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "reply"))).alias("replies"))
+    joined = blocks.drop("train", "hashes").repartition(parts, "block").hint("shuffle_merge").join(answers, "block")
     return joined.mapInArrow(score, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -422,8 +424,8 @@ def _score_block(batch: pa.RecordBatch, row: int, key: str, model: Corpus, path:
     seen[order] = run
     lp = log_word[codes]
     with np.errstate(divide="ignore"):
-        old = np.where(place > 0, np.logaddexp(math.log1p(-cache) + lp, math.log(cache) + np.log(seen / np.maximum(place, 1))), lp)
-    end = math.log(max((1 - model.new) * ends / big, 1e-12))
+        old = lp if not cache else np.where(place > 0, np.logaddexp(math.log1p(-cache) + lp, math.log(cache) + np.log(seen / np.maximum(place, 1))), lp)
+    end = math.log(max((1 - model.new if model.new < 1 else 1) * ends / big, 1e-12))
     size = np.diff(doc)
     total = sums(old, doc) + np.where(size > 0, math.log1p(-cache), 0.0) + end
     known = sums((count > 0)[codes].astype(np.int64), doc) + int(ends > 0)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """``parts`` longs that ``repartition(parts, key)`` sends to as many different partitions: ranges dealt by them never share a task."""
+    n = int(parts * (math.log(parts + 1) + 12))
+    rows = spark.range(n).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("id")).orderBy("at").toArrow()
+    found = dict(zip(rows["at"].to_pylist(), rows["id"].to_pylist(), strict=True))
+    return np.array([found.get(i, n + i) for i in range(parts)], np.int64)
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``: the contract's way to hold rows out."""
     return F.crc32(key.cast("string").cast("binary")) % parts

@@ -333,7 +333,7 @@ def test_forward_equals_enumeration():
         if not b:
             return 1.0
         out = 0.0
-        for k in range(1, min(len(b), lattice.MAX_PIECE) + 1):
+        for k in range(1, len(b) + 1):
             h = int(textcols.hash_ranges(np.frombuffer(b[:k], np.uint8), np.array([0, k]))[0])
             if h in known:
                 out += math.exp(known[h]) * total(b[k:])
@@ -428,6 +428,7 @@ def test_near_duplicates_equal_brute_force(spark, empty):
 def test_near_duplicates_with_frequent_shingles(spark, monkeypatch, group):
     monkeypatch.setattr(triejoin, "FREQUENT", 4)
     monkeypatch.setattr(triejoin, "GROUP", group)
+    monkeypatch.setattr(triejoin, "LARGE", 4 * group)
     texts = variants() * 2
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in triejoin.near_duplicates(df).collect()}
