@@ -14,10 +14,17 @@
 4. Join.  A group's sets, most frequent shingles first, go into a path-compressed
    trie.  Each set is matched against all others at once: common paths share
    their overlap, and a subtree is left when even all that remains can't reach
-   the threshold, or when all of it is linked to the set already.
-   A group of more than ``GROUP`` sets is thinned before, by tasks that each see a
+   the threshold, or when all of it is linked to the set already; only edges that
+   are walked are read.
+   A group of more than ``LARGE`` sets is thinned before, by tasks that each see a
    part of it: sets near a pivot are tied to it, and as Jaccard distance is a
    metric, only those tied sets go on that a set beyond the pivot's reach may link.
+   A group of more than ``GROUP`` sets is cut into blocks by size and hash; blocks
+   whose sizes allow a link meet pairwise, one task for each pair, and the links of
+   all tasks are connected at the end.  So no group, however large, is one task's.
+
+Words and shingles are compared by 64-bit keyed hashes of their bytes, equal sets
+by 128 bits; a link rests on three quarters of two sets' shingles.
 
 Defined results: null texts and texts without words have an empty set, which
 links with nothing; fewer than five words are one shingle; repeated rows link;
@@ -37,17 +44,19 @@ from pyspark.sql import functions as F
 from parley.llm.blobs import pack_keys, pack_small, unpack_keys, unpack_small
 from parley.llm.decontaminate import _shingles as shingle_hashes
 from parley.llm.graphs import components
-from parley.llm.store import documents, scratch, written
-from parley.llm.textcols import concat_ranges, hash_vocab, mix64, raw, slices, split_words
+from parley.llm.store import documents, spread_keys, written
+from parley.llm.textcols import concat_ranges, hash_vocab, mix64, raw, slices, split_words, sums
 
 SIZE = 5
 #: Link when 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
 #: A shingle of so large a share of documents counts as frequent: at most SIZE-word sets / share of them exist.
 FREQUENT = 256
-#: Candidate groups of more sets are thinned by pivots before one task takes them.
-GROUP = 1000
-ROUNDS = 8
+#: Candidate groups of more than LARGE sets are thinned by pivots, ROUNDS times at most.
+LARGE = 2048
+ROUNDS = 4
+#: Sets that one task joins, about: larger groups are cut into blocks that meet pairwise.
+GROUP = 128
 #: Bytes of text that are cut into shingles at once.
 SLICE = 8 << 20
 
@@ -112,12 +121,13 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(task, schema)
 
 
-_SENT = "block long, bucket int, keys binary, owners binary, n binary, a binary, b binary, counts binary"
+_SENT = "block long, bucket long, keys binary, owners binary, n binary, a binary, b binary, counts binary"
 
 
-def _sent(docs: DataFrame, text: str, buckets: int, frequent) -> DataFrame:
+def _sent(docs: DataFrame, text: str, spread: np.ndarray, frequent) -> DataFrame:
     """Per slice: its distinct sets' shingles by range of hash, and (bucket < 0) the set table with its frequent ones."""
     names = ["block", "bucket", "keys", "owners", "n", "a", "b", "counts"]
+    buckets = len(spread)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -137,14 +147,14 @@ def _sent(docs: DataFrame, text: str, buckets: int, frequent) -> DataFrame:
             if len(hot_keys):
                 k = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
                 hot = hot_keys[k] == keys
-            rows = [[block, -1 - (block * 31 % 1009), pack_keys(keys[hot]), pack_small(owner[hot]), *table, pack_small(hot_count[k[hot]] if hot.any() else np.zeros(0, np.int64))]]
+            rows = [[block, -1 - block, pack_keys(keys[hot]), pack_small(owner[hot]), *table, pack_small(hot_count[k[hot]] if hot.any() else np.zeros(0, np.int64))]]
             keys, owner = keys[~hot], owner[~hot]
             cut = np.concatenate(([0], np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(keys)]))
             for i in np.flatnonzero(np.diff(cut)):
                 o = owner[cut[i] : cut[i + 1]]
                 used, place = np.unique(o, return_inverse=True)
-                rows.append([block, int(i), pack_keys(keys[cut[i] : cut[i + 1]]), pack_small(place), pack_small(used), d[own[used], 0].tobytes(), d[own[used], 1].tobytes(), b""])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32()] + [pa.binary()] * 6, strict=True)], names=names)
+                rows.append([block, int(spread[i]), pack_keys(keys[cut[i] : cut[i + 1]]), pack_small(place), pack_small(used), d[own[used], 0].tobytes(), d[own[used], 1].tobytes(), b""])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64()] + [pa.binary()] * 6, strict=True)], names=names)
             block += 1
 
     return docs.select(text).mapInArrow(task, _SENT)
@@ -180,7 +190,7 @@ def _shared(table: pa.Table) -> pa.Table:
         own = row == i
         out.append([rows[i]["block"], table["bucket"][0].as_py(), pack_keys(key[own]), pack_small(local[own]), b"", b"", b"", pack_small(count[own])])
     cols = list(zip(*out, strict=True)) if out else [()] * 8
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32()] + [pa.binary()] * 6, strict=True)], names=table.column_names)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.binary()] * 6, strict=True)], names=table.column_names)
 
 
 def _need(n: np.ndarray) -> np.ndarray:
@@ -239,6 +249,7 @@ class Trie:
         self.seqs = [seqs[i] for i in self.order]
         self.n = np.array(n, np.int64)[self.order]
         self.comp = self.order.copy()  # the smallest set linked, by place in sorted order
+        self._mark_changes()
         parent, depth, lo, hi, ends = [-1], [0], [0], [len(seqs)], np.zeros(len(seqs), np.int64)
         stack = [0]
         for i, s in enumerate(self.seqs):
@@ -283,16 +294,13 @@ class Trie:
         self.ending_at = np.searchsorted(ends[self.ending], np.arange(len(depth) + 1))
 
     def match(self, x: int, inside: np.ndarray) -> None:
-        """Link the x-th sorted set with every set of another component that is near enough."""
+        """Link the x-th sorted set with every set of another component that is near enough; only edges that are walked are read."""
         seq, nx, own = self.seqs[x], self.n[x], self.comp[x]
         inside[seq] = 1
-        shared = np.concatenate((np.zeros(1, np.int64), np.cumsum(inside[self.tokens])))
-        inside[seq] = 0
-        changes = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.comp[1:] != self.comp[:-1])))
         node, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
         found = []
         while len(node):
-            linked = (changes[self.hi[node] - 1] == changes[self.lo[node]]) & (self.comp[self.lo[node]] == own)
+            linked = (self.changes[self.hi[node] - 1] == self.changes[self.lo[node]]) & (self.comp[self.lo[node]] == own)
             left = len(seq) - np.searchsorted(seq, self.last[node], "right")
             can = (NUM + DEN) * (overlap + np.minimum(left, self.most[node])) >= NUM * (nx + self.least_n[node])
             node, overlap = node[can & ~linked], overlap[can & ~linked]
@@ -302,11 +310,18 @@ class Trie:
             found.append(sets[near])
             many = self.child_at[node + 1] - self.child_at[node]
             below = self.child[concat_ranges(self.child_at[node], many)]
-            overlap = np.repeat(overlap, many) + shared[self.edge[below + 1]] - shared[self.edge[below]]
-            node = below
+            size = self.edge[below + 1] - self.edge[below]
+            shared = sums(inside[self.tokens[concat_ranges(self.edge[below], size)]], np.concatenate(([0], np.cumsum(size))))
+            node, overlap = below, np.repeat(overlap, many) + shared
+        inside[seq] = 0
         tops = np.unique(np.append(self.comp[np.concatenate(found)], own))
         if len(tops) > 1:
             self.comp[np.isin(self.comp, tops)] = tops[0]
+            self._mark_changes()
+
+    def _mark_changes(self) -> None:
+        """Running number of changes of component along the sorted sets: equal at two places where all between are of one."""
+        self.changes = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.comp[1:] != self.comp[:-1])))
 
     def join(self) -> np.ndarray:
         """For each set the smallest set (by place given) that links reach."""
@@ -357,10 +372,13 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _thinned(grouped: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(groups that still need a join, ties found on the way): exact, whatever the size of a group."""
+    """(groups to join, ties found on the way): the bulk of a large group is tied to pivots, which leaves less to join.
+
+    Exact: what goes on is every set that may link with one that is not tied yet.
+    """
     ties = None
     for _ in range(ROUNDS):
-        big = grouped.groupBy("component").agg(F.count("*").alias("__many"), F.min_by(F.struct(F.col("set").alias("pivot"), F.col("n").alias("pivot_n"), F.col("keys").alias("pivot_keys")), "set").alias("p")).where(F.col("__many") > GROUP)
+        big = grouped.groupBy("component").agg(F.count("*").alias("__many"), F.min_by(F.struct(F.col("set").alias("pivot"), F.col("n").alias("pivot_n"), F.col("keys").alias("pivot_keys")), "set").alias("p")).where(F.col("__many") > LARGE)
         big = written(big.select("component", "p.*"), "pivots")
         if big.isEmpty():
             break
@@ -375,6 +393,28 @@ def _thinned(grouped: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return grouped, ties
 
 
+def _cells(grouped: DataFrame) -> DataFrame:
+    """The sets of groups, dealt to cells: a small group is one cell, a large one is cut into blocks that meet pairwise.
+
+    Blocks hold about ``GROUP`` sets of a band of sizes.  Sets that link differ in
+    size by a third at most, so a block meets those of its own band and of the next.
+    """
+    whole = grouped.groupBy("component").agg(F.count("*").alias("__many"))
+    banded = grouped.join(whole, "component").withColumn("band", F.when(F.col("__many") > GROUP, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9)).otherwise(F.lit(0)).cast("long")).drop("__many")
+    sizes = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
+    above = sizes.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = sizes.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    plan = sizes.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left")
+    # A group of one small band keeps one cell.
+    placed = banded.join(plan, ["component", "band"]).withColumn("at", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    number = lambda n: F.when(n.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
+    cell = lambda band, i, j, kind: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    own = F.transform(number(F.col("blocks")), lambda j: cell(F.col("band"), F.least("at", j), F.greatest("at", j), 0))
+    up = F.transform(number(F.col("above")), lambda j: cell(F.col("band"), F.col("at"), j, 1))
+    down = F.transform(number(F.col("below")), lambda j: cell(F.col("band") - 1, j, F.col("at"), 1))
+    return placed.select("set", "n", "keys", "counts", "component", F.explode(F.concat(own, up, down)).alias("cell"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the smallest key among all that links reach."""
     spark = docs.sparkSession
@@ -389,8 +429,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hot_keys = hot["a"].to_numpy().view(np.uint64)
     order = np.argsort(hot_keys)
     sent = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy()[order]))
-    replies = _sent(docs, text, parts, sent).groupBy("bucket").applyInArrow(_shared, _SENT)
-    classes = replies.groupBy("block").applyInArrow(_eligible, "a long, b long, n long, shared long, keys binary, counts binary")
+    spread = spread_keys(spark, parts)
+    replies = _sent(docs, text, spread, sent).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, _SENT)
+    classes = replies.repartition(parts, "block").groupBy("block").applyInArrow(_eligible, "a long, b long, n long, shared long, keys binary, counts binary")
     best = classes.groupBy("a", "b", "n").agg(F.max_by(F.struct("shared", "keys", "counts"), "shared").alias("s"))
     sets = written(best.select(F.monotonically_increasing_id().alias("set"), "a", "b", "n", "s.*"), "sets")
     prefix = sets.select("set", "n", "shared", "keys").mapInArrow(_prefixes, "key long, set long")
@@ -400,10 +441,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups = components(ties)
     grouped = written(sets.join(groups, sets.set == groups.node).select("set", "n", "keys", "counts", "component"), "grouped")
     grouped, ties = _thinned(grouped)
-    tops = grouped.groupBy("component").applyInArrow(_joined, "set long, top long")
-    if ties is not None:
-        links = tops.select(F.col("set").alias("src"), F.col("top").alias("dst")).unionByName(ties)
-        tops = components(links).select(F.col("node").alias("set"), F.col("component").alias("top"))
+    links = _cells(grouped).groupBy("component", "cell").applyInArrow(_joined, "set long, top long").select(F.col("set").alias("src"), F.col("top").alias("dst"))
+    links = links.where("src <> dst")
+    tops = components(links if ties is None else links.unionByName(ties)).select(F.col("node").alias("set"), F.col("component").alias("top"))
     tops = written(tops, "tops")
     # Smallest key of a class, then of a component of classes.
     least = members.where("n > 0").groupBy("a", "b", "n").agg(F.min(key).alias("least"))
