@@ -1,20 +1,21 @@
 """Lossless coding of token ids by context mixing and a range coder.
 
 A stream of ids is cut into blocks; each block starts from a fresh model and has
-its own checksum, so one can be read, or lost, without the others.  Many blocks
-advance side by side: every step codes the next id of each of them with numpy
-vectors over the blocks ("lanes"), in encoder and decoder alike.
+its own checksum, so one can be read, or lost, without the others.  A block is
+cut into lanes that advance side by side: every step codes the next id of each of
+them with numpy vectors, in encoder and decoder alike.  The lanes of a block
+share one model, so it learns from all of them.
 
 The model mixes three predictions of the next id:
 
 * order 2: the id that followed the last two ids when they last occurred;
 * order 1: the id that followed the last id when it last occurred;
-* order 0: adaptive counts over ranges of ids, refreshed every few steps.
+* order 0: adaptive counts of every id, taken up every few steps.
 
-Each of the first two puts its weight on one id, a weight that follows how often
-it was right lately at its present confidence; the rest goes to order 0.  The
-range of a step is shared out in that order, and a 48-bit range coder turns the
-shares into 16-bit words.
+The mixing weights are counts too: in each state (how often either prediction has
+held lately, and whether they agree) how often order 2, order 1 or neither was
+right.  The range of a step is shared out in that order, and a 48-bit range coder
+turns the shares into 16-bit words.
 """
 
 from __future__ import annotations
@@ -24,14 +25,18 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMRC1\n"
-BLOCK = 1024
-BITS = 24
+MAGIC = b"CMRC2\n"
+#: Ids of a block, and of one whose ids are coded by their rank among the block's own.
+BLOCK, RANKED = 1 << 20, 1 << 18
+#: Lanes of a block at most, and ids of a lane at least.
+LANES, STEPS = 2048, 256
+BITS = 28
 TOTAL = 1 << BITS
-BINS = 64
-BASE = 1 << 16
-REFRESH = 64
-SLOTS1, SLOTS2 = 512, 1024
+#: Resolution of order 0; larger ids are coded by rank.
+BASE = 1 << 20
+MOST = BASE >> 1
+SLOTS = 1 << 20
+REFRESH = 16
 U = np.uint64
 
 
@@ -39,213 +44,192 @@ class BlockError(ValueError):
     """A block whose checksum does not hold."""
 
 
-def _edges(n_ids: int) -> np.ndarray:
-    """Bin edges over ids 0..n_ids: narrow where ids are small and frequent."""
-    x = np.linspace(0, 1, BINS + 1)
-    edges = np.floor(n_ids * (np.exp(5 * x) - 1) / (np.exp(5) - 1)).astype(np.int64)
-    edges = np.maximum(edges, np.arange(BINS + 1))
-    edges[-1] = max(n_ids, BINS)
-    return edges
-
-
-class _Lanes:
-    """Models of all lanes at once; tables are flat, a slot holds id * 4 + confidence."""
-
-    def __init__(self, lanes: int, n_ids: int) -> None:
-        self.n = lanes
-        self.edges = _edges(n_ids)
-        self.width = np.diff(self.edges)
-        self.bin_of = np.repeat(np.arange(BINS), self.width)
-        self.edge_of = self.edges[self.bin_of]
-        self.count = np.ones(lanes * BINS, np.int64)
-        self.t1 = np.zeros(lanes * SLOTS1, np.int32)
-        self.t2 = np.zeros(lanes * SLOTS2, np.int32)
-        lane = np.arange(lanes)
-        self.o1, self.o2, self.ob, self.oc, self.oa = lane * SLOTS1, lane * SLOTS2, lane * BINS, lane * (BINS + 1), lane * 4
-        # Chance, in TOTAL, that a prediction of confidence 0..3 holds.
-        self.a1 = np.tile(np.array([64, TOTAL // 16, TOTAL // 6, TOTAL // 4], np.int64), lanes)
-        self.a2 = np.tile(np.array([64, TOTAL // 4, TOTAL // 2, TOTAL // 2], np.int64), lanes)
+class _Model:
+    """The shared model of a block's lanes; a slot holds id * 4 + confidence."""
+
+    def __init__(self, lanes: int, n_ids: int, inverse: bool) -> None:
+        self.n_ids, self.inverse = n_ids, inverse
+        self.count = np.zeros(n_ids, np.int64)
+        self.seen: list[np.ndarray] = []
+        self.t1 = np.zeros(n_ids, np.int64)
+        self.t2 = np.zeros(SLOTS, np.int64)
+        #: By state: how often order 2, order 1 and neither held.
+        self.weight = np.ones((32, 3), np.int64)
         self.p = np.zeros(lanes, np.int64)
         self.pp = np.zeros(lanes, np.int64)
         self.step = 0
 
-    def refresh(self) -> None:
-        """Cumulative frequencies of order 0: every id keeps at least 1 of BASE."""
-        room = BASE - int(self.width.sum())
-        count = self.count.reshape(self.n, BINS)
-        scale = room / count.sum(1, keepdims=True)
-        per = 1 + (count * scale / self.width).astype(np.int64)
-        cum = np.zeros((self.n, BINS + 1), np.int64)
-        np.cumsum(per * self.width, 1, out=cum[:, 1:])
-        self.per, self.cum = per.ravel(), cum.ravel()
+    def _refresh(self) -> None:
+        if self.seen:
+            self.count += np.bincount(np.concatenate(self.seen), minlength=self.n_ids)
+            self.seen = []
+        self.per = 1 + self.count * (BASE - self.n_ids) // max(1, int(self.count.sum()))
+        if not self.count.any():
+            self.per[:] = BASE // self.n_ids
+        self.cum = np.zeros(self.n_ids + 1, np.int64)
+        np.cumsum(self.per, out=self.cum[1:])
+        if self.inverse:
+            self.id_at = np.repeat(np.arange(self.n_ids, dtype=np.int32), self.per)
 
     def predict(self) -> None:
-        if self.step % REFRESH == 0:
-            self.refresh()
+        if self.step in (1, 2, 4, 8) or self.step % REFRESH == 0:
+            self._refresh()
         self.step += 1
-        self.h1 = (self.p * 40503 & SLOTS1 - 1) + self.o1
-        self.h2 = (self.p * 2654435761 + self.pp * 40503 >> 7 & SLOTS2 - 1) + self.o2
-        x1, x2 = self.t1.take(self.h1).astype(np.int64), self.t2.take(self.h2).astype(np.int64)
+        self.h2 = (self.p * 2654435761 + self.pp * 320255973 >> 5) & SLOTS - 1
+        x1, x2 = self.t1.take(self.p), self.t2.take(self.h2)
         self.s1, self.s2 = x1 & 3, x2 & 3
         self.p1, self.p2 = x1 >> 2, x2 >> 2
-        self.i1, self.i2 = self.oa + self.s1, self.oa + self.s2
-        self.r1, self.r2 = self.a1.take(self.i1), self.a2.take(self.i2)
+        self.state = self.s2 * 8 + self.s1 * 2 + (self.p1 == self.p2)
         # Orders 1 and 2 keep a sliver of the range at least, and order 0 a thirty-second.
-        self.w2 = np.maximum(self.r2 - (self.r2 >> 4), 256)
-        w1 = (TOTAL - self.w2) * (self.r1 >> 8) >> BITS - 8
-        self.w12 = np.minimum(self.w2 + np.maximum(w1, 256), TOTAL - (TOTAL >> 5))
-        self.mult = TOTAL - self.w12 >> 16
+        share = self.weight * TOTAL // self.weight.sum(1, keepdims=True)
+        w2 = np.clip(share[:, 0], 256, TOTAL - (TOTAL >> 4))
+        w12 = np.minimum(w2 + np.maximum(share[:, 1], 256), TOTAL - (TOTAL >> 5))
+        self.w2, self.w12, self.mult = w2.take(self.state), w12.take(self.state), (TOTAL - w12 >> 20).take(self.state)
 
     def low_freq(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The part of the range that codes each id."""
-        b = self.bin_of.take(ids)
-        per = self.per.take(b + self.ob)
-        low = self.w12 + (self.cum.take(b + self.oc) + (ids - self.edge_of.take(ids)) * per) * self.mult
-        freq = per * self.mult
-        self.hit2 = ids == self.p2
-        self.hit1 = (ids == self.p1) & ~self.hit2
-        np.copyto(low, self.w2, where=self.hit1)
-        np.copyto(freq, self.w12 - self.w2, where=self.hit1)
-        np.copyto(low, 0, where=self.hit2)
-        np.copyto(freq, self.w2, where=self.hit2)
+        low = self.w12 + self.cum.take(ids) * self.mult
+        freq = self.per.take(ids) * self.mult
+        hit2 = ids == self.p2
+        hit1 = (ids == self.p1) & ~hit2
+        np.copyto(low, self.w2, where=hit1)
+        np.copyto(freq, self.w12 - self.w2, where=hit1)
+        np.copyto(low, 0, where=hit2)
+        np.copyto(freq, self.w2, where=hit2)
         return low, freq
 
-    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose part of the range holds ``target``, with that part."""
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The id whose part of the range holds ``target``."""
         ids = np.where(target < self.w2, self.p2, self.p1)
-        low = np.where(target < self.w2, 0, self.w2)
-        freq = np.where(target < self.w2, self.w2, self.w12 - self.w2)
         rest = np.flatnonzero(target >= self.w12)
-        mult, base = self.mult[rest], self.w12[rest]
-        t = ((target[rest] - base).astype(np.float64) / mult).astype(np.int64)
-        at = self.oc[rest]
-        first = at
-        for half in _HALVES:
-            at = at + half * (self.cum.take(at + half) <= t)
-        b = at - first
-        start, per = self.cum.take(at), self.per.take(b + self.ob[rest])
-        k = np.minimum(((t - start).astype(np.float64) / per).astype(np.int64), self.width.take(b) - 1)
-        ids[rest] = self.edges.take(b) + k
-        low[rest] = base + (start + k * per) * mult
-        freq[rest] = per * mult
-        self.hit2 = ids == self.p2
-        self.hit1 = (ids == self.p1) & ~self.hit2
-        return ids, low, freq
+        at = (target[rest] - self.w12[rest]) // self.mult[rest]
+        ids[rest] = self.id_at.take(np.minimum(at, len(self.id_at) - 1))
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
         """Weights and predictions follow what came; order 1 learns as well where order 2 spoke first."""
-        hit1 = self.hit1 | self.hit2 & (self.p1 == self.p2)
-        for a, r, i, s, t, h, p, hit in ((self.a1, self.r1, self.i1, self.s1, self.t1, self.h1, self.p1, hit1), (self.a2, self.r2, self.i2, self.s2, self.t2, self.h2, self.p2, self.hit2)):
-            a[i] = r + ((hit * TOTAL - r) >> 5)
-            t[h] = _NEXT.take(s + 4 * hit) + 4 * np.where(hit | (s > 2), p, ids)
-        self.count[self.bin_of.take(ids) + self.ob] += 24
+        hit1, hit2 = ids == self.p1, ids == self.p2
+        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+        self.weight += np.bincount(self.state * 3 + outcome, minlength=96).reshape(32, 3)
+        # Where lanes meet in a slot the last one stays, in encoder and decoder alike.
+        self.t1[self.p] = _NEXT.take(self.s1 + 4 * hit1) + 4 * np.where(hit1 | (self.s1 > 2), self.p1, ids)
+        self.t2[self.h2] = _NEXT.take(self.s2 + 4 * hit2) + 4 * np.where(hit2 | (self.s2 > 2), self.p2, ids)
+        self.seen.append(ids)
         self.pp, self.p = self.p, ids
 
 
 #: Confidence after a miss from 0..3, then after a hit.
 _NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3])
-_HALVES = [BINS >> k for k in range(1, BINS.bit_length())]
-
 
-def _lane_major(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(steps x lanes, ids per lane); the last lane may be short."""
-    lanes = -(-len(ids) // BLOCK)
-    per = np.full(lanes, BLOCK)
-    per[-1] = len(ids) - BLOCK * (lanes - 1)
-    grid = np.zeros(lanes * BLOCK, np.int64)
-    grid[: len(ids)] = ids
-    return np.ascontiguousarray(grid.reshape(lanes, BLOCK).T), per
 
-
-def encode_blocks(ids: np.ndarray) -> bytes:
-    """Blocks of ``BLOCK`` ids, each independently coded and checksummed."""
-    if not len(ids):
-        return struct.pack("<II", 0, 0)
-    n_ids = int(ids.max()) + 1
-    if n_ids > BASE - 1024:
-        raise ValueError("ids of 64512 and above do not fit this model")
-    grid, per = _lane_major(ids)
-    lanes = len(per)
-    model = _Lanes(lanes, n_ids)
+def _shape(n: int) -> tuple[int, int]:
+    """(lanes, steps) of a block of n ids."""
+    lanes = min(LANES, max(1, n // STEPS))
+    return lanes, -(-n // lanes)
+
+
+def _encode_block(ids: np.ndarray) -> bytes:
+    lanes, steps = _shape(len(ids))
+    names = np.zeros(0, np.uint32)
+    grid = ids.astype(np.int64)
+    if int(ids.max()) >= MOST:
+        names, grid = np.unique(ids, return_inverse=True)
+        grid = grid.reshape(-1)
+    n_ids = int(grid.max()) + 1
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[: len(ids)] = grid
+    grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    model = _Model(lanes, n_ids, False)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    words = np.zeros((lanes, 2 * BLOCK + 8), np.int64)
+    words = np.zeros((lanes, 2 * steps + 8), np.int64)
     used = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
     mask = U((1 << 48) - 1)
-    for step in range(int(per.max())):
+    for sym in grid:
         model.predict()
-        sym = grid[step]
         at, freq = model.low_freq(sym)
         model.learn(sym)
-        live = slice(0, lanes) if step < per[-1] else slice(0, lanes - 1)
-        r = span[live] >> U(BITS)
-        moved = low[live] + r * at[live].astype(np.uint64)
-        carry = (moved >> U(48)).astype(np.int64)
-        words[lane[live], np.maximum(used[live] - 1, 0)] += carry
-        low[live] = moved & mask
-        span[live] = r * freq[live].astype(np.uint64)
-        small = np.flatnonzero(span[live] < U(1 << 32))
+        r = span >> U(BITS)
+        low += r * at.view(np.uint64)
+        over = np.flatnonzero(low > mask)
+        if over.size:
+            words[over, used[over] - 1] += 1
+            low &= mask
+        span = r * freq.view(np.uint64)
+        small = np.flatnonzero(span < U(1 << 32))
         while small.size:
-            words[small, used[small]] = (low[small] >> U(32)).astype(np.int64)
+            words[small, used[small]] = (low[small] >> U(32)).view(np.int64)
             used[small] += 1
             low[small] = (low[small] << U(16)) & mask
             span[small] <<= U(16)
             small = small[span[small] < U(1 << 32)]
+    lane = np.arange(lanes)
     for _ in range(3):
-        words[lane, used] = (low >> U(32)).astype(np.int64)
+        words[lane, used] = (low >> U(32)).view(np.int64)
         used += 1
         low = (low << U(16)) & mask
     for i in range(int(used.max()) - 1, 0, -1):
         words[:, i - 1] += words[:, i] >> 16
         words[:, i] &= 0xFFFF
-    out = [struct.pack("<II", lanes, n_ids)]
-    for k in range(lanes):
-        body = words[k, : used[k]].astype("<u2").tobytes()
-        own = ids[k * BLOCK : k * BLOCK + per[k]].astype("<u4").tobytes()
-        out.append(struct.pack("<III", int(per[k]), len(body), zlib.crc32(own)) + body)
-    return b"".join(out)
+    keep = np.arange(words.shape[1]) < used[:, None]
+    body = words[keep].astype("<u2").tobytes()
+    head = struct.pack("<IIII", len(ids), n_ids, len(names), zlib.crc32(ids.astype("<u4").tobytes()))
+    return head + names.astype("<u4").tobytes() + used.astype("<u4").tobytes() + struct.pack("<I", len(body)) + body
 
 
-def decode_blocks(blob: bytes) -> np.ndarray:
-    """The ids again; a block whose checksum fails raises ``BlockError``."""
-    lanes, n_ids = struct.unpack_from("<II", blob)
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    at, per, bodies, sums = 8, np.zeros(lanes, np.int64), [], []
-    for k in range(lanes):
-        per[k], size, check = struct.unpack_from("<III", blob, at)
-        bodies.append(np.frombuffer(blob, "<u2", size // 2, at + 12))
-        sums.append(check)
-        at += 12 + size
-    words = np.zeros((lanes, max(map(len, bodies)) + 4), np.uint64)
-    for k, body in enumerate(bodies):
-        words[k, : len(body)] = body
-    model = _Lanes(lanes, n_ids)
+def encode_blocks(ids: np.ndarray) -> bytes:
+    """Blocks of at most ``BLOCK`` ids, each independently coded and checksummed."""
+    size = BLOCK if not len(ids) or int(ids.max()) < MOST else RANKED
+    blocks = [_encode_block(ids[lo : lo + size]) for lo in range(0, len(ids), size)]
+    return struct.pack("<I", len(blocks)) + b"".join(struct.pack("<I", len(b)) + b for b in blocks)
+
+
+def _decode_block(blob: bytes) -> np.ndarray:
+    n, n_ids, ranked, check = struct.unpack_from("<IIII", blob)
+    lanes, steps = _shape(n)
+    names = np.frombuffer(blob, "<u4", ranked, 16)
+    used = np.frombuffer(blob, "<u4", lanes, 16 + 4 * ranked).astype(np.int64)
+    at = 16 + 4 * (ranked + lanes)
+    body = np.frombuffer(blob, "<u2", struct.unpack_from("<I", blob, at)[0] // 2, at + 4)
+    words = np.zeros((lanes, int(used.max()) + 4), np.uint64)
+    words[np.arange(words.shape[1]) < used[:, None]] = body
+    model = _Model(lanes, n_ids, True)
     code = (words[:, 0] << U(32)) | (words[:, 1] << U(16)) | words[:, 2]
     read = np.full(lanes, 3)
     last = words.shape[1] - 1
     span = np.full(lanes, (1 << 48) - 1, np.uint64)
-    out = np.zeros((int(per.max()), lanes), np.int64)
-    for step in range(len(out)):
+    out = np.zeros((steps, lanes), np.int64)
+    for step in range(steps):
         model.predict()
         r = span >> U(BITS)
-        target = np.minimum(code // r, U(TOTAL - 1)).astype(np.int64)
-        sym, low, freq = model.find(target)
+        target = np.minimum(code // r, U(TOTAL - 1)).view(np.int64)
+        sym = model.find(target)
+        low, freq = model.low_freq(sym)
         model.learn(sym)
         out[step] = sym
-        code = code - r * low.astype(np.uint64)
-        span = r * freq.astype(np.uint64)
-        if step >= per[-1]:  # the short lane has ended
-            code[-1], span[-1] = 0, (1 << 48) - 1
+        code -= r * low.view(np.uint64)
+        span = r * freq.view(np.uint64)
         small = np.flatnonzero(span < U(1 << 32))
         while small.size:
             code[small] = (code[small] << U(16)) | words[small, np.minimum(read[small], last)]
             read[small] += 1
             span[small] <<= U(16)
             small = small[span[small] < U(1 << 32)]
-    flat = out.T
-    parts = [flat[k, : per[k]].astype("<u4") for k in range(lanes)]
-    for k, (part, check) in enumerate(zip(parts, sums, strict=True)):
-        if zlib.crc32(part.tobytes()) != check:
-            raise BlockError(f"block {k}: checksum does not hold")
+    ids = out.T.reshape(-1)[:n]
+    ids = (names[ids] if ranked else ids).astype("<u4")
+    if zlib.crc32(ids.tobytes()) != check:
+        raise BlockError("a block's checksum does not hold")
+    return ids
+
+
+def decode_blocks(blob: bytes) -> np.ndarray:
+    """The ids again; a block whose checksum fails raises ``BlockError``."""
+    (count,) = struct.unpack_from("<I", blob)
+    at, parts = 4, [np.zeros(0, np.uint32)]
+    for _ in range(count):
+        (size,) = struct.unpack_from("<I", blob, at)
+        try:
+            parts.append(_decode_block(blob[at + 4 : at + 4 + size]))
+        except (ValueError, IndexError, ZeroDivisionError, struct.error) as e:
+            raise BlockError(f"a block can't be read: {e}") from e
+        at += 4 + size
     return np.concatenate(parts)
