@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with merged shard suffix orders.
+"""Removal of repeated byte strings with merged Burrows-Wheeler transforms of shards.
 
 Removed is each byte that a string of ``LENGTH`` bytes covers which also starts
 anywhere else.  A full suffix order of a large corpus is out of reach, and only
@@ -10,13 +10,13 @@ suffixes at places where a repeat can be matter; so the order is sparse:
    anchors' surroundings, by range of hash; reducers answer how often each occurs.
    An anchor that occurs once is in no repeat.  Surroundings that occur again as a
    whole are repeated as a whole, and one copy of them goes on.
-3. Merge.  Each slice is a shard: it sends its anchored suffixes, in order, with
-   the bytes before them (what a Burrows-Wheeler transform keeps of a suffix, here
-   ``LENGTH - GRAM`` of them).  A reducer merges the shards' orders by iterative
-   interleave refinement: starting from one interval per anchor, each pass reads
-   the next eight bytes of the suffixes that are not told apart yet, keeps the
-   shards' order within an interval, and splits it; where two neighbours part,
-   their common prefix is known.  Suffixes are never sorted as strings.
+3. Merge.  Each slice is a shard: of the strings from its anchors on (and of those
+   back from them) it builds the Burrows-Wheeler transform over symbols of eight
+   bytes, and sends only that.  A reducer merges the shards' transforms by
+   iterative interleave refinement: each pass takes the symbols before the
+   suffixes from the shards by rank and distributes the interleave by them, until
+   the anchors stand in front.  The merged order, and where neighbours part, follow
+   from the interleave alone; suffixes are never sorted again.
 4. Intervals.  The intervals of equal prefixes form a tree.  Within one, the same
    merge of the bytes before the anchors (backwards) gives the longest common
    left context; with the interval's depth it makes a repeat of at least ``LENGTH``.
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.blobs import pack_keys, pack_small, unpack_keys, unpack_small
-from parley.llm.store import documents, scratch
+from parley.llm.store import documents, scratch, spread_keys
 from parley.llm.textcols import concat_ranges, mix64, raw, slices
 
 LENGTH = 200
@@ -135,12 +135,12 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(keys)]))
 
 
-def _ask(buckets: int):
+def _ask(spread: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, anchor, around in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys, counts = np.unique(np.concatenate((np.frombuffer(anchor, np.uint64), np.frombuffer(around, np.uint64))), return_counts=True)
-                yield _by_bucket(block, keys, counts, buckets)
+                yield _by_bucket(block, keys, counts, spread)
 
     return task
 
@@ -158,7 +158,7 @@ def _answerer(hot: int):
         code[first[again]] = 2
         code += 4 * (total > hot)[place]
         parts = np.split(code, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "reply": pa.array([pack_small(c) for c in parts], pa.binary()), "hot": pa.array([bool((c > 3).any()) for c in parts])})
+        return pa.table({"block": table["block"], "part": table["part"], "reply": pa.array([pack_small(c) for c in parts], pa.binary()), "hot": pa.array([bool((c > 3).any()) for c in parts])})
 
     return answer
 
@@ -196,23 +196,23 @@ def _hot_strings(r: dict) -> tuple[np.ndarray, np.ndarray]:
         return start, mix64((total[start + LENGTH] - total[start]) * back[start])
 
 
-def _ask_strings(buckets: int):
+def _ask_strings(spread: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 _, h = _hot_strings(r)
                 keys, counts = np.unique(h, return_counts=True)
-                yield _by_bucket(r["block"], keys, counts, buckets)
+                yield _by_bucket(r["block"], keys, counts, spread)
 
     return task
 
 
-def _by_bucket(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    cut = _cuts(keys, buckets)
+def _by_bucket(block: int, keys: np.ndarray, counts: np.ndarray, spread: np.ndarray) -> pa.RecordBatch:
+    cut = _cuts(keys, len(spread))
     full = np.flatnonzero(np.diff(cut))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(full), block), pa.int64()), pa.array(full, pa.int32()), pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()), pa.array([pack_small(counts[cut[i] : cut[i + 1]]) for i in full], pa.binary())],
-        names=["block", "bucket", "keys", "counts"],
+        [pa.array(np.full(len(full), block), pa.int64()), pa.array(spread[full], pa.int64()), pa.array(full, pa.int32()), pa.array([pack_keys(keys[cut[i] : cut[i + 1]]) for i in full], pa.binary()), pa.array([pack_small(counts[cut[i] : cut[i + 1]]) for i in full], pa.binary())],
+        names=["block", "bucket", "part", "keys", "counts"],
     )
 
 
@@ -234,8 +234,63 @@ def _symbols(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
 
 
-def _suffixes(buckets: int):
-    """Slices with their replies to (block, bucket, anchors, ids, sizes, right, left) rows in suffix order."""
+def transform(symbols: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The Burrows-Wheeler transform of strings of equal length, over symbols of eight bytes, by groups of strings.
+
+    Row j holds, for the suffixes that begin at symbol j + 1 and in their order, the
+    symbols before them.  Each order follows from the next one's by a stable
+    distribution of these symbols, so no two suffixes are ever compared.  Strings of
+    one group stand together; a group's part is the group's own transform.
+    """
+    n, m = symbols.shape
+    order = np.arange(n)
+    out = np.empty((m, n), np.uint64)
+    for j in range(m - 1, -1, -1):
+        before = symbols[order, j]
+        out[j] = before[np.argsort(group[order], kind="stable")]
+        order = order[np.argsort(before, kind="stable")]
+    return out
+
+
+def merge_transforms(parts: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merged order of all strings of the shards, and each one's common prefix (bytes) with the one before.
+
+    ``first`` is what stands before the strings, shard after shard: their anchors.
+    The interleave says from which shard each merged suffix comes.  At the empty
+    suffix it is shard after shard; a pass takes from each shard the next symbol
+    before its suffixes, by rank, and distributes the interleave stably by them,
+    which refines it by one symbol.  Where two neighbours part is then read off.
+    """
+    n, m = len(first), len(parts[0])
+    shard = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+    row = np.arange(n)
+    text = np.empty((m, n), np.uint64)
+    for j in range(m - 1, -1, -1):
+        before = np.empty(n, np.uint64)
+        before[np.argsort(shard[row], kind="stable")] = np.concatenate([p[j] for p in parts])
+        text[j, row] = before
+        row = row[np.argsort(before, kind="stable")]
+    row = row[np.argsort(first[row], kind="stable")]
+    common = np.zeros(n, np.int64)
+    a, b = row[:-1], row[1:]
+    same = first[a] == first[b]
+    diff = np.zeros(n - 1, np.uint64)
+    parted = ~same
+    for j in range(m):
+        x = text[j, a] ^ text[j, b]
+        new = ~parted & (x != 0)
+        common[1:][new] = 8 * j
+        diff[new] = x[new]
+        parted |= new
+    for k in range(1, 8):
+        common[1:] += (diff > 0) & (diff < np.uint64(1 << (64 - 8 * k)))
+    common[1:][same & ~parted] = 8 * m
+    return row, common
+
+
+def _suffixes(spread: np.ndarray):
+    """Slices with their replies to (block, bucket, anchors, ids, sizes, right, left) rows: the transforms of a shard's strings from its anchors on, and back."""
+    buckets = len(spread)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "bucket", "anchors", "ids", "sizes", "right", "left"]
@@ -249,59 +304,24 @@ def _suffixes(buckets: int):
                 some = np.flatnonzero(again & ((code == 0) | ((code == 2) & first)))
                 if not len(some):
                     continue
+                some = some[np.argsort(anchor[some], kind="stable")]
                 data = _bytes(r)
                 doc = np.searchsorted(offs, at[some], "right") - 1
                 left = np.minimum(at[some] - offs[doc], LEFT)
                 right = np.minimum(offs[doc + 1] - at[some], RIGHT)
-                ahead = _padded(data, at[some], right, RIGHT_W, 1)
-                behind = _padded(data, at[some] - 1, left, LEFT_W, -1)
-                # The shard's own suffix order, anchor by anchor.
-                sym = _symbols(ahead)
-                order = np.lexsort((*[sym[:, j] for j in range(sym.shape[1] - 1, -1, -1)], anchor[some]))
-                some, left, right, ahead, behind = some[order], left[order], right[order], ahead[order], behind[order]
                 cut = _cuts(anchor[some], buckets)
+                group = np.repeat(np.arange(buckets), np.diff(cut))
+                ahead = transform(_symbols(_padded(data, at[some], right, RIGHT_W, 1)), group)
+                behind = transform(_symbols(_padded(data, at[some] - 1, left, LEFT_W, -1)), group)
                 rows = []
                 for i in np.flatnonzero(np.diff(cut)):
                     own = slice(cut[i], cut[i + 1])
-                    rows.append([r["block"], int(i), pack_keys(anchor[some[own]]), pack_small(2 * some[own] + (code[some[own]] > 0)), pack_small(left[own] * 256 + right[own]), ahead[own].tobytes(), behind[own].tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32()] + [pa.binary()] * 5, strict=True)], names=names)
+                    rows.append([r["block"], int(spread[i]), pack_keys(anchor[some[own]]), pack_small(2 * some[own] + (code[some[own]] > 0)), pack_small(left[own] * 256 + right[own]), ahead[:, own].tobytes(), behind[:, own].tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64()] + [pa.binary()] * 5, strict=True)], names=names)
 
     return task
 
 
-def merge_orders(group: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merged order of rows that stand shard after shard, and each row's common prefix with the one before.
-
-    ``group`` holds ascending start intervals (one per anchor).  Each pass refines
-    the interleave of the rows that still share an interval by their next symbol.
-    """
-    n = len(group)
-    order = np.argsort(group, kind="stable")
-    interval = np.unique(group[order], return_inverse=True)[1].reshape(-1)
-    common = np.zeros(n, np.int64)
-    for j in range(symbols.shape[1]):
-        size = np.bincount(interval)
-        live = np.flatnonzero(size[interval] > 1)
-        if not len(live):
-            break
-        sym = symbols[order[live], j]
-        by = np.lexsort((sym, interval[live]))
-        order[live] = order[live][by]
-        sym, own = sym[by], interval[live]
-        split = np.flatnonzero((own[1:] == own[:-1]) & (sym[1:] != sym[:-1])) + 1
-        diff = sym[split] ^ sym[split - 1]
-        equal = np.zeros(len(split), np.int64)
-        for k in range(1, 8):
-            equal += diff < np.uint64(1 << (64 - 8 * k))
-        common[live[split]] = 8 * j + equal
-        new = np.zeros(n, np.int64)
-        new[live[split]] = 1
-        interval = interval + np.cumsum(new)
-    same = np.flatnonzero(interval[1:] == interval[:-1]) + 1
-    common[same] = 8 * symbols.shape[1]
-    return order, common
-
-
 class _Least:
     """Minimum of a run of an array, from a table of powers of two."""
 
@@ -321,13 +341,13 @@ class _Least:
         return out
 
 
-def repeated_reach(anchor: np.ndarray, right: np.ndarray, left: np.ndarray, right_n: np.ndarray, left_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchored suffix, how far repeats of LENGTH bytes around it reach (left, right); 0, 0 without any."""
+def repeated_reach(anchor: np.ndarray, right: list[np.ndarray], left: list[np.ndarray], right_n: np.ndarray, left_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the shards' transforms: for each anchored suffix, how far repeats of LENGTH bytes around it reach (left, right); 0, 0 without any."""
     n = len(anchor)
     reach_l, reach_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order, common = merge_orders(anchor, _symbols(right))
+    order, common = merge_transforms(right, anchor)
     common[1:] = np.minimum(common[1:], np.minimum(right_n[order[1:]], right_n[order[:-1]]))
-    by_left, left_common = merge_orders(anchor, _symbols(left))
+    by_left, left_common = merge_transforms(left, anchor)
     left_common[1:] = np.minimum(left_common[1:], np.minimum(left_n[by_left[1:]], left_n[by_left[:-1]]))
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
@@ -363,8 +383,8 @@ def _merged(table: pa.Table) -> pa.Table:
     anchor = np.concatenate([unpack_keys(r["anchors"]) for r in rows])
     ids = [unpack_small(r["ids"]) for r in rows]
     sizes = np.concatenate([unpack_small(r["sizes"]) for r in rows])
-    right = np.frombuffer(b"".join(r["right"] for r in rows), np.uint8).reshape(-1, RIGHT_W)
-    left = np.frombuffer(b"".join(r["left"] for r in rows), np.uint8).reshape(-1, LEFT_W)
+    right = [np.frombuffer(r["right"], np.uint64).reshape(RIGHT_W // 8, -1) for r in rows]
+    left = [np.frombuffer(r["left"], np.uint64).reshape(LEFT_W // 8, -1) for r in rows]
     reach_l, reach_r = repeated_reach(anchor, right, left, sizes % 256, sizes // 256)
     out, lo = [], 0
     for r, own in zip(rows, ids, strict=True):
@@ -427,21 +447,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     spark = docs.sparkSession
     path = scratch(spark, "repeats")
     buckets = max(8, 2 * docs.rdd.getNumPartitions())
+    spread = spread_keys(spark, buckets)
+    dealt = lambda df, by: df.repartition(buckets, by).groupBy(by)
     _write_blocks(docs, key, text, f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
-    asked = blocks.select("block", "anchor", "around").mapInArrow(_ask(buckets), "block long, bucket int, keys binary, counts binary")
-    answered = "block long, bucket int, reply binary, hot boolean"
-    asked.groupBy("bucket").applyInArrow(_answerer(HOT), answered).write.option("compression", "zstd").parquet(f"{path}/replies")
+    asked = blocks.select("block", "anchor", "around").mapInArrow(_ask(spread), "block long, bucket long, part int, keys binary, counts binary")
+    answered = "block long, part int, reply binary, hot boolean"
+    dealt(asked, "bucket").applyInArrow(_answerer(HOT), answered).write.option("compression", "zstd").parquet(f"{path}/replies")
     replies = spark.read.parquet(f"{path}/replies")
-    gathered = lambda df, name: df.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias(name))
+    gathered = lambda df, name: dealt(df, "block").agg(F.array_sort(F.collect_list(F.struct("part", "reply"))).alias(name))
     answers = gathered(replies, "replies")
-    shards = blocks.drop("ids").join(answers, "block").mapInArrow(_suffixes(buckets), "block long, bucket int, anchors binary, ids binary, sizes binary, right binary, left binary")
-    shards.groupBy("bucket").applyInArrow(_merged, "block long, ids binary, reach binary").write.option("compression", "zstd").parquet(f"{path}/found")
-    found = spark.read.parquet(f"{path}/found").groupBy("block").agg(F.collect_list(F.struct(F.col("ids"), F.col("reach"))).alias("found"))
+    blocks = blocks.repartition(buckets, "block")
+    shards = blocks.drop("ids").join(answers, "block").mapInArrow(_suffixes(spread), "block long, bucket long, anchors binary, ids binary, sizes binary, right binary, left binary")
+    dealt(shards, "bucket").applyInArrow(_merged, "block long, ids binary, reach binary").write.option("compression", "zstd").parquet(f"{path}/found")
+    found = dealt(spark.read.parquet(f"{path}/found"), "block").agg(F.collect_list(F.struct(F.col("ids"), F.col("reach"))).alias("found"))
     ready = blocks.join(answers, "block", "left").join(found, "block", "left")
     if not replies.where("hot").isEmpty():
-        strings = blocks.drop("ids").join(answers, "block").mapInArrow(_ask_strings(buckets), "block long, bucket int, keys binary, counts binary")
-        strings.groupBy("bucket").applyInArrow(_answerer(HOT), answered).write.option("compression", "zstd").parquet(f"{path}/strings")
+        strings = blocks.drop("ids").join(answers, "block").mapInArrow(_ask_strings(spread), "block long, bucket long, part int, keys binary, counts binary")
+        dealt(strings, "bucket").applyInArrow(_answerer(HOT), answered).write.option("compression", "zstd").parquet(f"{path}/strings")
         ready = ready.join(gathered(spark.read.parquet(f"{path}/strings"), "strings"), "block", "left")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")

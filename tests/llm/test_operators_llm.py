@@ -198,18 +198,31 @@ def test_repeats_equal_brute_force(spark, docs, empty, monkeypatch, hot):
     assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_merge_orders_gives_common_prefixes():
+def test_merged_transforms_give_order_and_common_prefixes():
     r = np.random.default_rng(2)
     rows = r.integers(97, 99, (60, 16)).astype(np.uint8)
     rows[30:45] = rows[:15]
-    group = np.repeat(np.arange(3), 20)
-    order, common = repeats.merge_orders(group, repeats._symbols(rows))
+    rows[50] = rows[3]
+    first = r.integers(0, 3, 60).astype(np.uint64)
+    cut = [0, 7, 8, 40, 60]
+    parts = [repeats.transform(repeats._symbols(rows[a:b]), np.zeros(b - a, int)) for a, b in zip(cut, cut[1:])]
+    order, common = repeats.merge_transforms(parts, first)
+    assert sorted(order.tolist()) == list(range(60))
     for i in range(1, 60):
         a, b = order[i - 1], order[i]
-        assert (group[a], bytes(rows[a])) <= (group[b], bytes(rows[b]))
-        if group[a] == group[b]:
-            differ = np.flatnonzero(rows[a] != rows[b])
-            assert common[i] == (differ[0] if len(differ) else 16)
+        assert (first[a], bytes(rows[a])) <= (first[b], bytes(rows[b]))
+        differ = np.flatnonzero(rows[a] != rows[b])
+        assert common[i] == (0 if first[a] != first[b] else differ[0] if len(differ) else 16)
+
+
+def test_a_groups_part_of_a_transform_is_its_own_transform():
+    r = np.random.default_rng(3)
+    symbols = r.integers(0, 3, (40, 5)).astype(np.uint64)
+    group = np.sort(r.integers(0, 4, 40))
+    whole = repeats.transform(symbols, group)
+    for g in range(4):
+        own = np.flatnonzero(group == g)
+        assert (whole[:, own] == repeats.transform(symbols[own], np.zeros(len(own), int))).all()
 
 
 # 4: packing.
