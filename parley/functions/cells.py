@@ -76,19 +76,20 @@ def zero_checkable(n: Column) -> Column:
 
 
 def failure_class(kind: Column, reason: Column, listed: Column) -> Column:
-    """Class of a failed dialogue; an instrument failure is split by the allowlist."""
+    """Class of a failed dialogue; an instrument failure is split by the allowlist; null where no rule explains it."""
+    instrument = (kind == "instrument") & (reason == "invalid_candidate_retry_exhausted")
     return (
-        F.when((kind == "simulation") & (reason == "max_turns_with_incomplete_beat"), "simulation")
-        .when((kind == "instrument") & (reason == "invalid_candidate_retry_exhausted") & listed, "contract_false_positive")
-        .when((kind == "instrument") & (reason == "invalid_candidate_retry_exhausted"), "instrument")
-        .otherwise("unexplained")
+        F.when((kind == "simulation") & (reason == "max_turns_with_incomplete_beat"), "max_turns_with_incomplete_beat")
+        .when(instrument & F.coalesce(listed, F.lit(False)), "instrument_contract_false_positive")
+        .when(instrument, "instrument_true_failure")
     )
 
 
 def call_event(error: Column, attempts: Column) -> Column:
     """timeout before prompt_too_long before retry; null where nothing happened."""
-    low = F.lower(error)
-    return F.when(low.contains("timed out") | low.contains("timeout"), "timeout").when(low.contains("prompt") & low.contains("long"), "prompt_too_long").when(attempts > 1, "retry")
+    low = F.lower(F.coalesce(error, F.lit("")))
+    too_long = (low.contains("over the") & low.contains("budget")) | low.contains("prompt uses")
+    return F.when(low.contains("timed out"), "timeout").when(too_long, "prompt_too_long").when(attempts > 1, "retry")
 
 
 def bucket(task: Column, fact: Column, claim: Column) -> Column:

@@ -7,48 +7,71 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.cells import failure_class
+
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def census(jobs: DataFrame, logs: DataFrame, frozen: DataFrame, sidecar: DataFrame, unscored: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Each job with its execution and its inclusion; a combination no rule knows is an anomaly.
+    """Each job with its execution, its inclusion, and the rules it breaks.
 
-    ``logs`` has status and failure columns; the others are key tables.
+    ``logs`` has status, n_records, failure_kind and failure_reason; ``unscored`` has a reason;
+    the others are key tables.  Execution comes first and is never rewritten: a job without a
+    log is missing, one without records is empty.  ``anomalies`` names broken rules, or is empty.
     """
     flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
-    found = jobs.select(key).join(logs.select(key, "status", "failure_class"), key, "left")
+    # The first of several logs of a job counts; that there are several is a broken rule.
+    own = logs.groupBy(key).agg(F.count("*").alias("n_logs"), *[F.first(c).alias(c) for c in ("status", "n_records", "failure_kind", "failure_reason")])
+    found = jobs.select(key).join(own, key, "left").join(unscored.select(key, F.col("reason").alias("unscored_reason")).dropDuplicates([key]), key, "left")
     for df, name in ((frozen, "frozen"), (sidecar, "sidecar"), (unscored, "unscored"), (listed, "listed")):
         found = found.join(flag(df, name), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    execution = F.when(F.col("status").isNull(), "missing").otherwise(F.col("status"))
-    primary = (
-        F.when(F.col("status").isNull(), None)
-        .when((F.col("status") == "ok") & F.col("unscored"), "excluded_unscored")
-        .when((F.col("status") == "ok") & F.col("frozen") & F.col("sidecar"), "included")
-        .when((F.col("status") == "failed") & F.col("listed") & F.col("sidecar") & ~F.col("frozen"), "included")
-        .when((F.col("status") == "failed") & F.col("failure_class").isin("simulation", "instrument") & ~F.col("frozen") & ~F.col("sidecar"), "excluded_failed")
-        .otherwise("anomaly")
-    )
-    frozen_status = F.when(F.col("listed") & (F.col("status") == "failed"), F.when(primary == "included", "excluded_failed").otherwise(primary)).otherwise(primary)
-    return found.select(key, execution.alias("execution_status"), "failure_class", primary.alias("primary_status"), frozen_status.alias("frozen_status"))
+    execution = F.when(F.col("n_logs").isNull(), "missing").when(F.coalesce("n_records", F.lit(0)) == 0, "empty").when(F.col("status") == "ok", "ok").otherwise("failed")
+    found = found.withColumn("execution_status", execution)
+    kind = F.when(F.col("execution_status") == "failed", failure_class(F.col("failure_kind"), F.col("failure_reason"), F.col("listed")))
+    found = found.withColumn("failure_class", kind)
+    ok, false_positive = F.col("execution_status") == "ok", F.coalesce(F.col("failure_class") == "instrument_contract_false_positive", F.lit(False))
+    pair, excluded = F.col("sidecar") & F.col("frozen"), F.col("failure_class").isNotNull() & ~false_positive
+    primary = F.when(ok & F.col("unscored"), "excluded_unscored").when(ok & pair, "included_semantic").when(false_positive & F.col("sidecar"), "included_semantic").when(excluded, "excluded_failure")
+    frozen_status = F.when(ok & F.col("unscored"), "excluded_unscored").when(ok & pair, "included_frozen").when(F.col("failure_class").isNotNull(), "excluded_failure")
+    rules = {
+        "missing_dialogue": F.col("execution_status") == "missing",
+        "empty_dialogue": F.col("execution_status") == "empty",
+        "duplicate_log": F.col("n_logs") > 1,
+        "unexplained_failure": (F.col("execution_status") == "failed") & F.col("failure_class").isNull(),
+        "incomplete_pair": ok & ~F.col("unscored") & ~pair,
+        "false_positive_without_sidecar_row": false_positive & ~F.col("sidecar"),
+        "false_positive_in_frozen_rows": false_positive & F.col("sidecar") & F.col("frozen"),
+        "excluded_failure_with_row": excluded & (F.col("sidecar") | F.col("frozen")),
+    }
+    broken = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
+    return found.select(key, "execution_status", "failure_class", primary.alias("primary_status"), frozen_status.alias("frozen_status"), F.when(ok & F.col("unscored"), F.col("unscored_reason")).alias("unscored_reason"), broken.alias("anomalies"))
 
 
 def anomalies(jobs: DataFrame, frozen: DataFrame, sidecar: DataFrame, audited: DataFrame, key: str) -> DataFrame:
     """(rule, key) of every violation, instead of the first alone."""
     named = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
+    scored = sidecar.select(key).distinct()
     parts = [
         named(duplicates(jobs, [key]), "duplicate_job"),
         named(duplicates(frozen, [key]), "duplicate_frozen_row"),
         named(duplicates(sidecar, [key]), "duplicate_sidecar_row"),
         named(frozen.select(key).distinct().join(jobs, key, "left_anti"), "orphan_frozen_row"),
-        named(sidecar.select(key).distinct().join(jobs, key, "left_anti"), "orphan_sidecar_row"),
-        named(audited.where("primary_status = 'anomaly'"), "unknown_combination"),
-        named(audited.where("primary_status = 'included'").join(sidecar.select(key).distinct(), key, "left_anti"), "included_without_row"),
+        named(scored.join(jobs, key, "left_anti"), "orphan_sidecar_row"),
+        named(audited.where("primary_status = 'included_semantic'").join(scored, key, "left_anti"), "included_without_row"),
+        audited.select(F.explode("anomalies").alias("rule"), F.col(key).cast("string").alias("id")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def latency_groups(rows: DataFrame, audited: DataFrame, population: str, key: str, agent: str, value: str) -> DataFrame:
+    """Fences per agent over the finite values of a population: ``semantic`` or ``frozen`` jobs that are included."""
+    wanted = F.col("primary_status") == "included_semantic" if population == "semantic" else F.col("frozen_status") == "included_frozen"
+    kept = rows.join(audited.where(wanted).select(key), key, "left_semi").where(F.col(value).isNotNull())
+    return tukey(kept, [agent], value, key).withColumn("population", F.lit(population))
+
+
 def require_none(violations: DataFrame) -> None:
     """Refuse to go on while a rule is broken."""
     bad = [r.asDict() for r in violations.limit(20).collect()]
@@ -61,7 +84,7 @@ def tukey(values: DataFrame, groups: list[str], value: str, key: str, least: int
     q = values.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
     enough = F.col("n") >= least
-    fences = q.select(*groups, "n", F.when(enough, F.col("q")[0]).alias("q1"), F.when(enough, F.col("q")[1]).alias("median"), F.when(enough, F.col("q")[2]).alias("q3"), F.when(enough, low).alias("low"), F.when(enough, high).alias("high"), F.when(enough, "ok").otherwise("insufficient_n").alias("status"))
+    fences = q.select(*groups, "n", F.when(enough, F.col("q")[0]).alias("q1"), F.when(enough, F.col("q")[1]).alias("median"), F.when(enough, F.col("q")[2]).alias("q3"), F.when(enough, low).alias("low"), F.when(enough, high).alias("high"), F.when(enough, "computed").otherwise("insufficient_n").alias("status"))
     return fences
 
 
@@ -112,3 +135,26 @@ def broken_numbering(facts: DataFrame) -> DataFrame:
 
 def broken_own_pattern(fields: DataFrame) -> DataFrame:
     return fields.where(F.col("pattern").isNotNull() & ~F.regexp_like("example", "pattern"))
+
+
+def broken_intent_facts(s: DataFrame, facts: DataFrame, general: str = "general") -> DataFrame:
+    """(id, fact): required facts that belong neither to the scenario's intent nor to the general policies."""
+    needed = s.select("id", "intent", F.explode(F.array_distinct("required_facts")).alias("fact"))
+    known = facts.select(F.col("id").alias("fact"), F.col("intent").alias("fact_intent"))
+    return needed.join(known, "fact", "left").where(F.coalesce((F.col("fact_intent") != general) & (F.col("fact_intent") != F.col("intent")), F.lit(True))).select("id", "fact")
+
+
+def broken_packages(packages: DataFrame, sections: list[str]) -> DataFrame:
+    """(name, rule, value): sections that a state's package lacks or adds, and fact ids that it cites."""
+    heads = F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^## +(.+?)[ \t]*$"), F.lit(1)), lambda h: F.trim(h))
+    wanted = F.array(*map(F.lit, sections))
+    cited = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b(F[0-9]{2})\b"), F.lit(1))))
+    part = lambda rule, values: F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
+    rows = F.concat(part("missing_section", F.array_except(wanted, heads)), part("extra_section", F.array_except(heads, wanted)), part("cites_fact", cited))
+    return packages.select("name", F.inline(rows))
+
+
+def metadata_leaks(rows: DataFrame, key: str, text: str, forbidden: list[str]) -> DataFrame:
+    """(key, word): words of the forbidden metadata that a published text holds, ignoring case."""
+    found = F.filter(F.array(*map(F.lit, forbidden)), lambda w: F.contains(F.lower(text), F.lower(w)))
+    return rows.select(key, F.explode(found).alias("word"))

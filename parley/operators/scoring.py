@@ -31,6 +31,16 @@ def claim_columns(claims: Column) -> dict[str, Column]:
     return {"predicted": F.array_distinct(F.transform(of("yes"), lambda c: c["fact_id"])), "n_yes": F.size(of("yes")), "n_no": F.size(of("no")), "n_unverifiable": F.size(of("unverifiable"))}
 
 
+def split_false_positives(required: Column, claims: Column) -> Column:
+    """The counts of ``fact_scores`` with false positives split: supported facts that were not asked for, and unsupported claims."""
+    c = claim_columns(claims)
+    f = fact_scores(required, c["predicted"], c["n_no"], c["n_yes"])
+    return F.transform(
+        F.array(F.struct(f.alias("f"), c["n_no"].alias("no"))),
+        lambda x: F.struct(F.size(F.array_distinct(required)).alias("n_required"), x["f"]["tp"].alias("tp"), x["f"]["fn"].alias("fn"), x["f"]["fp"].alias("fp"), (x["f"]["fp"] - x["no"]).alias("extra_supported_fact"), x["no"].alias("unsupported_claim"), x["f"]["n_checkable_claims"].alias("n_checkable_claims")),
+    )[0]
+
+
 def claims_signature(claims: Column) -> Column:
     c = claim_columns(claims)
     return F.struct(F.array_sort(c["predicted"]).alias("ids"), c["n_yes"].alias("n_yes"), c["n_no"].alias("n_no"), c["n_unverifiable"].alias("n_unverifiable"))

@@ -15,6 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 GROUPS = ["metric", "stratum"]
 SEED = 42
+#: The light stemmer over a column.
+STEM_SQL = """CASE WHEN ({0} LIKE '%ing' AND length({0}) >= 7) OR ({0} LIKE '%ed' AND length({0}) >= 6) THEN
+CASE WHEN substr({0}, length({0}) - CASE WHEN {0} LIKE '%ing' THEN 3 ELSE 2 END, 1) = substr({0}, length({0}) - CASE WHEN {0} LIKE '%ing' THEN 4 ELSE 3 END, 1)
+THEN left({0}, length({0}) - CASE WHEN {0} LIKE '%ing' THEN 4 ELSE 3 END) ELSE left({0}, length({0}) - CASE WHEN {0} LIKE '%ing' THEN 3 ELSE 2 END) END
+WHEN {0} LIKE '%es' AND length({0}) >= 6 THEN left({0}, length({0}) - 2) WHEN {0} LIKE '%s' AND length({0}) >= 5 THEN left({0}, length({0}) - 1) ELSE {0} END"""
 
 
 def query(sql: str | None = None):
@@ -237,7 +242,7 @@ def q_counts(spark, sf):
 
 @query("""WITH f AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY ALL),
 g AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM f)
-SELECT event_type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high, 'ok' AS status, (SELECT count(*) FROM events e WHERE e.event_type = g.event_type AND (value < low OR value > high)) AS n_outliers FROM g""")
+SELECT event_type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high, 'computed' AS status, (SELECT count(*) FROM events e WHERE e.event_type = g.event_type AND (value < low OR value > high)) AS n_outliers FROM g""")
 def q_tukey(spark, sf):
     ev = read(spark, sf, "events")
     fences = audit.tukey(ev, ["event_type"], "value", "event_id")
@@ -421,43 +426,59 @@ def q_changed_cases(spark, sf):
 
 
 def _audit_tables(spark, sf):
-    o = read(spark, sf, "orders")
-    jobs = o.select(F.col("o_orderkey").alias("id"))
-    status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok")
-    kind = F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderpriority") == "1-URGENT", "instrument").otherwise("simulation"))
-    logs = o.where("o_orderkey % 50 <> 3").select(F.col("o_orderkey").alias("id"), status.alias("status"), kind.alias("failure_class"))
-    frozen = o.where("o_orderstatus <> 'F' AND o_orderkey % 50 <> 3 AND o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"))
-    listed = o.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
-    unscored = o.where("o_orderstatus <> 'F' AND o_orderkey % 7 = 0 AND o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
-    sidecar = frozen.unionByName(listed).unionByName(spark.createDataFrame([(-1,), (-1,)], "id long"))
-    return jobs, logs, frozen, sidecar, unscored, listed
-
-
-AUDIT_SQL = """j AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 3 THEN NULL WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 50 <> 3 AND o_orderstatus = 'F' THEN CASE WHEN o_orderpriority = '1-URGENT' THEN 'instrument' ELSE 'simulation' END END AS failure_class,
-o_orderstatus <> 'F' AND o_orderkey % 50 <> 3 AND o_orderkey % 7 <> 0 AS frozen, o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS listed, o_orderstatus <> 'F' AND o_orderkey % 14 = 0 AS unscored FROM orders),
-c AS (SELECT id, coalesce(status, 'missing') AS execution_status, failure_class, CASE WHEN status IS NULL THEN NULL WHEN status = 'ok' AND unscored THEN 'excluded_unscored' WHEN status = 'ok' AND frozen THEN 'included' WHEN status = 'failed' AND listed THEN 'included' WHEN status = 'failed' AND NOT listed THEN 'excluded_failed' ELSE 'anomaly' END AS primary_status, listed, status FROM j),
-f AS (SELECT id, execution_status, failure_class, primary_status, CASE WHEN listed AND status = 'failed' AND primary_status = 'included' THEN 'excluded_failed' ELSE primary_status END AS frozen_status FROM c)"""
-
-
-@query(f"WITH {AUDIT_SQL} SELECT * FROM f")
+    """Jobs of all kinds: missing, empty, scored pairs, unscored, three classes of failures and unexplained ones, and rows that break rules."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("f"))
+    k = (F.col("id") % 4).cast("int")
+    pick = lambda *values: F.when(F.col("f"), F.element_at(F.array(*[F.lit(v) for v in values]), k + 1))
+    logs = o.where("id % 50 <> 3").select("id", F.when(F.col("f"), "failed").otherwise("ok").alias("status"), F.when(F.col("id") % 50 == 4, 0).otherwise(5).alias("n_records"), pick("simulation", "instrument", "instrument", "other").alias("failure_kind"), pick("max_turns_with_incomplete_beat", "invalid_candidate_retry_exhausted", "invalid_candidate_retry_exhausted", "x").alias("failure_reason"))
+    scored = o.where("NOT f AND id % 50 NOT IN (3, 4) AND id % 7 <> 0").select("id")
+    frozen = scored.unionByName(o.where("f AND id % 40 = 5").select("id"))
+    sidecar = scored.unionByName(o.where("f AND (id % 4 = 1 AND id % 40 <> 13 OR id % 40 = 14)").select("id")).unionByName(spark.createDataFrame([(-1,), (-1,)], "id long"))
+    unscored = o.where("NOT f AND id % 50 NOT IN (3, 4) AND id % 14 = 0").select("id", F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("reason"))
+    return o.select("id"), logs, frozen, sidecar, unscored, o.where("f AND id % 4 = 1").select("id")
+
+
+AUDIT_SQL = """b AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, CASE WHEN o_orderkey % 50 = 3 THEN 'missing' WHEN o_orderkey % 50 = 4 THEN 'empty' WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS ex,
+o_orderstatus <> 'F' AND o_orderkey % 50 NOT IN (3, 4) AND o_orderkey % 7 <> 0 AS scored, o_orderstatus = 'F' AS f FROM orders),
+c AS (SELECT *, CASE WHEN ex = 'failed' THEN CASE k WHEN 0 THEN 'max_turns_with_incomplete_beat' WHEN 1 THEN 'instrument_contract_false_positive' WHEN 2 THEN 'instrument_true_failure' END END AS fc,
+scored OR (f AND id % 40 = 5) AS frozen, scored OR (f AND (k = 1 AND id % 40 <> 13 OR id % 40 = 14)) AS sidecar, ex = 'ok' AND id % 14 = 0 AS unscored FROM b),
+f AS (SELECT id, ex AS execution_status, fc AS failure_class, CASE WHEN unscored THEN 'excluded_unscored' WHEN ex = 'ok' AND scored THEN 'included_semantic' WHEN k = 1 AND fc IS NOT NULL AND sidecar THEN 'included_semantic' WHEN fc IS NOT NULL AND k <> 1 THEN 'excluded_failure' END AS primary_status,
+CASE WHEN unscored THEN 'excluded_unscored' WHEN ex = 'ok' AND scored THEN 'included_frozen' WHEN fc IS NOT NULL THEN 'excluded_failure' END AS frozen_status, CASE WHEN unscored THEN 'r' || id % 3 END AS unscored_reason,
+list_filter([CASE WHEN ex = 'missing' THEN 'missing_dialogue' END, CASE WHEN ex = 'empty' THEN 'empty_dialogue' END, CASE WHEN ex = 'failed' AND fc IS NULL THEN 'unexplained_failure' END, CASE WHEN ex = 'ok' AND NOT unscored AND NOT scored THEN 'incomplete_pair' END,
+CASE WHEN k = 1 AND fc IS NOT NULL AND NOT sidecar THEN 'false_positive_without_sidecar_row' END, CASE WHEN k = 1 AND fc IS NOT NULL AND sidecar AND frozen THEN 'false_positive_in_frozen_rows' END, CASE WHEN k <> 1 AND fc IS NOT NULL AND (sidecar OR frozen) THEN 'excluded_failure_with_row' END], lambda x: x IS NOT NULL) AS anomalies FROM c)"""
+
+
+@query(f"WITH {AUDIT_SQL} SELECT * REPLACE (array_to_string(anomalies, ',') AS anomalies) FROM f")
 def q_census(spark, sf):
-    return audit.census(*_audit_tables(spark, sf), "id")
+    return audit.census(*_audit_tables(spark, sf), "id").withColumn("anomalies", F.array_join("anomalies", ","))
 
 
-@query(f"WITH {AUDIT_SQL} SELECT 'unknown_combination' AS rule, CAST(id AS VARCHAR) AS id FROM f WHERE primary_status = 'anomaly' UNION ALL SELECT unnest(['duplicate_sidecar_row', 'orphan_sidecar_row']), '-1'")
+@query(f"WITH {AUDIT_SQL} SELECT unnest(anomalies) AS rule, CAST(id AS VARCHAR) AS id FROM f UNION ALL SELECT unnest(['duplicate_sidecar_row', 'orphan_sidecar_row']), '-1'")
 def q_anomalies(spark, sf):
     jobs, logs, frozen, sidecar, unscored, listed = _audit_tables(spark, sf)
     return audit.anomalies(jobs, frozen, sidecar, audit.census(jobs, logs, frozen, sidecar, unscored, listed, "id"), "id")
 
 
+@query(f"""WITH {AUDIT_SQL}, v AS (SELECT o_orderpriority AS agent, o_totalprice AS v, 'semantic' AS population FROM orders JOIN f ON id = o_orderkey WHERE primary_status = 'included_semantic' UNION ALL SELECT o_orderpriority, o_totalprice, 'frozen' FROM orders JOIN f ON id = o_orderkey WHERE frozen_status = 'included_frozen'),
+q AS (SELECT population, agent, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY ALL)
+SELECT population, agent, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6) AS low, round(q3 + 1.5 * (q3 - q1), 6) AS high, 'computed' AS status FROM q""")
+def q_latency_groups(spark, sf):
+    audited = audit.census(*_audit_tables(spark, sf), "id")
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("agent"), F.col("o_totalprice").alias("v"))
+    both = audit.latency_groups(rows, audited, "semantic", "id", "agent", "v").unionByName(audit.latency_groups(rows, audited, "frozen", "id", "agent", "v"))
+    return rounded(both)
+
+
 @query("SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, '') AS failure_kind, o_orderpriority AS failure_reason, count(*) AS n FROM orders GROUP BY ALL")
 def q_failure_census(spark, sf):
     return audit.failure_census(read(spark, sf, "orders").withColumn("kind", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))), "kind", "o_orderpriority")
 
 
-@query("SELECT c.c_custkey, c.c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey)")
+@query("SELECT c.c_custkey, c.c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_nationkey < 15)")
 def q_broken_keys(spark, sf):
-    return audit.broken_foreign_key(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", read(spark, sf, "supplier"), "s_nationkey").select("c_custkey", "c_nationkey")
+    """Customers of nations without a supplier among the first fifteen nations: some there are at every size."""
+    dim = read(spark, sf, "supplier").where("s_nationkey < 15")
+    return audit.broken_foreign_key(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", dim, "s_nationkey").select("c_custkey", "c_nationkey")
 
 
 # Sampling and jobs.
@@ -479,13 +500,25 @@ def q_jobs(spark, sf):
 # Folds.
 
 
-@query()
+BEATS = ["There", "hation", "nesses"]
+
+
+@query(f"""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS t, text FROM conversations), u AS (SELECT conv_id, t, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?')) AS w FROM m),
+s AS (SELECT conv_id, t, w, {STEM_SQL.format("w")} AS s FROM u),
+h AS (SELECT DISTINCT conv_id, t, beat FROM s JOIN (VALUES (1, 'there', 'there'), (2, 'hation', 'hation'), (3, 'nesses', 'ness')) k(beat, kw, ks) ON w = kw OR s = ks OR (least(length(s), length(ks)) >= 4 AND left(s, least(length(s), length(ks))) = left(ks, least(length(s), length(ks))))),
+c AS (SELECT DISTINCT conv_id FROM conversations), b1 AS (SELECT c.conv_id, min(h.t) AS t1 FROM c LEFT JOIN h ON h.conv_id = c.conv_id AND beat = 1 GROUP BY ALL),
+b2 AS (SELECT b1.conv_id, t1, min(h.t) AS t2 FROM b1 LEFT JOIN h ON h.conv_id = b1.conv_id AND beat = 2 AND h.t > t1 GROUP BY ALL), b3 AS (SELECT b2.conv_id, t1, t2, min(h.t) AS t3 FROM b2 LEFT JOIN h ON h.conv_id = b2.conv_id AND beat = 3 AND h.t > t2 GROUP BY ALL)
+SELECT conv_id, CAST((t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT + (t3 IS NOT NULL)::INT AS INTEGER) AS completed, concat_ws(',', t1, t2, t3) AS completed_at, t3 IS NOT NULL AS complete,
+CASE WHEN t1 IS NULL THEN 'there' WHEN t2 IS NULL THEN 'hation' WHEN t3 IS NULL THEN 'nesses' END AS open_keywords FROM b3""")
 def q_beat_fold(spark, sf):
     c = read(spark, sf, "conversations")
-    texts_in_order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    rows = c.groupBy("conv_id").agg(texts_in_order.alias("messages"))
-    asked = F.array(*[F.array(F.lit(w)) for w in ("the", "of", "and")])
-    return rows.select("conv_id", script.fold(F.col("messages"), asked).alias("f")).select("conv_id", "f.completed", "f.completed_at", "f.complete")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    rows = c.groupBy("conv_id").agg(in_order.alias("messages")).withColumn("script", F.array(*map(F.lit, BEATS)))
+    contracts = script.beats(rows, "conv_id", "script")
+    folded = rows.join(contracts, "conv_id").select("conv_id", "beats", script.fold(F.col("messages"), F.col("beats")).alias("f"))
+    done = F.filter("f.log", lambda x: x["beat"].isNotNull())
+    open_ = script.diagnostics(F.col("f"), F.col("beats"))["keywords_missing"]
+    return folded.select("conv_id", F.col("f.index").alias("completed"), F.array_join(F.transform(done, lambda x: x["completed"].cast("string")), ",").alias("completed_at"), (F.col("f.index") >= F.size("beats")).alias("complete"), F.array_join(open_, ",").alias("open_keywords"))
 
 
 @query("""WITH k AS (SELECT supp, flag, avg(q) AS mean FROM (SELECT l_suppkey AS supp, l_returnflag AS flag, l_quantity AS q FROM lineitem WHERE l_returnflag IN ('A', 'R')) GROUP BY ALL)
@@ -499,3 +532,6 @@ def q_paired_lineitem(spark, sf):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptive statistics beside wins, ties and losses."""
     return q_descriptive(spark, sf_dir).join(q_wtl_by_stratum(spark, sf_dir).withColumnRenamed("n", "n_pairs"), GROUPS)
+
+
+from parley.plans import analysis, files, rules  # noqa: E402, F401  (their queries register themselves)

@@ -137,4 +137,4 @@ def state_machine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def bijective_ids(rows: DataFrame, column: str, prefix: str, width: int = 3) -> DataFrame:
     """Ids that break the dense numbering prefix001, prefix002, ..."""
     n = F.row_number().over(Window.orderBy(column))
-    return rows.select(column).withColumn("__n", n).where(F.col(column) != F.format_string(f"{prefix}%0{width}d", "__n"))
+    return rows.select(column).withColumn("__n", n).where(F.col(column) != F.format_string(f"{prefix}%0{width}d", "__n")).drop("__n")

@@ -155,15 +155,29 @@ def test_tukey_needs_four(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 1.0)], "g string, v double").withColumn("id", F.monotonically_increasing_id())
     fences = audit.tukey(df, ["g"], "v", "id")
     got = {r["g"]: r["status"] for r in fences.collect()}
-    assert got == {"a": "ok", "b": "insufficient_n"}
+    assert got == {"a": "computed", "b": "insufficient_n"}
     assert [r["v"] for r in audit.outliers(df, fences, ["g"], "v").collect()] == [100.0]
 
 
 def test_census_rules(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
-    logs = spark.createDataFrame([(1, "ok", None), (2, "ok", None), (3, "failed", "simulation"), (4, "failed", "contract_false_positive"), (5, "ok", None)], "id long, status string, failure_class string")
-    got = {r["id"]: (r["primary_status"], r["frozen_status"]) for r in audit.census(ids(1, 2, 3, 4, 5, 6), logs, ids(1), ids(1, 4), ids(2), ids(4), "id").collect()}
-    assert got == {1: ("included", "included"), 2: ("excluded_unscored", "excluded_unscored"), 3: ("excluded_failed", "excluded_failed"), 4: ("included", "excluded_failed"), 5: ("anomaly", "anomaly"), 6: (None, None)}
+    bad = ("instrument", "invalid_candidate_retry_exhausted")
+    logs = [(1, "ok", 3, None, None), (2, "ok", 3, None, None), (3, "failed", 3, "simulation", "max_turns_with_incomplete_beat"), (4, "failed", 3, *bad), (5, "ok", 3, None, None), (7, "ok", 0, None, None), (8, "failed", 3, *bad), (9, "failed", 3, "x", "y"), (10, "failed", 3, *bad), (1, "ok", 3, None, None)]
+    logs = spark.createDataFrame(logs, "id long, status string, n_records int, failure_kind string, failure_reason string")
+    unscored = spark.createDataFrame([(2, "label")], "id long, reason string")
+    got = {r["id"]: tuple(r)[1:] for r in audit.census(ids(*range(1, 11)), logs, ids(1), ids(1, 4, 3), unscored, ids(4, 10), "id").collect()}
+    assert got == {
+        1: ("ok", None, "included_semantic", "included_frozen", None, ["duplicate_log"]),
+        2: ("ok", None, "excluded_unscored", "excluded_unscored", "label", []),
+        3: ("failed", "max_turns_with_incomplete_beat", "excluded_failure", "excluded_failure", None, ["excluded_failure_with_row"]),
+        4: ("failed", "instrument_contract_false_positive", "included_semantic", "excluded_failure", None, []),
+        5: ("ok", None, None, None, None, ["incomplete_pair"]),
+        6: ("missing", None, None, None, None, ["missing_dialogue"]),
+        7: ("empty", None, None, None, None, ["empty_dialogue"]),
+        8: ("failed", "instrument_true_failure", "excluded_failure", "excluded_failure", None, []),
+        9: ("failed", None, None, None, None, ["unexplained_failure"]),
+        10: ("failed", "instrument_contract_false_positive", None, "excluded_failure", None, ["false_positive_without_sidecar_row"]),
+    }
     with pytest.raises(ValueError):
         audit.require_none(audit.duplicates(ids(1, 1), ["id"]))
 
@@ -202,9 +216,17 @@ def test_texts(spark):
 
 
 def test_script_fold(spark):
-    req = F.array(F.array(F.lit("order"), F.lit("late")), F.array(F.lit("refund")))
-    f = one(spark, script.fold(F.array(F.lit("my order"), F.lit("refund it is late"), F.lit("a refund")), req))
-    assert (f["completed"], f["completed_at"], f["complete"]) == (2, [2, 3], True)
+    scripts = spark.createDataFrame([(1, ["return the order 1234", "I do not want it", "is it late?"])], "k long, script array<string>")
+    contract = script.beats(scripts, "k", "script", ["[0-9]{4}"], stop_words=[*texts.STOP_WORDS, "do"])
+    beats = contract.first()["beats"]
+    assert [(list(b["literals"]), list(b["keywords"]), b["negates"], b["asks"]) for b in beats] == [(["1234"], ["return", "order"], False, False), ([], ["want"], True, False), ([], ["late"], False, True)]
+    say = ["I returned it", "order 1234", "I want it", "I never wanted it", "late", "late again?", "bye"]
+    f = contract.select(script.fold(F.array(*map(F.lit, say)), F.col("beats")).alias("f"), "beats")
+    log = [(x["turn"], x["beat"], x["started"], x["completed"]) for x in f.first()["f"]["log"]]
+    assert log == [(1, None, None, None), (2, 1, 1, 2), (3, None, None, None), (4, 2, 3, 4), (5, None, None, None), (6, 3, 5, 6), (7, None, None, None)]
+    half = contract.select(script.fold(F.array(F.lit("I returned it")), F.col("beats")).alias("f"), "beats").select(script.diagnostics(F.col("f"), F.col("beats")).alias("d")).first()["d"]
+    assert (half["beat"], half["keywords_held"], half["literals_missing"], half["keywords_missing"], half["turns_on_beat"]) == (1, ["return"], ["1234"], ["order"], 1)
+    assert f.select(script.diagnostics(F.col("f"), F.col("beats")).alias("d")).first()["d"] is None
 
 
 def test_replay(spark):
