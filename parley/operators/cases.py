@@ -25,7 +25,7 @@ def rank_candidates(pairs: DataFrame, metrics: tuple[str, str, str], dropped: li
     composite = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)
     rows = wide.withColumn("composite", composite).withColumn("bucket", bucket(*d))
     key = F.when(F.col("bucket") == "helped", -F.col("composite")).when(F.col("bucket") == "restricted", F.col("composite")).otherwise(F.when(F.col("category") == preferred, 0.0).otherwise(1.0))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.round(key, 9), "scenario_id"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(key, "scenario_id"))
     return rows.withColumn("rank", F.when(F.col("bucket") != "", rank))
 
 

@@ -14,7 +14,13 @@ def hash_order(seed: int, *keys: str) -> Column:
 
 
 def round_robin(units: DataFrame, groups: list[str], unit: str, capacity: str, quota: int, seed: int) -> DataFrame:
-    """Deal ``quota`` places one at a time over each group's units in seeded order; full units are passed over."""
+    """Deal ``quota`` places one at a time over each group's units in seeded order; full units are passed over.
+
+    A quota that a group's units can't hold is an error.
+    """
+    room = units.groupBy(*groups).agg(F.sum(capacity).alias("__room"))
+    fits = F.when(F.col("__room") >= quota, F.col(capacity)).otherwise(F.raise_error(F.lit("the quota is larger than a group holds")))
+    units = units.join(room, groups).withColumn(capacity, fits).drop("__room")
     order = Window.partitionBy(*groups).orderBy(hash_order(seed, unit))
     slots = units.withColumn("__pos", F.row_number().over(order)).select(*groups, unit, capacity, "__pos", F.explode(F.sequence(F.lit(1), F.least(F.col(capacity).cast("int"), F.lit(quota)))).alias("__slot"))
     dealt = slots.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy("__slot", "__pos"))).where(F.col("__r") <= quota)

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.operators.ranking import average_ranks
 
@@ -79,6 +80,27 @@ def wilcoxon_two_sided(diffs: list[float], method: str = "auto") -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+@F.pandas_udf(T.DoubleType())
+def _signed_rank_p(n_pairs: pd.Series, n: pd.Series, w: pd.Series, tie_term: pd.Series) -> pd.Series:
+    """Two-sided p from a group's sums: a row per group."""
+
+    def one(total: int, k: int, least: float, ties: float) -> float:
+        if k == 0:
+            return 1.0
+        if k <= 50 and k == total and ties == 0:
+            ways = [1]
+            for r in range(1, k + 1):
+                grown = ways + [0] * r
+                for at, c in enumerate(ways):
+                    grown[at + r] += c
+                ways = grown
+            return min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**k)
+        z = (least - k * (k + 1) / 4) / math.sqrt((k * (k + 1) * (2 * k + 1) - ties / 2) / 24)
+        return math.erfc(abs(z) / math.sqrt(2))
+
+    return pd.Series([one(int(a), int(b), float(c), float(d)) for a, b, c, d in zip(n_pairs, n, w, tie_term, strict=True)], dtype="float64")
+
+
 def _integers(values: list[float]) -> tuple[list[int], int]:
     """Exact integers over one power-of-two denominator."""
     parts = [Fraction(v) for v in values]
@@ -165,7 +187,9 @@ def per_group(pairs: DataFrame, groups: list[str], out: dict[str, str], f: Calla
 
 
 def wilcoxon_p(pairs: DataFrame, groups: list[str]) -> DataFrame:
-    return per_group(pairs, groups, {"wilcoxon_p": "double"}, lambda d: (wilcoxon_two_sided(d),))
+    """Signed-rank p from rank sums, which are DataFrame work at any size; only the last step, a row per group, is Python."""
+    sums = signed_rank_sums(pairs, groups)
+    return sums.select(*groups, F.col("n_pairs").alias("n"), _signed_rank_p("n_pairs", "n", F.least("r_plus", "r_minus").cast("double"), F.col("tie_term").cast("double")).alias("wilcoxon_p"))
 
 
 def permutation_p(pairs: DataFrame, groups: list[str], n_resamples: int = N_RESAMPLES, seed: int = SEED) -> DataFrame:
@@ -184,7 +208,7 @@ def bootstrap_counter(pairs: DataFrame, groups: list[str], n_resamples: int, see
     order = Window.partitionBy(*groups).orderBy("scenario_id")
     sizes = pairs.groupBy(*groups).agg(F.count("*").alias("__n"))
     placed = pairs.withColumn("__i", F.row_number().over(order) - 1).select(*groups, "__i", "diff")
-    draws = placed.select(*groups, "__i").join(F.broadcast(sizes), groups).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    draws = placed.select(*groups, "__i").join(sizes, groups).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("__n")
     counts = draws.select(*groups, "__b", "__n", pick.cast("int").alias("__i")).groupBy(*groups, "__b", "__n", "__i").count()
     means = counts.join(placed, [*groups, "__i"]).groupBy(*groups, "__b").agg((F.sum(F.col("diff") * F.col("count")) / F.first("__n")).alias("mean"))

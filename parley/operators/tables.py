@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.cells import direction, family, zero_checkable
 from parley.operators.paired import KEYS, aggregate_to_scenarios, long_metrics, missingness, pair_scenarios, unpaired, wins_ties_losses, with_strata, without_keys
-from parley.operators.stats import N_RESAMPLES, SEED, bootstrap_interval, per_group, permutation_two_sided, rank_biserial, wilcoxon_two_sided
+from parley.operators.stats import N_RESAMPLES, SEED, bootstrap_interval, per_group, permutation_two_sided, rank_biserial, wilcoxon_p
 
 GROUPS = ["metric", "stratum"]
 ZERO_CHECKABLE = "zero_checkable_claim_occurrence"
@@ -73,8 +73,8 @@ def tests(rows: DataFrame, metrics: list[str], population: str, primary: list[st
     pairs = with_strata(pair_scenarios(scores))
     table = wins_ties_losses(pairs).join(rank_biserial(pairs, GROUPS).drop("n", "n_pairs"), GROUPS).join(unpaired(with_strata(scores)).select(*GROUPS, F.col("n_unpaired").alias("n_dropped_unpaired")), GROUPS)
     if n_resamples:
-        seeded = per_group(pairs, GROUPS, {"wilcoxon_p": "double", "permutation_p": "double", "ci_low": "double", "ci_high": "double"}, lambda d: (wilcoxon_two_sided(d), permutation_two_sided(d, n_resamples, seed), *bootstrap_interval(d, n_resamples, seed))).drop("n")
-        table = table.join(seeded, GROUPS)
+        seeded = per_group(pairs, GROUPS, {"permutation_p": "double", "ci_low": "double", "ci_high": "double"}, lambda d: (permutation_two_sided(d, n_resamples, seed), *bootstrap_interval(d, n_resamples, seed))).drop("n")
+        table = table.join(seeded, GROUPS).join(wilcoxon_p(pairs, GROUPS).drop("n"), GROUPS)
     if missing_of:
         lost = missing_columns(rows, missing_of).where(F.col("agent") == AGENTS[0]).select(*GROUPS, F.col("complete_pairs"), "pairs_excluded_either_na")
         table = table.join(lost, GROUPS, "left")

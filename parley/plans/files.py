@@ -32,7 +32,7 @@ def _new(spark: SparkSession, name: str) -> str:
 
 def _text(spark: SparkSession, path: str, *texts: str) -> str:
     """Write one text file for each text."""
-    spark.createDataFrame([(t,) for t in texts], "value string").repartition(len(texts)).write.text(path)
+    spark.createDataFrame(list(enumerate(texts)), "i int, value string").write.partitionBy("i").text(path)
     return path
 
 
@@ -144,7 +144,7 @@ def q_documents_of_configuration(spark, sf):
 
 @query("SELECT a AS first, b AS second, sha256(least(a, b) || chr(10) || greatest(a, b) || chr(10)) AS all_files FROM (SELECT sha256('one' || chr(10)) AS a, sha256('two' || chr(10)) AS b)")
 def q_file_digests(spark, sf):
-    files = readers.file_digests(spark, _text(spark, _new(spark, "files"), "one", "two") + "/part-*")
+    files = readers.file_digests(spark, _text(spark, _new(spark, "files"), "one", "two") + "/i=*/part-*")
     # Names of Spark's files are not known before, so the digests stand for them.
     named = files.withColumn("name", F.col("digest"))
     whole = readers.digest_of_digests(named)

@@ -197,9 +197,9 @@ def q_direction_inversions(spark, sf):
 
 
 CASE_SQL = f"""WITH {E_SQL}, x AS (SELECT category, scenario_id, max(diff) FILTER (metric = 'm1') AS d1, max(diff) FILTER (metric = 'm2') AS d2, max(diff) FILTER (metric = 'm3') AS d3 FROM pairs GROUP BY ALL),
-c AS (SELECT *, (coalesce(d1, 0) + coalesce(d2, 0) + coalesce(d3, 0)) / ((d1 IS NOT NULL)::INT + (d2 IS NOT NULL)::INT + (d3 IS NOT NULL)::INT) AS composite,
+c AS (SELECT *, (coalesce(d3, 0) + coalesce(d2, 0) + coalesce(d1, 0)) / ((d1 IS NOT NULL)::INT + (d2 IS NOT NULL)::INT + (d3 IS NOT NULL)::INT) AS composite,
 CASE WHEN d3 = 0 AND d2 = 0 AND d1 = 0 THEN 'tie' WHEN d3 > 0 THEN 'helped' WHEN d3 < 0 THEN 'restricted' ELSE '' END AS bucket FROM x),
-k AS (SELECT *, round(CASE bucket WHEN 'helped' THEN -composite WHEN 'restricted' THEN composite ELSE CASE WHEN category = 'happy_path' THEN 0.0 ELSE 1.0 END END, 9) AS key FROM c),
+k AS (SELECT *, CASE bucket WHEN 'helped' THEN -composite WHEN 'restricted' THEN composite ELSE CASE WHEN category = 'happy_path' THEN 0.0 ELSE 1.0 END END AS key FROM c),
 r AS (SELECT category, scenario_id, bucket, round(composite, 6) AS composite, CASE WHEN bucket <> '' THEN row_number() OVER (PARTITION BY bucket ORDER BY key, scenario_id) END AS rank FROM k)
 """
 

@@ -94,12 +94,14 @@ def allowlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts of a Markdown file; a section's intent is carried down to its bullets."""
-    doc = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """Facts of Markdown files; within a file a section's intent is carried down to its bullets, and a fact before any section is an error."""
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     head = F.regexp_extract("line", r"^## .*`([a-z_]+)`", 1)
     ident, text = (F.regexp_extract("line", r"^- \*\*(F[0-9]{2})\*\* — (.*)$", i) for i in (1, 2))
-    down = F.last(F.when(head != "", head), ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return doc.select("line_no", ident.alias("id"), down.alias("intent"), F.trim(text).alias("text")).where("id <> ''").drop("line_no")
+    down = F.last(F.when(head != "", head), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    found = doc.select("file", "line_no", ident.alias("id"), down.alias("intent"), F.trim(text).alias("text")).where("id <> ''")
+    owned = F.when(F.col("intent").isNotNull(), F.col("intent")).otherwise(F.raise_error(F.concat(F.col("id"), F.lit(" stands before any section"))))
+    return found.select("id", owned.alias("intent"), "text")
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
