@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import texts
-from parley.operators import audit, scoring, script, tables
+from parley.operators import audit, flags, scoring, script, tables
 from parley.plans.frames import E_SQL, METRICS, e_frame, read
 from parley.plans.registry import query, rounded
 
@@ -172,3 +172,46 @@ def q_check_dialogues(spark, sf):
     got = script.check_dialogues(logs, contracts, "k", "canary")
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return got.select("k", "n_beats", text("delivered"), text("missing"), "out_of_order", text("unsatisfied"), "canary_delivered", "injection_delivered")
+
+
+FLAG_CASES = {
+    0: [("possible_future_beat_content", "later word: refund", "1")] + [("possible_semantic_completion_before_ledger_completion", "later content was said before", "")] + [("possible_required_content_absent", "string: QX7", ""), ("possible_required_content_absent", "word: say", "")],
+    1: [("possible_exact_string_case_mismatch", "QX7", "1")],
+    2: [("possible_nonsticky_question", "question", "3"), ("possible_semantic_completion_before_ledger_completion", "the last message says goodbye", "")],
+    3: [("possible_denial_detector_gap", "before it shipped", ""), ("possible_semantic_completion_before_ledger_completion", "a recovered candidate closes", ""), ("possible_semantic_completion_before_ledger_completion", "the recorded stop is a closing one", "")],
+    4: [("possible_empty_stop_candidate", "agent_ended", ""), ("possible_semantic_completion_before_ledger_completion", "the goal was seen as reached", ""), ("possible_semantic_completion_before_ledger_completion", "the invalid reason names a closing status", "")],
+}
+FLAG_FAULTS = {0: "closes with an open beat", 1: "closes with an open beat", 2: "closes with an open beat", 3: "closes with an open beat", 4: "status and message disagree"}
+
+
+def _flag_inputs(spark, sf):
+    k = F.col("p_partkey") % 5
+    scripts = {0: ["say QX7", "a refund"], 1: ["say QX7"], 2: ["say QX7", "refund", "is it late?"], 3: ["say QX7", "I do not"], 4: ["say QX7"]}
+    said = {0: ["refund please"], 1: ["say qx7"], 2: ["say QX7", "refund", "is it?", "late bye"], 3: ["say QX7", "before it shipped"], 4: []}
+    found = {3: [("hm", "gave_up")], 4: [("say QX7", "agent_ended")]}
+    none = F.array().cast("array<struct<message string, status string>>")
+    records = lambda i: F.array(*[F.struct(F.lit(n).alias("turn"), F.lit(m).alias("user_message")) for n, m in enumerate(said[i], 1)]).cast("array<struct<turn int, user_message string>>")
+    recovered = lambda i: F.array(*[F.struct(F.lit(m).alias("message"), F.lit(s).alias("status")) for m, s in found[i]]) if i in found else none
+    case = lambda f: F.coalesce(*[F.when(k == i, f(i)) for i in range(5)])
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("k"), case(records).alias("records"), case(recovered).alias("recovered"), (k == 4).alias("goal_reached_seen"), F.when(k == 3, "gave_up").alias("stop_reason"), F.when(k == 4, "reported goal_reached").alias("invalid_reason"), case(lambda i: F.array(*map(F.lit, scripts[i]))).alias("script"), F.lit("QX7").alias("canary"))
+    return rows, script.beats(rows, "k", "script", canary="canary", stop_words=[*texts.STOP_WORDS, "do"])
+
+
+def _flag_sql() -> str:
+    rows = ", ".join(f"({i}, '{m}', '{r}', '{t}')" for i, found in FLAG_CASES.items() for m, r, t in found)
+    return f"SELECT p_partkey AS k, mechanism, requirement, turns FROM part JOIN (VALUES {rows}, (4, 'possible_required_content_absent', '', '')) v(i, mechanism, requirement, turns) ON p_partkey % 5 = i AND requirement <> ''"
+
+
+@query(_flag_sql())
+def q_audit_flags(spark, sf):
+    logs, contracts = _flag_inputs(spark, sf)
+    return flags.audit_flags(logs, contracts, "k")
+
+
+@query("SELECT p_partkey AS k, fault FROM part JOIN (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in FLAG_FAULTS.items()) + ") v(i, fault) ON p_partkey % 5 = i")
+def q_candidate_faults(spark, sf):
+    logs, contracts = _flag_inputs(spark, sf)
+    rows = logs.join(contracts, "k").withColumn("state", script.fold(F.transform("records", lambda r: r["user_message"]), F.col("beats")))
+    message = F.when(F.col("k") % 5 == 4, "say QX7").otherwise("hm")
+    status = F.when(F.col("k") % 5 == 4, "agent_ended").otherwise("gave_up")
+    return rows.select("k", flags.candidate_fault(status, message, F.col("beats"), F.col("state")).alias("fault"))
