@@ -15,15 +15,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     with the logarithm of the longest path.  Each round is written out, which
     keeps lineage short and lets a lost executor's part be read again.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = written(both.union(both.select("b", "a")).distinct(), "edges")
-    loops = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
-    labels = written(loops.withColumn("component", F.col("node")), "labels")
+    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    loops = edges.select(F.col(src).alias("a")).union(edges.select(F.col(dst).alias("a"))).select("a", F.col("a").alias("b"))
+    both = written(both.union(both.select("b", "a")).union(loops).distinct(), "edges")
+    labels = both.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        moved = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        hop = moved.select(F.col("node").alias("at"), F.col("component").alias("next"))
-        new = written(moved.join(hop, moved.component == hop["at"]).select("node", "old", F.least("component", "next").alias("component")), "labels")
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"))
+        hop = near.select(F.col("a").alias("at"), F.col("low").alias("next"))
+        new = written(near.join(hop, near.low == hop["at"]).select(F.col("a").alias("node"), "old", F.least("low", "next").alias("component")), "labels")
         done = new.where("old <> component").isEmpty()
         labels = new.select("node", "component")
         if done:

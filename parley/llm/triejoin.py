@@ -45,7 +45,7 @@ from parley.llm.blobs import pack_keys, pack_small, unpack_keys, unpack_small
 from parley.llm.decontaminate import _shingles as shingle_hashes
 from parley.llm.graphs import components
 from parley.llm.store import documents, spread_keys, written
-from parley.llm.textcols import concat_ranges, hash_vocab, mix64, raw, slices, split_words, sums
+from parley.llm.textcols import concat_ranges, hash_vocab, mix64, raw, release, slices, split_words, sums
 
 SIZE = 5
 #: Link when 100 * intersection >= 75 * union.
@@ -190,6 +190,7 @@ def _shared(table: pa.Table) -> pa.Table:
         own = row == i
         out.append([rows[i]["block"], table["bucket"][0].as_py(), pack_keys(key[own]), pack_small(local[own]), b"", b"", b"", pack_small(count[own])])
     cols = list(zip(*out, strict=True)) if out else [()] * 8
+    release()
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.binary()] * 6, strict=True)], names=table.column_names)
 
 
@@ -399,8 +400,9 @@ def _cells(grouped: DataFrame) -> DataFrame:
     Blocks hold about ``GROUP`` sets of a band of sizes.  Sets that link differ in
     size by a third at most, so a block meets those of its own band and of the next.
     """
-    whole = grouped.groupBy("component").agg(F.count("*").alias("__many"))
-    banded = grouped.join(whole, "component").withColumn("band", F.when(F.col("__many") > GROUP, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9)).otherwise(F.lit(0)).cast("long")).drop("__many")
+    members = grouped.select("set", "n", "component")
+    whole = members.groupBy("component").agg(F.count("*").alias("__many"))
+    banded = members.join(whole, "component").withColumn("band", F.when(F.col("__many") > GROUP, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9)).otherwise(F.lit(0)).cast("long")).drop("__many")
     sizes = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     above = sizes.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = sizes.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -412,7 +414,9 @@ def _cells(grouped: DataFrame) -> DataFrame:
     own = F.transform(number(F.col("blocks")), lambda j: cell(F.col("band"), F.least("at", j), F.greatest("at", j), 0))
     up = F.transform(number(F.col("above")), lambda j: cell(F.col("band"), F.col("at"), j, 1))
     down = F.transform(number(F.col("below")), lambda j: cell(F.col("band") - 1, j, F.col("at"), 1))
-    return placed.select("set", "n", "keys", "counts", "component", F.explode(F.concat(own, up, down)).alias("cell"))
+    # Only numbers were dealt so far; the sets themselves meet their cells by set, which no group can skew.
+    dealt = placed.select("set", "component", F.explode(F.concat(own, up, down)).alias("at")).select("set", F.struct("component", "at").alias("cell"))
+    return dealt.join(grouped.select("set", "n", "keys", "counts"), "set")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -441,8 +445,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups = components(ties)
     grouped = written(sets.join(groups, sets.set == groups.node).select("set", "n", "keys", "counts", "component"), "grouped")
     grouped, ties = _thinned(grouped)
-    links = _cells(grouped).groupBy("component", "cell").applyInArrow(_joined, "set long, top long").select(F.col("set").alias("src"), F.col("top").alias("dst"))
-    links = links.where("src <> dst")
+    links = _cells(grouped).groupBy("cell").applyInArrow(_joined, "set long, top long").select(F.col("set").alias("src"), F.col("top").alias("dst"))
+    links = written(links.where("src <> dst"), "links")
     tops = components(links if ties is None else links.unionByName(ties)).select(F.col("node").alias("set"), F.col("component").alias("top"))
     tops = written(tops, "tops")
     # Smallest key of a class, then of a component of classes.
