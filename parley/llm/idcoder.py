@@ -29,13 +29,13 @@ MAGIC = b"CMRC2\n"
 #: Ids of a block, and of one whose ids are coded by their rank among the block's own.
 BLOCK, RANKED = 1 << 20, 1 << 18
 #: Lanes of a block at most, and ids of a lane at least.
-LANES, STEPS = 2048, 256
+LANES, STEPS = 4096, 256
 BITS = 28
 TOTAL = 1 << BITS
 #: Resolution of order 0; larger ids are coded by rank.
 BASE = 1 << 20
 MOST = BASE >> 1
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 REFRESH = 16
 U = np.uint64
 
@@ -51,22 +51,21 @@ class _Model:
         self.n_ids, self.inverse = n_ids, inverse
         self.count = np.zeros(n_ids, np.int64)
         self.seen: list[np.ndarray] = []
-        self.t1 = np.zeros(n_ids, np.int64)
-        self.t2 = np.zeros(SLOTS, np.int64)
+        self.t1 = np.zeros(n_ids, np.int32)
+        self.t2 = np.zeros(SLOTS, np.int32)
         #: By state: how often order 2, order 1 and neither held.
         self.weight = np.ones((32, 3), np.int64)
-        self.p = np.zeros(lanes, np.int64)
-        self.pp = np.zeros(lanes, np.int64)
+        self.p = np.zeros(lanes, np.int32)
+        self.pp = np.zeros(lanes, np.int32)
         self.step = 0
 
     def _refresh(self) -> None:
         if self.seen:
             self.count += np.bincount(np.concatenate(self.seen), minlength=self.n_ids)
             self.seen = []
-        self.per = 1 + self.count * (BASE - self.n_ids) // max(1, int(self.count.sum()))
-        if not self.count.any():
-            self.per[:] = BASE // self.n_ids
-        self.cum = np.zeros(self.n_ids + 1, np.int64)
+        total = int(self.count.sum())
+        self.per = (1 + self.count * (BASE - self.n_ids) // total).astype(np.int32) if total else np.full(self.n_ids, BASE // self.n_ids, np.int32)
+        self.cum = np.zeros(self.n_ids + 1, np.int32)
         np.cumsum(self.per, out=self.cum[1:])
         if self.inverse:
             self.id_at = np.repeat(np.arange(self.n_ids, dtype=np.int32), self.per)
@@ -75,7 +74,8 @@ class _Model:
         if self.step in (1, 2, 4, 8) or self.step % REFRESH == 0:
             self._refresh()
         self.step += 1
-        self.h2 = (self.p * 2654435761 + self.pp * 320255973 >> 5) & SLOTS - 1
+        with np.errstate(over="ignore"):
+            self.h2 = (self.p * np.int32(-1640531535) + self.pp * np.int32(320255973) >> 13) & np.int32(SLOTS - 1)
         x1, x2 = self.t1.take(self.p), self.t2.take(self.h2)
         self.s1, self.s2 = x1 & 3, x2 & 3
         self.p1, self.p2 = x1 >> 2, x2 >> 2
@@ -84,6 +84,7 @@ class _Model:
         share = self.weight * TOTAL // self.weight.sum(1, keepdims=True)
         w2 = np.clip(share[:, 0], 256, TOTAL - (TOTAL >> 4))
         w12 = np.minimum(w2 + np.maximum(share[:, 1], 256), TOTAL - (TOTAL >> 5))
+        w2, w12 = w2.astype(np.int32), w12.astype(np.int32)
         self.w2, self.w12, self.mult = w2.take(self.state), w12.take(self.state), (TOTAL - w12 >> 20).take(self.state)
 
     def low_freq(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +110,8 @@ class _Model:
     def learn(self, ids: np.ndarray) -> None:
         """Weights and predictions follow what came; order 1 learns as well where order 2 spoke first."""
         hit1, hit2 = ids == self.p1, ids == self.p2
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.weight += np.bincount(self.state * 3 + outcome, minlength=96).reshape(32, 3)
+        outcome = _OUTCOME.take(hit1 + 2 * hit2.view(np.int8))
+        self.weight += np.bincount(self.state + 32 * outcome, minlength=96).reshape(3, 32).T
         # Where lanes meet in a slot the last one stays, in encoder and decoder alike.
         self.t1[self.p] = _NEXT.take(self.s1 + 4 * hit1) + 4 * np.where(hit1 | (self.s1 > 2), self.p1, ids)
         self.t2[self.h2] = _NEXT.take(self.s2 + 4 * hit2) + 4 * np.where(hit2 | (self.s2 > 2), self.p2, ids)
@@ -119,7 +120,9 @@ class _Model:
 
 
 #: Confidence after a miss from 0..3, then after a hit.
-_NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3])
+_NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+#: Whether order 2 (0), order 1 (1) or neither (2) held, by hits of order 1 and twice those of order 2.
+_OUTCOME = np.array([2, 1, 0, 0], np.int64)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -136,7 +139,7 @@ def _encode_block(ids: np.ndarray) -> bytes:
         names, grid = np.unique(ids, return_inverse=True)
         grid = grid.reshape(-1)
     n_ids = int(grid.max()) + 1
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = grid
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(lanes, n_ids, False)
@@ -149,12 +152,12 @@ def _encode_block(ids: np.ndarray) -> bytes:
         at, freq = model.low_freq(sym)
         model.learn(sym)
         r = span >> U(BITS)
-        low += r * at.view(np.uint64)
+        low += r * at.astype(np.uint64)
         over = np.flatnonzero(low > mask)
         if over.size:
             words[over, used[over] - 1] += 1
             low &= mask
-        span = r * freq.view(np.uint64)
+        span = r * freq.astype(np.uint64)
         small = np.flatnonzero(span < U(1 << 32))
         while small.size:
             words[small, used[small]] = (low[small] >> U(32)).view(np.int64)
@@ -197,17 +200,17 @@ def _decode_block(blob: bytes) -> np.ndarray:
     read = np.full(lanes, 3)
     last = words.shape[1] - 1
     span = np.full(lanes, (1 << 48) - 1, np.uint64)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         model.predict()
         r = span >> U(BITS)
-        target = np.minimum(code // r, U(TOTAL - 1)).view(np.int64)
+        target = np.minimum(code // r, U(TOTAL - 1)).astype(np.int32)
         sym = model.find(target)
         low, freq = model.low_freq(sym)
         model.learn(sym)
         out[step] = sym
-        code -= r * low.view(np.uint64)
-        span = r * freq.view(np.uint64)
+        code -= r * low.astype(np.uint64)
+        span = r * freq.astype(np.uint64)
         small = np.flatnonzero(span < U(1 << 32))
         while small.size:
             code[small] = (code[small] << U(16)) | words[small, np.minimum(read[small], last)]

@@ -17,12 +17,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from parley.llm.textcols import SPACE, binary, concat_ranges
+from parley.llm.textcols import SPACE, binary, concat_ranges, hash_vocab
 
-#: Bytes of distinct pieces (with what a dictionary costs for each) that a worker keeps; beyond it the cache starts anew.
-CACHE_BYTES = 32 << 20
-PIECE_BYTES = 160
+#: Bytes of distinct pieces, their ids and keys that a worker keeps; beyond it those go that were met once only.
+CACHE_BYTES = 48 << 20
 
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -63,12 +63,41 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.held = 0
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        #: Sorted hashes of the known pieces and their places below, where they stand as they came.
+        self.keys = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int32)
+        self.names = pa.array([], pa.large_binary())
+        self.start = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
         self.ids = np.zeros(0, np.uint32)
 
+    def held(self) -> int:
+        return self.names.nbytes + self.keys.nbytes + self.place.nbytes + self.start.nbytes + self.count.nbytes + self.ids.nbytes
+
+    def trim(self) -> None:
+        """Keep the pieces that were met again since the last time."""
+        keep = np.flatnonzero(self.again)
+        names, start, count = self.names.take(pa.array(keep)), self.start[keep], self.count[keep]
+        ids = self.ids[concat_ranges(start.astype(np.int64), count.astype(np.int64))]
+        self.clear()
+        self.add(names, ids, count)
+        if self.held() > CACHE_BYTES // 2:
+            self.clear()
+
+    def add(self, names: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        keys = hash_vocab(names)
+        order = np.argsort(keys)
+        into = np.searchsorted(self.keys, keys[order])
+        at = len(self.start)
+        self.keys = np.insert(self.keys, into, keys[order])
+        self.place = np.insert(self.place, into, (at + order).astype(np.int32))
+        self.names = pa.concat_arrays([self.names, names])
+        self.start = np.concatenate((self.start, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)))
+        self.count = np.concatenate((self.count, counts.astype(np.int32)))
+        self.again = np.concatenate((self.again, np.zeros(len(counts), bool)))
+        self.ids = np.concatenate((self.ids, ids))
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in turn, and how many each has."""
         got: list[list[int] | None] = []
@@ -89,22 +118,31 @@ class Encoder:
         counts = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum())), counts
 
-    def lookup(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(start, count) in ``self.ids`` of each distinct piece, encoding the new ones."""
-        pieces = vocab.to_pylist()
-        if self.held > CACHE_BYTES:
-            self.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            ids, counts = self.encode_pieces(new)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.held += PIECE_BYTES * len(new) + sum(map(len, new))
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(counts) - counts))
-            self.count = np.concatenate((self.count, counts))
-            self.ids = np.concatenate((self.ids, ids))
-        at = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
-        return self.start[at], self.count[at]
+    def lookup(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, count) of each distinct piece, encoding the new ones; a piece is known by its bytes."""
+        if self.held() > CACHE_BYTES:
+            self.trim()
+        keys = hash_vocab(vocab)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        old = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        known = np.flatnonzero(old)
+        place = self.place[at[known]] if len(known) else np.zeros(0, np.int32)
+        same = pc.equal(self.names.take(pa.array(place)), vocab.take(pa.array(known))).to_numpy(zero_copy_only=False).astype(bool)
+        clash = known[~same]
+        self.again[place[same]] = True
+        start, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[known[same]], count[known[same]] = self.start[place[same]], self.count[place[same]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            names = vocab.take(pa.array(new))
+            ids, counts = self.encode_pieces(names.to_pylist())
+            start[new], count[new] = len(self.ids) + np.cumsum(counts) - counts, counts
+            self.add(names, ids, counts)
+        if not len(clash):
+            return self.ids, start, count
+        ids, counts = self.encode_pieces(vocab.take(pa.array(clash)).to_pylist())  # another piece has the hash
+        start[clash], count[clash] = len(self.ids) + np.cumsum(counts) - counts, counts
+        return np.concatenate((self.ids, ids)), start, count
 
 
 @lru_cache(maxsize=4)
@@ -143,9 +181,9 @@ def encode(path: str, data: np.ndarray, offs: np.ndarray, end_id: int | None = N
     """
     enc = load(path)
     codes, doc, vocab = _pieces(data, offs, enc.keeps_space)
-    starts, counts = enc.lookup(vocab) if len(vocab) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    known, starts, counts = enc.lookup(vocab) if len(vocab) else (enc.ids, np.zeros(0, np.int64), np.zeros(0, np.int64))
     per = counts[codes] if len(codes) else np.zeros(0, np.int64)
-    flat = enc.ids[concat_ranges(starts[codes], per)] if len(codes) else np.zeros(0, np.uint32)
+    flat = known[concat_ranges(starts[codes], per)] if len(codes) else np.zeros(0, np.uint32)
     ends = np.concatenate(([0], np.cumsum(per)))[doc]
     text = data.tobytes()
     marked = sorted({int(np.searchsorted(offs, m.start(), "right")) - 1 for mark in enc.marks if mark.encode() in text for m in re.finditer(re.escape(mark.encode()), text)})
