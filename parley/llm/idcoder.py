@@ -35,8 +35,10 @@ TOTAL = 1 << BITS
 #: Resolution of order 0; larger ids are coded by rank.
 BASE = 1 << 20
 MOST = BASE >> 1
-SLOTS = 1 << 18
-REFRESH = 16
+SLOTS = 1 << 16
+REFRESH = 32
+#: Steps after which the mixing weights are taken up.
+MIX = 4
 U = np.uint64
 
 
@@ -51,6 +53,7 @@ class _Model:
         self.n_ids, self.inverse = n_ids, inverse
         self.count = np.zeros(n_ids, np.int64)
         self.seen: list[np.ndarray] = []
+        self.outcomes: list[np.ndarray] = []
         self.t1 = np.zeros(n_ids, np.int32)
         self.t2 = np.zeros(SLOTS, np.int32)
         #: By state: how often order 2, order 1 and neither held.
@@ -70,22 +73,29 @@ class _Model:
         if self.inverse:
             self.id_at = np.repeat(np.arange(self.n_ids, dtype=np.int32), self.per)
 
+    def _mix(self) -> None:
+        """Shares of the range by state: orders 1 and 2 keep a sliver of it at least, and order 0 a thirty-second."""
+        if self.outcomes:
+            self.weight += np.bincount(np.concatenate(self.outcomes), minlength=96).reshape(3, 32).T
+            self.outcomes = []
+        share = self.weight * TOTAL // self.weight.sum(1, keepdims=True)
+        w2 = np.clip(share[:, 0], 256, TOTAL - (TOTAL >> 4))
+        w12 = np.minimum(w2 + np.maximum(share[:, 1], 256), TOTAL - (TOTAL >> 5))
+        self.mixed2, self.mixed12, self.scale = w2.astype(np.int32), w12.astype(np.int32), (TOTAL - w12 >> 20).astype(np.int32)
+
     def predict(self) -> None:
         if self.step in (1, 2, 4, 8) or self.step % REFRESH == 0:
             self._refresh()
         self.step += 1
         with np.errstate(over="ignore"):
-            self.h2 = (self.p * np.int32(-1640531535) + self.pp * np.int32(320255973) >> 13) & np.int32(SLOTS - 1)
+            self.h2 = (self.p * np.int32(-1640531535) + self.pp * np.int32(320255973) >> 15) & np.int32(SLOTS - 1)
         x1, x2 = self.t1.take(self.p), self.t2.take(self.h2)
         self.s1, self.s2 = x1 & 3, x2 & 3
         self.p1, self.p2 = x1 >> 2, x2 >> 2
         self.state = self.s2 * 8 + self.s1 * 2 + (self.p1 == self.p2)
-        # Orders 1 and 2 keep a sliver of the range at least, and order 0 a thirty-second.
-        share = self.weight * TOTAL // self.weight.sum(1, keepdims=True)
-        w2 = np.clip(share[:, 0], 256, TOTAL - (TOTAL >> 4))
-        w12 = np.minimum(w2 + np.maximum(share[:, 1], 256), TOTAL - (TOTAL >> 5))
-        w2, w12 = w2.astype(np.int32), w12.astype(np.int32)
-        self.w2, self.w12, self.mult = w2.take(self.state), w12.take(self.state), (TOTAL - w12 >> 20).take(self.state)
+        if self.step % MIX == 1:
+            self._mix()
+        self.w2, self.w12, self.mult = self.mixed2.take(self.state), self.mixed12.take(self.state), self.scale.take(self.state)
 
     def low_freq(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The part of the range that codes each id."""
@@ -110,8 +120,7 @@ class _Model:
     def learn(self, ids: np.ndarray) -> None:
         """Weights and predictions follow what came; order 1 learns as well where order 2 spoke first."""
         hit1, hit2 = ids == self.p1, ids == self.p2
-        outcome = _OUTCOME.take(hit1 + 2 * hit2.view(np.int8))
-        self.weight += np.bincount(self.state + 32 * outcome, minlength=96).reshape(3, 32).T
+        self.outcomes.append(self.state + _OUTCOME.take(hit1 + 2 * hit2.view(np.int8)))
         # Where lanes meet in a slot the last one stays, in encoder and decoder alike.
         self.t1[self.p] = _NEXT.take(self.s1 + 4 * hit1) + 4 * np.where(hit1 | (self.s1 > 2), self.p1, ids)
         self.t2[self.h2] = _NEXT.take(self.s2 + 4 * hit2) + 4 * np.where(hit2 | (self.s2 > 2), self.p2, ids)
@@ -121,8 +130,8 @@ class _Model:
 
 #: Confidence after a miss from 0..3, then after a hit.
 _NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
-#: Whether order 2 (0), order 1 (1) or neither (2) held, by hits of order 1 and twice those of order 2.
-_OUTCOME = np.array([2, 1, 0, 0], np.int64)
+#: Whether order 2 (0), order 1 (32) or neither (64) held, by hits of order 1 and twice those of order 2.
+_OUTCOME = np.array([64, 32, 0, 0], np.int32)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -144,7 +153,9 @@ def _encode_block(ids: np.ndarray) -> bytes:
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(lanes, n_ids, False)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    words = np.zeros((lanes, 2 * steps + 8), np.int64)
+    width = 2 * steps + 8
+    words = np.zeros((lanes, width), np.int32)
+    flat, base = words.reshape(-1), np.arange(lanes) * width
     used = np.zeros(lanes, np.int64)
     mask = U((1 << 48) - 1)
     for sym in grid:
@@ -155,19 +166,20 @@ def _encode_block(ids: np.ndarray) -> bytes:
         low += r * at.astype(np.uint64)
         over = np.flatnonzero(low > mask)
         if over.size:
-            words[over, used[over] - 1] += 1
+            flat[base[over] + used[over] - 1] += 1
             low &= mask
         span = r * freq.astype(np.uint64)
         small = np.flatnonzero(span < U(1 << 32))
         while small.size:
-            words[small, used[small]] = (low[small] >> U(32)).view(np.int64)
+            own, width_ = low.take(small), span.take(small) << U(16)
+            flat[base.take(small) + used.take(small)] = (own >> U(32)).astype(np.int32)
             used[small] += 1
-            low[small] = (low[small] << U(16)) & mask
-            span[small] <<= U(16)
-            small = small[span[small] < U(1 << 32)]
+            low[small] = (own << U(16)) & mask
+            span[small] = width_
+            small = small[width_ < U(1 << 32)]
     lane = np.arange(lanes)
     for _ in range(3):
-        words[lane, used] = (low >> U(32)).view(np.int64)
+        words[lane, used] = (low >> U(32)).astype(np.int32)
         used += 1
         low = (low << U(16)) & mask
     for i in range(int(used.max()) - 1, 0, -1):
