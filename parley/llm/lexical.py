@@ -40,7 +40,7 @@ from parley.llm.textcols import NON_ALNUM, concat_ranges, raw, slices, split_wor
 
 SHARD_BYTES = 4 << 20
 #: Shards that one task streams through, and terms of the queries that it holds.
-SHARDS, QUERY_TERMS = 16, 200_000
+SHARDS, QUERY_TERMS = 8, 200_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.llm.store import written
 from parley.llm.textcols import concat_ranges, mix64
 
 #: Rows that codewords are fitted to, and queries that ``wanted`` is measured on, at most.
@@ -297,7 +298,8 @@ def _of_length(rows: DataFrame, asked: DataFrame, n: int, n_asked: int, dim: int
     asks = asked.mapInArrow(_coder(book, dim, held_asked, most_asked, "s"), shape.format("s")).repartition(-(-n_asked // 128), "id").mapInArrow(
         _asker(book, held, wanted, most, dim), _ASKED
     )
-    met = index.join(asks.select("r", "s").distinct(), "r") if n_asked > most_asked else index.withColumn("s", F.lit(0))
+    asks = written(asks, "asks")
+    met = index.join(asks.select("r", F.col("s").alias("of")).distinct(), "r").withColumnRenamed("of", "s") if n_asked > most_asked else index.withColumn("s", F.lit(0))
     cells = max(1, -(-n // most) * -(-n_asked // most_asked))
     dealt = lambda df: df.repartition(cells, "r", "s").groupBy("r", "s")
     return dealt(met).cogroup(dealt(asks)).applyInArrow(_rerank(dim, book.cells, k), "query_id long, id long, score double")
