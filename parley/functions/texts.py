@@ -185,3 +185,9 @@ def dialogue_id_in(messages: Column) -> Column:
 def over_budget(text: Column, words_: int) -> Column:
     """By how many words a text is longer than its budget; 0 if it is not."""
     return F.greatest(F.lit(0), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) - words_)
+
+
+def looks_before_shipment(c: Column) -> Column:
+    """Whether a text says ``before`` and any shipment word, present or past, wherever they stand."""
+    w = words(c)
+    return F.array_contains(w, "before") & F.arrays_overlap(w, F.array(*map(F.lit, SHIPMENT["present"] + SHIPMENT["past"])))

@@ -72,3 +72,72 @@ def compare_labels(original: DataFrame, other: DataFrame, gold: DataFrame, key:
 def first_labels(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row of each key that comes first."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__r = 1").drop("__r")
+
+
+def long_labels(rows: DataFrame, key: list[str], fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, field, a, b) of pairs of label columns, as text."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for f, (a, b) in fields.items()])
+    return rows.select(*key, F.inline(parts))
+
+
+def contingency_cube(labels: DataFrame, groups: list[str]) -> DataFrame:
+    """Counts of each pair of labels and of either label alone, by field: one scan of the labels by grouping sets.
+
+    ``level`` is 0 for a pair, 1 for a first label, 2 for a second one.
+    """
+    by = [*groups, "field"]
+    cube = labels.groupingSets([[*by, "a", "b"], [*by, "a"], [*by, "b"]], *by, "a", "b").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+    return cube.withColumn("level", F.col("level").bitwiseAND(F.lit(3)))
+
+
+def instrument_report(labels: DataFrame, groups: list[str], orders: dict[str, list[str]], excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Agreement of two instruments on every field: n, share of equal labels, kappa, weighted kappa and bias.
+
+    ``labels`` is (groups, field, a, b); a row with a null or an excluded label is left out and counted.
+    Fields in ``orders`` have places: their kappa with quadratic weights is given, and the mean of b's place
+    less a's.  A field without a pair has n of 0 and nulls; a label that an order lacks is an error.
+    """
+    by = [*groups, "field"]
+    shut = F.col("a").isNull() | F.col("b").isNull() | F.col("a").isin(*excluded) | F.col("b").isin(*excluded) if excluded else F.col("a").isNull() | F.col("b").isNull()
+    marked = labels.select(*by, F.when(~shut, F.col("a")).alias("a"), F.when(~shut, F.col("b")).alias("b"))
+    # Left-out rows are pairs of nulls: cells of the cube as well.
+    cube = contingency_cube(marked, groups)
+    counted = (F.col("level") == 0) & F.col("a").isNotNull()
+    place = lambda c: F.coalesce(*[F.when(F.col("field") == f, F.when(F.array_contains(F.array(*map(F.lit, o)), F.col(c)), F.array_position(F.array(*map(F.lit, o)), F.col(c)) - 1).otherwise(F.raise_error(F.lit("unknown label")))) for f, o in orders.items()], F.lit(None).cast("long"))
+    scale = F.coalesce(*[F.when(F.col("field") == f, float(max(1, len(o) - 1) ** 2)) for f, o in orders.items()], F.lit(None).cast("double"))
+    x, y, n = F.when(counted, place("a")), F.when(counted, place("b")), F.col("n")
+    pairs = cube.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(counted, n)), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when((F.col("level") == 0) & F.col("a").isNull(), n)), F.lit(0)).alias("n_excluded"),
+        F.sum(F.when(counted & (F.col("a") == F.col("b")), n)).alias("same"),
+        F.sum(n * (x - y) * (x - y)).alias("d"), F.sum(n * x).alias("si"), F.sum(n * y).alias("sj"), F.sum(n * x * x).alias("sii"), F.sum(n * y * y).alias("sjj"),
+    )
+    margins = cube.where("level <> 0").withColumn("label", F.coalesce("a", "b")).where("label IS NOT NULL").groupBy(*by, "label")
+    chance = margins.agg((F.sum(F.when(F.col("level") == 1, n).otherwise(0)) * F.sum(F.when(F.col("level") == 2, n).otherwise(0))).alias("c")).groupBy(*by).agg(F.sum("c").alias("chance"))
+    total = F.col("n").cast("double")
+    po, pe = F.coalesce("same", F.lit(0)) / total, F.coalesce("chance", F.lit(0)) / (total * total)
+    observed = F.col("d") / (total * scale)
+    expected = (F.col("sii") / total + F.col("sjj") / total - 2.0 * F.col("si") / total * F.col("sj") / total) / scale
+    some = lambda c: F.when(F.col("n") > 0, c)
+    return pairs.join(chance, by, "left").select(
+        *by, "n", "n_excluded", some(po).alias("agreement"), some(F.when(pe == 1, (po == 1).cast("double")).otherwise((po - pe) / (1 - pe))).alias("kappa"),
+        some(F.when(F.abs(expected) < 1e-15, (observed == 0).cast("double")).otherwise(1.0 - observed / expected)).alias("weighted_kappa"), some((F.col("sj") - F.col("si")) / total).alias("bias"),
+    )
+
+
+def unmatched_keys(human: DataFrame, judge: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that a human scored and the judge did not."""
+    return human.select(*key).distinct().join(judge.select(*key), key, "left_anti")
+
+
+def labeller_report(turns: DataFrame, key: list[str], order: list[str], label: str, gold: str, valid) -> DataFrame:
+    """One row: turn accuracy, and how many dialogues have a valid path by gold, by label, by both alike, by gold alone.
+
+    ``valid(turns, column)`` gives ``valid_flow_path`` for each key; an empty gold label is an error.
+    """
+    whole = turns.withColumn(gold, F.when(F.col(gold).isNotNull() & (F.col(gold) != ""), F.col(gold)).otherwise(F.raise_error(F.lit("a gold label is missing"))))
+    counts = whole.agg(F.count("*").alias("n_turns"), F.count_if(F.col(label) == F.col(gold)).alias("n_correct"))
+    a = valid(whole, gold).select(*key, F.col("valid_flow_path").alias("g"))
+    b = valid(whole, label).select(*key, F.col("valid_flow_path").alias("l"))
+    paths = a.join(b, key).agg(F.count("*").alias("n_dialogues"), F.count_if("g").alias("n_gold_valid"), F.count_if("l").alias("n_labelled_valid"), F.count_if(F.col("g") == F.col("l")).alias("n_agree"), F.count_if(F.col("g") & ~F.col("l")).alias("n_gold_only"))
+    return counts.crossJoin(paths).withColumn("turn_accuracy", F.col("n_correct") / F.col("n_turns")).withColumn("path_agreement", F.col("n_agree") / F.col("n_dialogues"))

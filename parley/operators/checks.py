@@ -109,3 +109,20 @@ def answers_by_history(dialogues: DataFrame, calls: DataFrame, history: str, per
     a = dialogues.withColumn("__h", F.sha2(F.to_json(history), 256))
     b = calls.withColumn("__h", F.sha2(F.to_json(history), 256)).drop(history)
     return a.join(b, "__h").where(F.contains(prompt, persona) & F.contains(prompt, goal)).drop("__h")
+
+
+def keys_holding_all(pairs: DataFrame, key: str, member: str, wanted: DataFrame) -> DataFrame:
+    """Relational division: the keys that hold every member of ``wanted``; no wanted member at all gives every key.
+
+    Matched members are counted by key; neither side is multiplied with the other.
+    """
+    members = wanted.select(F.col(member)).where(F.col(member).isNotNull()).distinct()
+    held = pairs.select(key, member).join(members.withColumn("__wanted", F.lit(True)), member, "left")
+    counts = held.groupBy(key).agg(F.count_distinct(F.when(F.col("__wanted"), F.col(member))).alias("__n"))
+    return counts.crossJoin(members.agg(F.count("*").alias("__all"))).where("__n = __all").select(key)
+
+
+def patterned_keys(fields: DataFrame, intents: DataFrame) -> DataFrame:
+    """Keys of patterned fields that every intent requires; ``fields`` has key, pattern and an array ``required_for``."""
+    pairs = fields.where(F.col("pattern").isNotNull()).select("key", F.explode_outer("required_for").alias("intent"))
+    return keys_holding_all(pairs, "key", "intent", intents)

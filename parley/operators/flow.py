@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.sources.scratch import written
+
 
 def expand_wildcards(edges: DataFrame, states: DataFrame) -> DataFrame:
     """An edge from ``*`` becomes one from each state but its own destination; (event, source, dest, from_any)."""
@@ -23,19 +25,37 @@ def walks_within(edges: DataFrame, limit: int = 2) -> DataFrame:
     return reach
 
 
-def reachable(edges: DataFrame, initial: str) -> DataFrame:
-    """States that walks from ``initial`` reach, itself included: a breadth-first search over the small graph."""
+def reachable(edges: DataFrame, initial: str | DataFrame) -> DataFrame:
+    """States that walks from the initial state or states reach, these included; an edge from ``*`` leads on from anywhere.
+
+    Semi-naive: each round joins the edges with the states of the last round alone and keeps what is new, so
+    all rounds together read each state's edges once.  Rounds are written, and only their emptiness is asked.
+    """
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(initial,)], "state string")
-    frontier = seen
-    while True:
-        hop = edges.join(frontier, (edges.source == frontier.state) | (edges.source == "*")).select(F.col("dest").alias("state")).distinct()
-        new = hop.join(seen, "state", "left_anti")
-        names = [r["state"] for r in new.toLocalIterator()]  # a machine's states: a handful, never data
-        if not names:
-            return seen
-        frontier = spark.createDataFrame([(n,) for n in names], "state string")
-        seen = seen.unionByName(frontier)
+    start = spark.createDataFrame([(initial,)], "state string") if isinstance(initial, str) else initial.select("state").distinct()
+    steps = written(edges.select(F.col("source").alias("state"), "dest").distinct(), "edges")
+    anywhere = steps.where("state = '*'").select(F.col("dest").alias("state"))
+    frontier = written(start.union(anywhere).distinct(), "frontier") if not start.isEmpty() else start
+    seen = frontier
+    while not frontier.isEmpty():
+        hop = steps.join(frontier, "state").select(F.col("dest").alias("state")).distinct()
+        frontier = written(hop.join(seen, "state", "left_anti"), "frontier")
+        seen = seen.union(frontier)
+    return seen
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(source, dest) of every pair that a walk of declared edges connects, by the same rounds over pairs.
+
+    The result has a row for each pair, so it is for graphs whose closure is wanted, like a machine's.
+    """
+    one = written(edges.where("source <> '*'").select("source", "dest").distinct(), "edges")
+    frontier = seen = one
+    while not frontier.isEmpty():
+        hop = frontier.select("source", F.col("dest").alias("via")).join(one.select(F.col("source").alias("via"), "dest"), "via").select("source", "dest").distinct()
+        frontier = written(hop.join(seen, ["source", "dest"], "left_anti"), "frontier")
+        seen = seen.union(frontier)
+    return seen
 
 
 def orphans(edges: DataFrame, states: DataFrame, initial: str) -> DataFrame:

@@ -12,7 +12,7 @@ import json
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,3 +54,26 @@ def parsed(text: Column, schema: str) -> Column:
 
 def enum_ok(values: Column, allowed: list[str]) -> Column:
     return F.forall(values, lambda v: F.array_contains(F.array(*map(F.lit, allowed)), v))
+
+
+def prefix_digests(messages: Column) -> Column:
+    """Chained digests of every prefix of an array of (role, content), the empty one first: equal digests, equal histories."""
+    text = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    said = lambda m: F.concat(text(F.coalesce(m["role"], F.lit(""))), text(F.coalesce(m["content"], F.lit(""))))
+    return F.aggregate(messages, F.array(F.sha2(F.lit(""), 256)), lambda acc, m: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), said(m)), 256))))
+
+
+def retry_candidates(dialogues: DataFrame, calls: DataFrame, key: list[str], schema: str) -> DataFrame:
+    """(key, turn, attempt, seed, text, reply): what the simulated user was recorded to say at each turn, in order.
+
+    ``dialogues`` has the key, seed, persona, goal and messages; ``calls`` has persona, goal, messages,
+    text, timestamp and prompt_hash.  A call meets the turn whose history it repeats by one equi-join on the
+    chained digest of that history beside persona and goal.  ``turn`` counts the messages before; the seed
+    goes up with each attempt; a text that does not fit ``schema`` has a null reply.
+    """
+    told = lambda df: df.withColumn("__h", prefix_digests(F.col("messages")))
+    turns = told(dialogues).select(*key, "seed", "persona", "goal", F.posexplode("__h").alias("turn", "__h"))
+    asked = told(calls).select("persona", "goal", F.element_at("__h", -1).alias("__h"), "text", "timestamp", "prompt_hash")
+    order = Window.partitionBy(*key, "turn").orderBy("timestamp", "prompt_hash", "text")
+    met = turns.join(asked, ["persona", "goal", "__h"]).withColumn("attempt", F.row_number().over(order) - 1)
+    return met.select(*key, "turn", "attempt", (F.col("seed") + F.col("attempt")).alias("seed"), "text", parsed(F.col("text"), schema).alias("reply"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +11,7 @@ from parley.plans.frames import E_SQL, e_frame, read
 from parley.plans.registry import query, rounded
 from parley.sources import readers, writers
 from parley.sources.schemas import RECORD
-
-
-def _new(spark: SparkSession, name: str) -> str:
-    """A path of its own in the folder of ``spark.checkpoint.dir``; in a temporary folder if all tasks run on this machine."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.gettempdir()}/checkpoints/parley"
-    path = f"{at}/parley-{sc.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = sc._jvm.org.apache.hadoop.fs.Path(path)
-    jvm.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jvm)
-    return path
+from parley.sources.scratch import scratch as _new
 
 
 def _text(spark: SparkSession, path: str, *texts: str) -> str:

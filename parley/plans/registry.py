@@ -303,16 +303,6 @@ def q_flow_valid(spark, sf):
     return flow.valid_paths(q_frame(spark, sf), ["user_id"], ["ts", "event_id"], "stage", _edges(spark), "login")
 
 
-@query(f"WITH {EDGES_SQL} SELECT source, dest FROM two")
-def q_closure(spark, sf):
-    return flow.walks_within(_edges(spark), 2)
-
-
-@query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 'view' AS state UNION SELECT g.dest FROM r JOIN g ON g.source = r.state OR g.source = '*') SELECT state FROM r")
-def q_reach(spark, sf):
-    return flow.reachable(_edges(spark), "view")
-
-
 @query("""WITH n AS (SELECT DISTINCT n_regionkey AS r, n_nationkey AS k FROM nation) SELECT 'n' || a.k AS source, 'n' || b.k AS dest, true AS from_any FROM n a JOIN n b ON a.k <> b.k AND b.k = 7""")
 def q_wildcards(spark, sf):
     states = read(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("state")).distinct()
@@ -534,4 +524,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_descriptive(spark, sf_dir).join(q_wtl_by_stratum(spark, sf_dir).withColumnRenamed("n", "n_pairs"), GROUPS)
 
 
-from parley.plans import analysis, files, rules  # noqa: E402, F401  (their queries register themselves)
+from parley.plans import analysis, files, integrity, rules  # noqa: E402, F401  (their queries register themselves)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import cells, texts
 from parley.operators import agreement, audit, calls, cases, checks, flow, paired, replay, sampling, scoring, stats
 from parley.plans.frames import E_SQL, e_frame, read
-from parley.plans.registry import EDGES_SQL, GROUPS, SEED, STEM_SQL, _edges, _pairs, query, rounded
+from parley.plans.registry import GROUPS, SEED, STEM_SQL, _pairs, query, rounded
 
 # Cells.
 
@@ -174,31 +174,6 @@ def q_human_scores(spark, sf):
     return rounded(checks.human_scores(every, judged, required, "k").select("k", "tp", "fp", "fn", "claim_support"))
 
 
-# Graphs.
-
-
-@query(f"""WITH {EDGES_SQL}, w AS (SELECT * FROM g UNION ALL VALUES ('go', 'view', 'login'), ('odd', 'view', 'nowhere'), ('x', 'lost', 'view')), s AS (SELECT unnest(['view', 'click', 'purchase', 'logout', 'login', 'lost']) AS state)
-SELECT 'ambiguous' AS rule, source || '/' || event AS value FROM w GROUP BY source, event HAVING count(DISTINCT dest) > 1
-UNION ALL SELECT 'undeclared_state', x FROM (SELECT source AS x FROM w UNION SELECT dest FROM w) WHERE x <> '*' AND x NOT IN (SELECT state FROM s)
-UNION ALL SELECT 'from_any', dest || '/' || string_agg(event, ',' ORDER BY event) FROM w WHERE source = '*' GROUP BY dest
-UNION ALL SELECT DISTINCT 'event_of_view', event FROM w WHERE source = 'view' OR (source = '*' AND dest <> 'view') UNION ALL SELECT 'orphan', 'lost'
-UNION ALL SELECT 'undeclared_guard', event FROM w WHERE event IN ('odd') UNION ALL SELECT 'mermaid', 'stateDiagram-v2' || chr(10) || string_agg('    ' || source || ' --> ' || dest || ' : ' || event, chr(10) ORDER BY '    ' || source || ' --> ' || dest || ' : ' || event) FROM w WHERE source <> '*'""")
-def q_graph_rules(spark, sf):
-    more = spark.createDataFrame([("go", "view", "login"), ("odd", "view", "nowhere"), ("x", "lost", "view")], "event string, source string, dest string")
-    w = _edges(spark).unionByName(more).withColumn("guard", F.when(F.col("event") == "odd", "unknown").when(F.col("event") == "buy", "held"))
-    states = spark.createDataFrame([(s,) for s in ("view", "click", "purchase", "logout", "login", "lost")], "state string")
-    named = lambda df, rule, value: df.select(F.lit(rule).alias("rule"), value.alias("value"))
-    return (
-        named(flow.ambiguous_events(w), "ambiguous", F.concat_ws("/", "source", "event"))
-        .unionByName(named(flow.undeclared_states(w, states), "undeclared_state", F.col("state")))
-        .unionByName(named(flow.events_from_any(w), "from_any", F.concat("dest", F.lit("/"), F.array_join("events", ","))))
-        .unionByName(named(flow.events_for(w, "view"), "event_of_view", F.col("event")))
-        .unionByName(named(flow.orphans(w, states, "view"), "orphan", F.col("state")))
-        .unionByName(named(flow.undeclared_guards(w, ["held"]), "undeclared_guard", F.col("event")))
-        .unionByName(named(flow.to_mermaid(w), "mermaid", F.col("mermaid")))
-    )
-
-
 @query("SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN round(avg(CAST(event_type = CASE WHEN value > 50 THEN 'click' ELSE 'view' END AS DOUBLE)), 6) END AS stage_label_accuracy FROM events GROUP BY user_id")
 def q_stage_accuracy(spark, sf):
     ev = read(spark, sf, "events").withColumn("gold", F.when(F.col("user_id") % 3 != 0, F.when(F.col("value") > 50, "click").otherwise("view")))
