@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import cells
@@ -14,12 +14,17 @@ from parley.sources.schemas import RECORD
 from parley.sources.scratch import scratch as _new
 
 
-def _text(spark: SparkSession, path: str, *texts: str) -> str:
-    """Write one text file for each text."""
-    spark.createDataFrame(list(enumerate(texts)), "i int, value string").write.partitionBy("i").text(path)
+def _files(df: DataFrame, path: str, name: str, text: str) -> str:
+    """Write one text file for each row, in a folder that ``name`` names."""
+    df.select(F.col(name).alias("file"), F.col(text).alias("value")).repartition("file").write.partitionBy("file").text(path)
     return path
 
 
+def _lines(line, order) -> Column:
+    """Lines of a group as one text, in order: for documents of configuration."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"]), "\n")
+
+
 @query(f"WITH {E_SQL} SELECT scenario_id, agent, CAST(repetition AS INTEGER) AS repetition, m1, m2, CAST(m3 AS DOUBLE) AS m3 FROM e")
 def q_metrics_csv(spark, sf):
     path = _new(spark, "metrics")
@@ -101,46 +106,66 @@ def q_cache_shards(spark, sf):
     path = _new(spark, "cache")
     rows = read(spark, sf, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("prompt_hash"))
     writers.upsert_cache(rows.where("o_orderkey % 2 = 0").withColumn("text", F.lit("v1")), path, None)
-    old = spark.read.parquet(path)
-    writers.upsert_cache(rows.withColumn("text", F.lit("v2")), path, spark.createDataFrame(old.select("prompt_hash").toArrow()))
+    writers.upsert_cache(rows.withColumn("text", F.lit("v2")), path, spark.read.parquet(path).select("prompt_hash"))
     return spark.read.parquet(path).select(F.col("o_orderkey").alias("k"), "text", F.col("shard").cast("string").alias("shard"))
 
 
-@query("SELECT CAST(s_suppkey AS INTEGER) AS ord, 'edge_' || s_suppkey AS scenario_id, 'fsm' AS agent, 1 AS repetition FROM supplier WHERE s_suppkey < 8 UNION ALL SELECT -1, 'a' || s_suppkey, 'listed', 0 FROM supplier WHERE s_suppkey < 3")
+@query("""SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS ord, 'edge_' || s_suppkey AS scenario_id, CASE WHEN s_nationkey % 2 = 0 THEN 'fsm' ELSE 'baseline' END AS agent, CAST(s_nationkey AS INTEGER) AS repetition FROM supplier
+UNION ALL SELECT -1, s_name, 'listed', 0 FROM supplier WHERE s_acctbal < 0""")
 def q_manifest(spark, sf):
-    """A run's plan and its list of admitted failures: small documents, each read as one."""
-    jobs = ", ".join(f'{{"scenario_id": "edge_{i}", "agent": "fsm", "repetition": 1}}' for i in range(8))
-    plan = readers.manifest_jobs(spark, _text(spark, _new(spark, "manifest"), f'{{"exp_id": "x", "jobs": [\n{jobs}]}}'))
-    listed = readers.allowlist(spark, _text(spark, _new(spark, "listed"), '{"ids": ["a0", "a1", "a2"]}'))
-    return plan.unionByName(listed.select(F.lit(-1).alias("ord"), F.col("dialogue_id").alias("scenario_id"), F.lit("listed").alias("agent"), F.lit(0).alias("repetition")))
+    """A run's plan and its list of admitted failures, each one document over all suppliers."""
+    s = read(spark, sf, "supplier")
+    job = F.struct(F.concat(F.lit("edge_"), F.col("s_suppkey").cast("string")).alias("scenario_id"), F.when(F.col("s_nationkey") % 2 == 0, "fsm").otherwise("baseline").alias("agent"), F.col("s_nationkey").cast("int").alias("repetition"))
+    plan, listed = _new(spark, "manifest"), _new(spark, "listed")
+    s.agg(F.array_sort(F.collect_list(F.struct("s_suppkey", job.alias("job")))).alias("x")).select(F.lit("x").alias("exp_id"), F.transform("x", lambda x: x["job"]).alias("jobs")).write.json(plan)
+    s.where("s_acctbal < 0").agg(F.collect_list("s_name").alias("ids")).write.json(listed)
+    admitted = readers.allowlist(spark, listed).select(F.lit(-1).alias("ord"), F.col("dialogue_id").alias("scenario_id"), F.lit("listed").alias("agent"), F.lit(0).alias("repetition"))
+    return readers.manifest_jobs(spark, plan).select("ord", "scenario_id", "agent", "repetition").unionByName(admitted)
 
 
-@query("SELECT * FROM (VALUES ('fact', 'F01', 'hours', 'Open at nine.'), ('fact', 'F02', 'hours', 'Closed on Sunday.'), ('fact', 'F03', 'pay', 'Cards are taken.'), ('prompt', '3', 'Hello {name}', 'yes'), ('prompt', '4', 'Bye', 'yes'), ('sum', 'ab12', 'a b.csv', ''), ('sum', 'cd34', 'c.csv', '')) t(kind, id, a, b)")
+@query("""SELECT 'fact' AS kind, printf('F%02d', n_nationkey) AS id, lower(replace(r_name, ' ', '_')) AS a, 'Of ' || n_name || '.' AS b FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'prompt', CAST(s_nationkey AS VARCHAR), 'Serve ' || s_name || '.' || chr(10) || 'Then stop.', 's' || s_suppkey FROM supplier UNION ALL SELECT 'sum', sha256(p_name), p_partkey || ' ' || p_name, '' FROM part""")
 def q_documents_of_configuration(spark, sf):
-    """Markdown facts, versioned prompts and digest lists: configuration, read as whole texts."""
-    kb = "# KB\n\n## Hours (`hours`)\n\n- **F01** — Open at nine.\n- **F02** — Closed on Sunday.\n\n## Pay (`pay`)\n\n- **F03** — Cards are taken.\n"
-    facts = readers.facts(spark, _text(spark, _new(spark, "kb"), kb)).select(F.lit("fact").alias("kind"), "id", F.col("intent").alias("a"), F.col("text").alias("b"))
-    prompts = readers.prompts(spark, _text(spark, _new(spark, "prompts"), "Version: 3\n\nHello {name}\n", "Version: 4\nBye"))
-    prompts = prompts.select(F.lit("prompt").alias("kind"), F.col("version").cast("string").alias("id"), F.col("body").alias("a"), F.when(F.col("name") != "", "yes").alias("b"))
-    sums = readers.sha256_sums(spark, _text(spark, _new(spark, "sums"), "# digests\nab12  a b.csv\n\ncd34  c.csv\n")).select(F.lit("sum").alias("kind"), F.col("digest").alias("id"), F.col("name").alias("a"), F.lit("").alias("b"))
+    """A Markdown file of facts for each region, a versioned prompt for each supplier, and a digest list of all parts."""
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+    head = F.concat(F.lit("# KB\n\n## "), F.first("r_name"), F.lit(" (`"), F.lower(F.replace(F.first("r_name"), F.lit(" "), F.lit("_"))), F.lit("`)\n\n"))
+    fact = F.format_string("- **F%02d** \u2014 Of %s.", "n_nationkey", "n_name")
+    kb = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_regionkey").agg(F.concat(head, _lines(fact, F.col("n_nationkey"))).alias("text"))
+    facts = readers.facts(spark, _files(kb, _new(spark, "kb"), "r_regionkey", "text")).select(F.lit("fact").alias("kind"), "id", F.col("intent").alias("a"), F.col("text").alias("b"))
+    prompt = F.format_string("Version: %d\n\nServe %s.\nThen stop.\n", "s_nationkey", "s_name")
+    path = _files(read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("s"), prompt.alias("text")), _new(spark, "prompts"), "s", "text")
+    prompts = readers.prompts(spark, path + "/file=*/part-*", F.regexp_extract(F.col("_metadata.file_path"), "file=([^/]*)/", 1))
+    prompts = prompts.select(F.lit("prompt").alias("kind"), F.col("version").cast("string").alias("id"), F.col("body").alias("a"), F.col("name").alias("b"))
+    listed = _new(spark, "sums")
+    read(spark, sf, "part").select(F.concat(F.sha2("p_name", 256), F.lit("  "), F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name")).alias("value")).union(spark.createDataFrame([("# digests",), ("",)], "value string")).write.text(listed)
+    sums = readers.sha256_sums(spark, listed).select(F.lit("sum").alias("kind"), F.col("digest").alias("id"), F.col("name").alias("a"), F.lit("").alias("b"))
     return facts.unionByName(prompts).unionByName(sums)
 
 
-@query("SELECT a AS first, b AS second, sha256(least(a, b) || chr(10) || greatest(a, b) || chr(10)) AS all_files FROM (SELECT sha256('one' || chr(10)) AS a, sha256('two' || chr(10)) AS b)")
+@query("""WITH f AS (SELECT printf('i%05d', item_id) AS name, sha256(text || chr(10)) AS digest FROM benchmark)
+SELECT name, digest FROM f UNION ALL SELECT 'all', sha256(string_agg(digest || chr(10), '' ORDER BY name)) FROM f""")
 def q_file_digests(spark, sf):
-    files = readers.file_digests(spark, _text(spark, _new(spark, "files"), "one", "two") + "/i=*/part-*")
-    # Names of Spark's files are not known before, so the digests stand for them.
-    named = files.withColumn("name", F.col("digest"))
-    whole = readers.digest_of_digests(named)
-    digest = lambda t: F.max(F.when(F.col("digest") == F.sha2(F.lit(t + "\n"), 256), F.col("digest")))
-    return files.agg(digest("one").alias("first"), digest("two").alias("second")).crossJoin(whole.withColumnRenamed("digest", "all_files"))
+    """A file for each benchmark item: the digest of each, and one over all in order of their names."""
+    items = read(spark, sf, "benchmark").select(F.format_string("i%05d", "item_id").alias("item"), "text")
+    path = _files(items, _new(spark, "items"), "item", "text")
+    files = readers.file_digests(spark, path + "/file=*/part-*", F.regexp_extract("path", "file=([^/]*)/", 1))
+    return files.unionByName(readers.digest_of_digests(files).select(F.lit("all").alias("name"), "digest"))
 
 
-@query("SELECT * FROM (VALUES ('state', 'view', NULL, NULL), ('state', 'click', NULL, NULL), ('edge', 'go', 'view', 'click'), ('edge', 'out', '*', 'view')) t(kind, name, source, dest)")
+@query("""WITH n AS (SELECT DISTINCT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source, event_type AS dest FROM events)
+SELECT 'state' AS kind, event_type AS name, NULL AS source, NULL AS dest FROM events GROUP BY event_type UNION ALL SELECT 'edge', 'to_' || dest, source, dest FROM n WHERE source < dest UNION ALL SELECT 'edge', 'out', '*', min(event_type) FROM events""")
 def q_machine_file(spark, sf):
-    text = "states: [view, {name: click}]\ntransitions:\n- {event: go, from: view, to: click, guard: held}\n- {event: out, from: '*', to: view}\n"
-    edges, states = readers.state_machine(spark, _text(spark, _new(spark, "machine"), text))
-    return states.select(F.lit("state").alias("kind"), F.col("state").alias("name"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("dest")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("event").alias("name"), "source", "dest"))
+    """The YAML file of a machine with the stages and the rising steps that events show, written and read."""
+    ev = read(spark, sf, "events")
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    steps = ev.select(before.alias("source"), F.col("event_type").alias("dest")).where("source < dest").distinct()
+    edge = F.format_string("- {event: to_%s, from: %s, to: %s, guard: held}", "dest", "source", "dest")
+    edges = steps.agg(_lines(edge, F.concat_ws("/", "source", "dest")).alias("edges"))
+    states = ev.select("event_type").distinct().agg(_lines(F.format_string("- {name: %s}", "event_type"), F.col("event_type")).alias("states"), F.min("event_type").alias("least"))
+    text = F.concat(F.lit("states:\n"), "states", F.lit("\ntransitions:\n"), "edges", F.lit("\n- {event: out, from: '*', to: "), "least", F.lit("}\n"))
+    found, named = readers.state_machine(spark, _files(states.crossJoin(edges).select(F.lit("machine").alias("f"), text.alias("text")), _new(spark, "machine"), "f", "text"))
+    none = F.lit(None).cast("string")
+    return named.select(F.lit("state").alias("kind"), F.col("state").alias("name"), none.alias("source"), none.alias("dest")).unionByName(found.select(F.lit("edge").alias("kind"), F.col("event").alias("name"), "source", "dest"))
 
 
 @query("SELECT 'mail' AS field UNION ALL SELECT 'zip'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,9 +104,10 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
     return found.select("id", owned.alias("intent"), "text")
 
 
-def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, version, body) of prompt files that begin with a ``Version:`` line."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[a-z]+$", 1).alias("name"), "value")
+def prompts(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """(name, version, body) of prompt files that begin with a ``Version:`` line; ``name`` tells names that are not the file's."""
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[a-z]+$", 1) if name is None else name
+    files = spark.read.text(path, wholetext=True).select(named.alias("name"), "value")
     return files.select("name", F.regexp_extract("value", r"^Version:\s*([0-9]+)", 1).try_cast("int").alias("version"), F.regexp_replace(F.regexp_replace("value", r"^Version:[^\n]*\n", ""), r"^\s+|\s+$", "").alias("body"))
 
 
@@ -115,8 +116,9 @@ def sha256_sums(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.split("value", "  ", 2)[0].alias("digest"), F.split("value", "  ", 2)[1].alias("name"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+def file_digests(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    named = F.element_at(F.split("path", "/"), -1) if name is None else name
+    return spark.read.format("binaryFile").load(path).select(named.alias("name"), F.sha2("content", 256).alias("digest"))
 
 
 def digest_of_digests(files: DataFrame, name: str = "name", digest: str = "digest") -> DataFrame:
