@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.cells import failure_class
+from parley.operators.ranking import numbered, order_statistics
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
@@ -22,8 +23,10 @@ def census(jobs: DataFrame, logs: DataFrame, frozen: DataFrame, sidecar: DataFra
     log is missing, one without records is empty.  ``anomalies`` names broken rules, or is empty.
     """
     flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
-    # The first of several logs of a job counts; that there are several is a broken rule.
-    own = logs.groupBy(key).agg(F.count("*").alias("n_logs"), *[F.first(c).alias(c) for c in ("status", "n_records", "failure_kind", "failure_reason")])
+    # The least of several logs of a job counts, by its file where there is one; that there are several is a broken rule.
+    fields = ["status", "n_records", "failure_kind", "failure_reason"]
+    first = F.min(F.struct(*(["source_file"] if "source_file" in logs.columns else []), *fields)).alias("log")
+    own = logs.groupBy(key).agg(F.count("*").alias("n_logs"), first).select(key, "n_logs", *[F.col(f"log.{c}").alias(c) for c in fields])
     found = jobs.select(key).join(own, key, "left").join(unscored.select(key, F.col("reason").alias("unscored_reason")).dropDuplicates([key]), key, "left")
     for df, name in ((frozen, "frozen"), (sidecar, "sidecar"), (unscored, "unscored"), (listed, "listed")):
         found = found.join(flag(df, name), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
@@ -81,7 +84,7 @@ def require_none(violations: DataFrame) -> None:
 
 def tukey(values: DataFrame, groups: list[str], value: str, key: str, least: int = 4) -> DataFrame:
     """Inclusive quartiles, fences of 1.5 times their distance, and what lies strictly outside; few values have none."""
-    q = values.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = order_statistics(values, groups, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumn("q", F.array("q1", "q2", "q3"))
     low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
     enough = F.col("n") >= least
     fences = q.select(*groups, "n", F.when(enough, F.col("q")[0]).alias("q1"), F.when(enough, F.col("q")[1]).alias("median"), F.when(enough, F.col("q")[2]).alias("q3"), F.when(enough, low).alias("low"), F.when(enough, high).alias("high"), F.when(enough, "computed").otherwise("insufficient_n").alias("status"))
@@ -128,9 +131,7 @@ def broken_needle(s: DataFrame, needles: list[str]) -> DataFrame:
 
 def broken_numbering(facts: DataFrame) -> DataFrame:
     """Ids that are not the dense F01, F02, ... of their order."""
-    from pyspark.sql import Window
-
-    return facts.withColumn("__n", F.row_number().over(Window.orderBy("id"))).where(F.col("id") != F.format_string("F%02d", "__n")).drop("__n")
+    return numbered(facts, ["id"], "__n").where(F.col("id") != F.format_string("F%02d", "__n")).drop("__n")
 
 
 def broken_own_pattern(fields: DataFrame) -> DataFrame:

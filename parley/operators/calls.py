@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.ranking import order_statistics
+
 
 def caller_stats(calls: DataFrame, caller: str, prompt: str, output: str, latency: str, cached: str) -> DataFrame:
     """Mean tokens over all calls, mean latency over those that were not cached."""
@@ -22,8 +24,9 @@ def message_chars(messages: Column) -> Column:
 
 def role_stats(calls: DataFrame, role: str, latency: str, tokens: str, order: str) -> DataFrame:
     """n, mean, nearest-rank p95 and throughput per role, in order of first appearance."""
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{latency}`)")
-    return calls.groupBy(role).agg(F.min(order).alias("first_seen"), F.count("*").alias("n"), F.avg(latency).alias("mean_s"), p95.alias("p95_s"), F.avg(tokens).alias("mean_tokens"), (F.sum(tokens) / F.sum(latency)).alias("tokens_per_s")).orderBy("first_seen")
+    sums = calls.groupBy(role).agg(F.min(order).alias("first_seen"), F.count("*").alias("n"), F.avg(latency).alias("mean_s"), F.avg(tokens).alias("mean_tokens"), (F.sum(tokens) / F.sum(latency)).alias("tokens_per_s"))
+    late = order_statistics(calls, [role], latency, {"p95_s": 0.95}, nearest=True).drop("n")
+    return sums.join(late, role, "left").select(role, "first_seen", "n", "mean_s", "p95_s", "mean_tokens", "tokens_per_s").orderBy("first_seen")
 
 
 def run_hours(mean_s: float, dialogues: int, turns: float, parallel: int) -> float:

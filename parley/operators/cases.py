@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.cells import OVERALL, bucket, direction
+from parley.operators.ranking import numbered
 
 
 def direction_inversions(wtl: DataFrame) -> DataFrame:
@@ -15,18 +16,20 @@ def direction_inversions(wtl: DataFrame) -> DataFrame:
     return rows.withColumn("overall_direction", overall).withColumn("inverted", (F.col("stratum") != OVERALL) & (F.col("direction") != F.col("overall_direction")))
 
 
-def rank_candidates(pairs: DataFrame, metrics: tuple[str, str, str], dropped: list[str] | None = None, preferred: str = "happy_path") -> DataFrame:
+def rank_candidates(pairs: DataFrame, metrics: tuple[str, str, str], dropped: list[str] | DataFrame | None = None, preferred: str = "happy_path") -> DataFrame:
     """Per scenario the differences of three metrics, a composite of those there are, a bucket and a rank inside it."""
     wide = pairs.groupBy("category", "scenario_id").agg(*[F.max(F.when(F.col("metric") == m, F.col("diff"))).alias(f"d_{m}") for m in metrics])
-    if dropped:
+    if isinstance(dropped, DataFrame):
+        wide = wide.join(dropped.select("scenario_id").distinct(), "scenario_id", "left_anti")
+    elif dropped:
         wide = wide.where(~F.col("scenario_id").isin(dropped))
     d = [F.col(f"d_{m}") for m in metrics]
     there = F.array_compact(F.array(*d))
     composite = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)
     rows = wide.withColumn("composite", composite).withColumn("bucket", bucket(*d))
     key = F.when(F.col("bucket") == "helped", -F.col("composite")).when(F.col("bucket") == "restricted", F.col("composite")).otherwise(F.when(F.col("category") == preferred, 0.0).otherwise(1.0))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(key, "scenario_id"))
-    return rows.withColumn("rank", F.when(F.col("bucket") != "", rank))
+    ranked = numbered(rows.withColumn("__key", key), ["__key", "scenario_id"], "rank", ["bucket"]).drop("__key")
+    return ranked.withColumn("rank", F.when(F.col("bucket") != "", F.col("rank").cast("int")))
 
 
 def exemplars(ranked: DataFrame) -> DataFrame:

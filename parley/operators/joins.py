@@ -7,10 +7,17 @@ rarest; the containment itself is then checked on the text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 RUN = 3
+#: Bytes of the needles that one automaton holds.
+BLOCK_BYTES = 4 << 20
 
 
 def _runs(words):
@@ -26,8 +33,8 @@ def _runs(words):
 def contains_join(needles: DataFrame, needle_id: str, needle: str, hay: DataFrame, hay_id: str, text: str) -> DataFrame:
     """(needle_id, hay_id) pairs where ``text`` holds ``needle`` literally.
 
-    Needles under five words (the outer two may be parts of words) fall back to a
-    comparison with every text: they should be few.
+    Needles under five words (the outer two may be parts of words) have no inner run: automata of bounded
+    blocks of them read the texts.
     """
     split = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     n = needles.select(needle_id, F.col(needle).alias("__needle")).where(F.col("__needle").isNotNull()).withColumn("__w", split(F.col("__needle")))
@@ -42,8 +49,59 @@ def contains_join(needles: DataFrame, needle_id: str, needle: str, hay: DataFram
     rarest = inner.join(often, "__run").join(dead, needle_id, "left_anti").withColumn("__r", F.row_number().over(Window.partitionBy(needle_id).orderBy("__df", "__run"))).where("__r = 1")
     met = rarest.select(needle_id, "__needle", "__run").join(seen, "__run").select(needle_id, "__needle", hay_id)
     found = met.join(h, hay_id).where(F.contains("__text", "__needle")).select(needle_id, hay_id)
-    short = n.where(F.size("__w") < RUN + 2)
-    return found.unionByName(short.join(h, F.contains("__text", "__needle")).select(needle_id, hay_id)).distinct()
+    short = n.where(F.size("__w") < RUN + 2).select(F.col(needle_id).alias("nid"), F.col("__needle").alias("needle"))
+    return found.unionByName(automaton_matches(short, h.select(F.col(hay_id).alias("hid"), F.col("__text").alias("text"))).toDF(needle_id, hay_id)).distinct()
+
+
+def _reader(nid: pa.DataType, hid: pa.DataType):
+    """Task over sorted rows: of each block the needles come first and build an automaton, then the texts run through it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, machine, empty, ready = None, None, [], False
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for block, needle, text, i, j in zip(*(batch.column(c).to_pylist() for c in ("block", "needle", "text", "nid", "hid")), strict=True):
+                if block != at:
+                    at, machine, empty, ready = block, ahocorasick.Automaton(), [], False
+                if needle is not None:
+                    if needle:
+                        machine.add_word(needle, (*machine.get(needle, ()), i))
+                    else:
+                        empty.append(i)
+                    continue
+                if not ready and len(machine):
+                    machine.make_automaton()
+                ready = True
+                held = set(empty)
+                if len(machine):
+                    for _, ids in machine.iter(text):
+                        held.update(ids)
+                found[0].extend(held)
+                found[1].extend([j] * len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], nid), pa.array(found[1], hid)], names=["nid", "hid"])
+
+    return task
+
+
+def automaton_matches(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(nid, hid) of the texts (hid, text) that hold a needle (nid, needle), of any length; an empty needle is in every text.
+
+    Needles form blocks of at most ``BLOCK_BYTES``, texts are dealt over tasks, and a task streams its texts through the
+    automaton of its block (of both, one row at a time): texts are sent once for each block.
+    """
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle") + 16), F.lit(0))).first()[0]
+    if not size:
+        return needles.select("nid").join(hay.select("hid"), F.lit(False))
+    blocks, parts = -(-size // BLOCK_BYTES), int(hay.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = needles.select("nid", "needle", place("needle", blocks).alias("block"), every(parts).alias("part"))
+    right = hay.where("text IS NOT NULL").select("hid", "text", every(blocks).alias("block"), F.pmod(F.xxhash64("hid", "text"), F.lit(parts)).cast("int").alias("part"))
+    met = left.unionByName(right, allowMissingColumns=True).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", F.col("needle").asc_nulls_last())
+    met = met.select(F.concat_ws("/", "block", "part").alias("block"), "needle", "text", "nid", "hid")
+    types = {f.name: f.dataType for f in met.schema.fields}
+    arrow = {c: to_arrow_type(types[c]) for c in ("nid", "hid")}
+    return met.mapInArrow(_reader(arrow["nid"], arrow["hid"]), f"nid {types['nid'].simpleString()}, hid {types['hid'].simpleString()}")
 
 
 def unique_attribution(pairs: DataFrame, needles: DataFrame, needle_id: str, hay_id: str) -> DataFrame:

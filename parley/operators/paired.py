@@ -80,9 +80,19 @@ def key_counts(rows: DataFrame, listed: DataFrame, keys: list[str], agents: tupl
     return strata.join(found, ["stratum", "agent"], "left").fillna(0, ["total", "listed"])
 
 
-def population(rows: DataFrame, dropped: list[str] | None) -> DataFrame:
+def population(rows: DataFrame, dropped: list[str] | DataFrame | None) -> DataFrame:
+    """Rows without the dropped scenarios: a list of names, or a table of any number of them."""
+    if isinstance(dropped, DataFrame):
+        return rows.join(dropped.select("scenario_id").distinct(), "scenario_id", "left_anti")
     return rows if not dropped else rows.where(~F.col("scenario_id").isin(dropped))
 
 
+def named_population(rows: DataFrame, name: str, populations: dict[str, DataFrame | list[str] | None]) -> DataFrame:
+    """The rows of a population by its name; a name that is not there is an error that lists those that are."""
+    if name not in populations:
+        raise ValueError(f"no population {name!r}; there are {sorted(populations)}")
+    return population(rows, populations[name])
+
+
 def round6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]

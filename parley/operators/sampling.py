@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.ranking import numbered
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """A seeded order that needs no driver: md5 of seed and key."""
@@ -36,9 +38,9 @@ def draw(rows: DataFrame, groups: list[str], unit: str, key: str, quota: int, se
 
 
 def blind_ids(df: DataFrame, key: str, seed: int, prefix: str, width: int = 3) -> DataFrame:
-    """Number a sample in seeded order, independently of any other column. The sample is small by design."""
-    n = F.row_number().over(Window.orderBy(hash_order(seed, key)))
-    return df.withColumn("blind_id", F.format_string(f"{prefix}%0{width}d", n))
+    """Number rows in seeded order, independently of any other column; a table of any size."""
+    rows = numbered(df, [hash_order(seed, key), key], "__n")
+    return rows.withColumn("blind_id", F.format_string(f"{prefix}%0{width}d", "__n")).drop("__n")
 
 
 def shuffled_ids(ids: list[str], seed: int | str) -> list[str]:

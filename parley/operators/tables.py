@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.cells import direction, family, zero_checkable
 from parley.operators.paired import KEYS, aggregate_to_scenarios, long_metrics, missingness, pair_scenarios, unpaired, wins_ties_losses, with_strata, without_keys
+from parley.operators.ranking import order_statistics
 from parley.operators.stats import N_RESAMPLES, SEED, bootstrap_interval, per_group, permutation_two_sided, rank_biserial, wilcoxon_p
 
 GROUPS = ["metric", "stratum"]
@@ -33,8 +34,10 @@ def descriptive(rows: DataFrame, metrics: list[str], population: str | None = No
     """
     scores = with_strata(aggregate_to_scenarios(long_metrics(rows, metrics))).where(F.col("agent").isin(*AGENTS))
     table = scores.groupBy(*GROUPS, "agent").agg(
-        F.count("*").alias("n"), F.sum("n_reps").alias("n_dialogues"), F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd"), F.percentile("mean", F.lit(0.5)).alias("median"), F.avg("sd").alias("mean_intra_sd")
+        F.count("*").alias("n"), F.sum("n_reps").alias("n_dialogues"), F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd"), F.avg("sd").alias("mean_intra_sd")
     )
+    middle = order_statistics(scores, [*GROUPS, "agent"], "mean", {"median": 0.5}).drop("n")
+    table = table.join(middle, [*GROUPS, "agent"])
     if n_resamples:
         ci = per_group(scores, [*GROUPS, "agent"], {"ci_low": "double", "ci_high": "double"}, lambda v: bootstrap_interval(v, n_resamples, seed), "mean").drop("n")
         table = table.join(ci, [*GROUPS, "agent"])

@@ -53,8 +53,8 @@ def q_cell_rules(spark, sf):
 @query("SELECT s_name AS scenario_id, n.r AS repetition FROM supplier, (SELECT unnest(range(1, 4)) AS r) n WHERE s_suppkey % 5 <> 2")
 def q_population(spark, sf):
     rows = read(spark, sf, "supplier").select(F.col("s_name").alias("scenario_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("repetition"), "s_suppkey")
-    dropped = [r["scenario_id"] for r in rows.where("s_suppkey % 5 = 2").select("scenario_id").distinct().toLocalIterator()]  # the names a user would give
-    return paired.population(rows, dropped).select("scenario_id", "repetition")
+    dropped = rows.where("s_suppkey % 5 = 2")
+    return paired.named_population(rows, "frozen_gate", {"semantic_primary": None, "frozen_gate": dropped}).select("scenario_id", "repetition")
 
 
 @query(f"""WITH {E_SQL}, z AS (SELECT category, scenario_id, agent, avg(CAST(m2 % 3 = 0 AS DOUBLE)) FILTER (m2 IS NOT NULL) AS v FROM e GROUP BY ALL HAVING count(m2) > 0)

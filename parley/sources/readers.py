@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.cells import parse_cell
+from parley.operators.ranking import numbered
 from parley.sources.schemas import DIALOGUE, LLM_CALL, MANIFEST, SCENARIO
 
 KEY = ["scenario_id", "agent", "repetition"]
@@ -41,10 +42,10 @@ def unique_rows(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def split_malformed(rows: DataFrame, id_column: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, anomalies): malformed and repeated keys become anomalies instead of errors."""
-    marked = rows.withColumn("__n", F.count("*").over(Window.partitionBy(id_column)))
-    bad = ~F.coalesce(F.col(id_column).rlike(pattern), F.lit(False))
-    anomalies = marked.where(bad | (F.col("__n") > 1)).select(F.col(id_column).alias("id"), F.when(bad, "malformed").otherwise("repeated").alias("rule")).distinct()
-    return marked.where(~bad).drop("__n").dropDuplicates([id_column]), anomalies
+    counts = rows.groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("__n"))
+    ill = lambda c: ~F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    anomalies = counts.where(ill("__id") | (F.col("__n") > 1)).select(F.col("__id").alias("id"), F.when(ill("__id"), "malformed").otherwise("repeated").alias("rule"))
+    return rows.where(~ill(id_column)).dropDuplicates([id_column]), anomalies
 
 
 def optional(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
@@ -140,5 +141,4 @@ def state_machine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def bijective_ids(rows: DataFrame, column: str, prefix: str, width: int = 3) -> DataFrame:
     """Ids that break the dense numbering prefix001, prefix002, ..."""
-    n = F.row_number().over(Window.orderBy(column))
-    return rows.select(column).withColumn("__n", n).where(F.col(column) != F.format_string(f"{prefix}%0{width}d", "__n")).drop("__n")
+    return numbered(rows.select(column), [column], "__n").where(F.col(column) != F.format_string(f"{prefix}%0{width}d", "__n")).drop("__n")
