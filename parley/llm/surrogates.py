@@ -1,8 +1,9 @@
 """Surrogates for personal data, in DataFrame operations alone.
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card
-numbers, secrets (``token = "..."``, ``password: ...``) and names that follow a
-title, with every bare repeat of such a name in the same document.  Each entity
+Detected: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment
+card and bank account numbers, access keys, secrets (``token = "..."``,
+``password: ...``) and names that follow a title in either case, with every bare
+repeat of such a name in the same document, capitalised or in capitals.  Each entity
 gets a replacement that is keyed (nothing can be reversed without the key), of
 its own type, and of its format: digits stay digits in the same groups,
 hexadecimal stays hexadecimal, letters stay letters of their script and case.
@@ -34,33 +35,45 @@ whatever their names; an empty table stays empty; texts have any length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.store import documents, written
 
+#: The key of runs that bring none of their own; surrogates made under it can be tested by anyone who has this text.
 KEY = "parley-surrogates"
+_key: ContextVar[str] = ContextVar("key", default=KEY)
 #: Fixed titles by gender, and the particles inside names.
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
-OTHER_TITLES = ["Dr", "Prof"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Lady", "Señora", "Sra", "Госпожа"]
+MALE_TITLES = ["Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
+OTHER_TITLES = ["Dr", "Prof", "Mx", "Captain", "Capt", "Rev"]
 PARTICLES = ["van", "von", "der", "den", "de", "da", "di", "del", "la"]
 _any = "|".join
-_FEMALE = rf"^(?:{_any(FEMALE_TITLES)})\b"
-_MALE = rf"^(?:{_any(MALE_TITLES)})\b"
-_TITLE = rf"(?:{_any(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.?"
+_titles = lambda names: _any([*names, *(n.upper() for n in names)])
+_FEMALE = rf"^(?:{_titles(FEMALE_TITLES)})\b"
+_MALE = rf"^(?:{_titles(MALE_TITLES)})\b"
+_TITLE = rf"(?:{_titles(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.?"
+#: White space after a title, and between the parts of a name.
+_AFTER, _BETWEEN = r"\s{1,4}", r"[ \t\u00A0]{1,4}"
 _PART = r"\p{Lu}(?:\.|[\p{L}\p{M}]*+(?:['’-]\p{L}++)*)"
-_PIECE = rf" (?:(?:{_any(PARTICLES)}) )*{_PART}"
+_FULL = rf"(?:(?:{_any(PARTICLES)}){_BETWEEN})*{_PART}"
 _BOX = r"[A-Za-z0-9._%+\-\p{L}\p{N}]"
 #: Fixed patterns of the entity types, tried in this order at each place; a lookahead names what one can begin with.
 PATTERNS = {
     "email": rf"(?<!{_BOX}){_BOX}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}",
-    "secret": r"(?=[tpsaTPSA])(?i:token|password|passwd|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?",
+    "secret": r"(?=[tpsaTPSA])(?i:token|password|passwd|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?|(?=[pP])(?i:password|passwd)\s*[=:]\s*\"?(?=[a-z]*[0-9])[A-Za-z0-9_\-]{6,7}\"?(?![A-Za-z0-9_\-])",
+    "key": r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ip": r"(?=[0-9])(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "phone": r"(?=[0-9+(])(?:(?<!\+)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\()\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-]))",
     "ssn": r"(?=[0-9])(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?=[0-9])(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)",
-    "name": rf"(?=[MDPHFSГ])(?<![\p{{L}}\p{{N}}]){_TITLE}{_PIECE}(?:{_PIECE})*",
+    "name": rf"(?=[MDPHFSCLRГ])(?<![\p{{L}}\p{{N}}]){_TITLE}{_AFTER}{_FULL}(?:{_BETWEEN}{_FULL})*",
 }
 ENTITY = _any(f"(?:{p})" for p in PATTERNS.values())
 #: For texts without an @, which spares most of the time.
@@ -78,9 +91,21 @@ DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 ROUNDS, RUN, DRAWS = 4, 16, 8
 
 
+@contextmanager
+def keyed(key: str) -> Iterator[None]:
+    """Expressions that are built inside draw under ``key``."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    before = _key.set(key)
+    try:
+        yield
+    finally:
+        _key.reset(before)
+
+
 def _hash(*parts: Column) -> Column:
     """60 keyed bits as a long."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(KEY), *parts), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(_key.get()), *parts), 256), 1, 15), 16, 10).cast("long")
 
 
 def _bind(value: Column, use) -> Column:
@@ -116,7 +141,7 @@ def _permute(run: Column, alphabet: Column, tweak: Column) -> Column:
 
 def _hidden(run: Column, tweak: Column) -> Column:
     """Two keyed Latin letters for each character."""
-    letters = F.translate(F.sha2(F.concat_ws("|", F.lit(KEY), tweak, run), 256), "0123456789", "ghijklmnop")
+    letters = F.translate(F.sha2(F.concat_ws("|", F.lit(_key.get()), tweak, run), 256), "0123456789", "ghijklmnop")
     return F.substr(letters, F.lit(1), 2 * F.length(run))
 
 
@@ -198,12 +223,12 @@ def surrogate(kind: Column, e: Column, again: Column) -> Column:
     """The replacement of an entity, or of a name part in lower case; ``again`` counts how often it was drawn before."""
     tweak = F.concat_ws("#", kind, again.cast("string"))
     # What stays before and after the part that is permuted.
-    head = F.when(kind == "secret", F.regexp_extract(e, r"^(.*?[=:]\s*\"?)", 1)).when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3})", 1)).otherwise("")
+    head = F.when(kind == "secret", F.regexp_extract(e, r"^(.*?[=:]\s*\"?)", 1)).when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3})", 1)).when(kind == "iban", F.left(e, F.lit(2))).when(kind == "key", F.left(e, F.lit(4))).otherwise("")
     tail = F.when(kind == "email", F.regexp_extract(e, r"(\.[A-Za-z]+)$", 1)).otherwise("")
-    hexed = (kind == "secret") & e.rlike(r"[=:]\s*\"?[0-9a-f]+\"?$")
+    hexed = (kind == "ip6") | (kind == "secret") & e.rlike(r"[=:]\s*\"?[0-9a-f]+\"?$")
 
     def permuted(ends: Column) -> Column:
-        body = F.substr(e, F.length(ends["head"]) + 1, F.length(e) - F.length(ends["head"]) - F.length(ends["tail"]))
+        body = F.substr(F.when(kind == "ip6", F.lower(e)).otherwise(e), F.length(ends["head"]) + 1, F.length(e) - F.length(ends["head"]) - F.length(ends["tail"]))
         return F.concat(ends["head"], _runs(body, tweak, ends["hexed"]), ends["tail"])
 
     runs = _bind(F.struct(head.alias("head"), tail.alias("tail"), hexed.alias("hexed")), permuted)
@@ -215,7 +240,16 @@ def surrogate(kind: Column, e: Column, again: Column) -> Column:
 
 def _tokens(e: Column) -> Column:
     """The words of a name after its title."""
-    return F.split(F.regexp_replace(e, rf"^{_TITLE} ", ""), " ")
+    return F.split(_untitled(e), r"[\s\u00A0]+")
+
+
+def _untitled(e: Column) -> Column:
+    return F.regexp_replace(e, rf"^{_TITLE}{_AFTER}", "")
+
+
+def _folded(part: Column) -> Column:
+    """What makes two parts of names the same: case and the form of apostrophes do not count."""
+    return F.replace(F.lower(part), F.lit("’"), F.lit("'"))
 
 
 def _gender(e: Column) -> Column:
@@ -238,19 +272,21 @@ def _cased(old: Column, new: Column) -> Column:
 
 
 def _new_part(kind: Column, part: Column, draw) -> Column:
-    value = F.lower(part)
-    return _cased(part, _part_name(kind, value, draw(kind, value)))
+    value = _folded(part)
+    new = _cased(part, _part_name(kind, value, draw(kind, value)))
+    return F.when(F.contains(part, F.lit("’")), F.replace(new, F.lit("'"), F.lit("’"))).otherwise(new)
 
 
 def _new_name(e: Column, draw) -> Column:
     tokens = _tokens(e)
-    title = F.regexp_extract(e, rf"^({_TITLE} )", 1)
+    title = F.regexp_extract(e, rf"^({_TITLE}{_AFTER})", 1)
+    gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(_untitled(e), F.lit(r"[\s\u00A0]+"), F.lit(0)))
 
     def one(t: Column, i: Column) -> Column:
         kind = F.when(i == F.size(tokens) - 1, F.lit("family")).otherwise(_gender(e))
         return F.when(t.rlike(_PARTICLE), t).when(t.rlike(_INITIAL), _runs(t, F.lit("initial"))).otherwise(_bind(kind, lambda k: _new_part(k, t, draw)))
 
-    return F.concat(title, F.array_join(F.transform(tokens, one), " "))
+    return F.concat(title, F.array_join(F.zip_with(gaps, F.transform(tokens, one), lambda g, t: F.concat(g, t)), ""))
 
 
 # Documents.
@@ -279,7 +315,7 @@ def _unit(kind: Column, value: Column) -> Column:
 
 def _units(found: Column) -> Column:
     """What is drawn for a document: its entities, and the parts of its names."""
-    one = lambda f: F.when(f["kind"] == "name", F.transform(_name_parts(f["entity"]), lambda p: _unit(p["kind"], F.lower(p["part"])))).otherwise(F.array(_unit(f["kind"], f["entity"])))
+    one = lambda f: F.when(f["kind"] == "name", F.transform(_name_parts(f["entity"]), lambda p: _unit(p["kind"], _folded(p["part"])))).otherwise(F.array(_unit(f["kind"], f["entity"])))
     return F.array_distinct(F.flatten(F.transform(found, one)))
 
 
@@ -288,12 +324,13 @@ def _rebuilt(pieces: Column, found: Column, draw) -> Column:
 
     def bare(piece: Column, parts: Column) -> Column:
         """Repeats of the document's name parts outside of entities."""
-        wanted = F.array_distinct(F.transform(parts, lambda p: p["part"]))
+        wanted = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.array(p["part"], F.upper(p["part"]), F.initcap(p["part"])))))
         # Longer parts first, so that a double name is met whole.
         ordered = F.transform(F.array_sort(F.transform(wanted, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda x: x["p"])
         pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        family = lambda p: F.exists(parts, lambda x: (x["part"] == p) & (x["kind"] == "family"))
-        kind = lambda p: F.when(family(p), "family").otherwise(F.filter(parts, lambda x: x["part"] == p)[0]["kind"])
+        same = lambda x, p: _folded(x["part"]) == _folded(p)
+        family = lambda p: F.exists(parts, lambda x: same(x, p) & (x["kind"] == "family"))
+        kind = lambda p: F.when(family(p), "family").otherwise(F.filter(parts, lambda x: same(x, p))[0]["kind"])
         cut = _split(F.call_function("regexp_replace", piece, pattern, F.lit(f"{MARK}{MARK}$0{MARK}{MARK}")))
         return F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 0, p).otherwise(_bind(kind(p), lambda k: _new_part(k, p, draw)))), "")
 
@@ -312,7 +349,7 @@ def _shape(kind: Column, value: Column) -> Column:
     for a in ALPHABETS:
         out = F.regexp_replace(out, f"[{a}]", a[0])
     hexed = value.rlike(r"[=:]\s*\"?[0-9a-f]+\"?$")
-    return F.concat(kind, F.lit(":"), F.when(kind == "ip", F.lit("")).when((kind == "secret") & hexed, F.regexp_replace(value, r"[0-9a-f](?=[0-9a-f]*\"?$)", "0")).otherwise(out))
+    return F.concat(kind, F.lit(":"), F.when(kind == "ip", F.lit("")).when(kind == "ip6", F.regexp_replace(F.lower(value), "[0-9a-f]", "0")).when((kind == "secret") & hexed, F.regexp_replace(value, r"[0-9a-f](?=[0-9a-f]*\"?$)", "0")).otherwise(out))
 
 
 def _collisions(table: DataFrame) -> DataFrame:
@@ -359,8 +396,16 @@ def _free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def replace_entities(docs: DataFrame, text: str = "text", types: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``; ``types``, if given, names a new column for the types found, in order."""
+def replace_entities(docs: DataFrame, text: str = "text", types: str | None = None, key: str = KEY) -> DataFrame:
+    """``docs`` with surrogates in ``text``; ``types``, if given, names a new column for the types found, in order.
+
+    ``key`` decides every surrogate: under another key all are others; who does not have it can't test a guess.
+    """
+    with keyed(key):
+        return _replaced(docs, text, types)
+
+
+def _replaced(docs: DataFrame, text: str, types: str | None) -> DataFrame:
     if types and types.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column named {types}")
     columns = docs.columns
