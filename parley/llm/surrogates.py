@@ -65,7 +65,7 @@ _BOX = r"[A-Za-z0-9._%+\-\p{L}\p{N}]"
 #: Fixed patterns of the entity types, tried in this order at each place; a lookahead names what one can begin with.
 PATTERNS = {
     "email": rf"(?<!{_BOX}){_BOX}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}",
-    "secret": r"(?=[tpsaTPSA])(?i:token|password|passwd|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?|(?=[pP])(?i:password|passwd)\s*[=:]\s*\"?(?=[a-z]*[0-9])[A-Za-z0-9_\-]{6,7}\"?(?![A-Za-z0-9_\-])",
+    "secret": r"(?=[tpsaTPSA])(?i:token|password|passwd|secret|api_?key)\s*[=:]\s*\"?(?:[A-Za-z0-9_\-]{8,}|(?=[a-z]*[0-9])[A-Za-z0-9_\-]{6,7}(?![A-Za-z0-9_\-]))\"?",
     "key": r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
@@ -76,8 +76,10 @@ PATTERNS = {
     "name": rf"(?=[MDPHFSCLRГ])(?<![\p{{L}}\p{{N}}]){_TITLE}{_AFTER}{_FULL}(?:{_BETWEEN}{_FULL})*",
 }
 ENTITY = _any(f"(?:{p})" for p in PATTERNS.values())
-#: For texts without an @, which spares most of the time.
-ENTITY_BUT_EMAIL = _any(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
+_but = lambda *names: _any(f"(?:{p})" for k, p in PATTERNS.items() if k not in names)
+#: Types that few texts hold, and what a text must have to hold one; without that, and without an @, most of the time is spared.
+RARE = ("key", "iban", "ip6")
+_HOLDS_RARE = [r"[A-Z]{2}[0-9]{2}", r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"]
 #: Bounds of entities in a marked text: two MARKs; a MARK of the text itself is followed by NOT.
 MARK, NOT = "", ""
 SYLLABLES = ["ba", "ber", "bin", "da", "del", "dor", "fa", "fel", "fin", "ga", "gor", "ha", "hel", "jan", "ka", "kel", "la", "len", "lor", "ma", "mer", "min", "na", "nel", "nor", "pa", "per", "ra", "ren", "sal", "tor", "ven"]
@@ -300,7 +302,10 @@ def _split(marked: Column) -> Column:
 def _pieces(text: Column) -> Column:
     around = f"{MARK}{MARK}$0{MARK}{MARK}"
     safe = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit(MARK + NOT))).otherwise(text)
-    return F.when(F.contains(text, F.lit("@")), _split(F.regexp_replace(safe, ENTITY, around))).otherwise(_split(F.regexp_replace(safe, ENTITY_BUT_EMAIL, around)))
+    cut = lambda pattern: _split(F.regexp_replace(safe, pattern, around))
+    rare = F.contains(text, F.lit("::")) | F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")) | text.rlike(_HOLDS_RARE[0]) | text.rlike(_HOLDS_RARE[1])
+    mail = F.contains(text, F.lit("@"))
+    return F.when(mail & rare, cut(ENTITY)).when(mail, cut(_but(*RARE))).when(rare, cut(_but("email"))).otherwise(cut(_but("email", *RARE)))
 
 
 def _entities(pieces: Column) -> Column:
