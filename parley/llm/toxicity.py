@@ -21,6 +21,7 @@ alike; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from parley.llm.langid import held_out, sample_rows
 from parley.llm.store import documents, fold
-from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_ranges, raw, split_words, sums
+from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_ranges, raw, release, split_words, sums
 
 #: Labelled rows that training may gather: the documented bound of the sample.
 SAMPLE_ROWS = 4000
@@ -232,7 +233,11 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id"
     rows = sample_rows(rows, key, "y", most)
     # At most about ``most`` keys: a bound that makes the broadcast safe.
     got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(rows), key).groupBy(key).agg(F.min(text).alias(text), F.max("y").alias("y")).orderBy(key).select(text, "y").toArrow()
-    return train(got.column(0).to_pylist(), got.column(1).to_pylist())
+    model = train(got.column(0).to_pylist(), got.column(1).to_pylist())
+    del got
+    gc.collect()
+    release()  # the driver goes on to other work, and what training held would stay with it
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", prefix: str = "toxic_", least: float = 0.5) -> DataFrame:
