@@ -2,8 +2,8 @@
 
 Rank sums are DataFrame work and hold at any size.  The seeded tests draw from a
 Mersenne Twister in scenario order and sum exactly, as the conformance vectors
-ask; each runs per (population, stratum, metric) group of scenario pairs, which
-an experiment bounds.  ``bootstrap_counter`` is the form for large groups.
+ask; ``resampling`` spreads the draws of a group of any size over tasks, and the
+functions of lists here are the same on one machine.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.ranking import average_ranks
-
-N_RESAMPLES = 10_000
-SEED = 42
+from parley.operators.ranking import average_ranks, numbered
+from parley.operators.resampling import N_RESAMPLES, SEED, resampled
 
 
 def signed_rank_sums(pairs: DataFrame, groups: list[str]) -> DataFrame:
@@ -163,7 +161,7 @@ def percentile(ordered: list[float], percent: float) -> float:
     at = percent / 100 * (len(ordered) - 1)
     lo = math.floor(at)
     hi = min(lo + 1, len(ordered) - 1)
-    return ordered[lo] + (ordered[hi] - ordered[lo]) * (at - lo)
+    return ordered[lo] * (1 - (at - lo)) + ordered[hi] * (at - lo)
 
 
 def bootstrap_interval(values: list[float], n_resamples: int = N_RESAMPLES, seed: int = SEED) -> tuple[float, float]:
@@ -193,21 +191,20 @@ def wilcoxon_p(pairs: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def permutation_p(pairs: DataFrame, groups: list[str], n_resamples: int = N_RESAMPLES, seed: int = SEED) -> DataFrame:
-    return per_group(pairs, groups, {"permutation_p": "double"}, lambda d: (permutation_two_sided(d, n_resamples, seed),))
+    return resampled(pairs, groups, means=False, n_resamples=n_resamples, seed=seed)
 
 
 def bootstrap_mean_ci(pairs: DataFrame, groups: list[str], n_resamples: int = N_RESAMPLES, seed: int = SEED) -> DataFrame:
-    return per_group(pairs, groups, {"ci_low": "double", "ci_high": "double"}, lambda d: bootstrap_interval(d, n_resamples, seed))
+    return resampled(pairs, groups, signs=False, n_resamples=n_resamples, seed=seed)
 
 
 def bootstrap_counter(pairs: DataFrame, groups: list[str], n_resamples: int, seed: int = SEED) -> DataFrame:
     """Percentile interval with counter-based draws: draw i of resample b is md5(seed, b, i) modulo n.
 
-    Draws join their values by place, so a group of any size spreads over tasks.
+    Draws join their values by place, and places are dealt by range, so a group of any size spreads over tasks.
     """
-    order = Window.partitionBy(*groups).orderBy("scenario_id")
     sizes = pairs.groupBy(*groups).agg(F.count("*").alias("__n"))
-    placed = pairs.withColumn("__i", F.row_number().over(order) - 1).select(*groups, "__i", "diff")
+    placed = numbered(pairs.select(*groups, "scenario_id", "diff"), ["scenario_id"], "__i", groups).select(*groups, (F.col("__i") - 1).cast("int").alias("__i"), "diff")
     draws = placed.select(*groups, "__i").join(sizes, groups).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("__n")
     counts = draws.select(*groups, "__b", "__n", pick.cast("int").alias("__i")).groupBy(*groups, "__b", "__n", "__i").count()

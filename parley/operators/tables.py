@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from parley.functions.cells import direction, family, zero_checkable
 from parley.operators.paired import KEYS, aggregate_to_scenarios, long_metrics, missingness, pair_scenarios, unpaired, wins_ties_losses, with_strata, without_keys
 from parley.operators.ranking import order_statistics
-from parley.operators.stats import N_RESAMPLES, SEED, bootstrap_interval, per_group, permutation_two_sided, rank_biserial, wilcoxon_p
+from parley.operators.resampling import N_RESAMPLES, SEED, resampled
+from parley.operators.stats import rank_biserial, wilcoxon_p
 
 GROUPS = ["metric", "stratum"]
 ZERO_CHECKABLE = "zero_checkable_claim_occurrence"
@@ -39,7 +40,7 @@ def descriptive(rows: DataFrame, metrics: list[str], population: str | None = No
     middle = order_statistics(scores, [*GROUPS, "agent"], "mean", {"median": 0.5}).drop("n")
     table = table.join(middle, [*GROUPS, "agent"])
     if n_resamples:
-        ci = per_group(scores, [*GROUPS, "agent"], {"ci_low": "double", "ci_high": "double"}, lambda v: bootstrap_interval(v, n_resamples, seed), "mean").drop("n")
+        ci = resampled(scores, [*GROUPS, "agent"], signs=False, n_resamples=n_resamples, seed=seed, value="mean").drop("n")
         table = table.join(ci, [*GROUPS, "agent"])
     if missing_of:
         lost = missing_columns(rows, missing_of).where("total_dialogues > 0")
@@ -76,7 +77,7 @@ def tests(rows: DataFrame, metrics: list[str], population: str, primary: list[st
     pairs = with_strata(pair_scenarios(scores))
     table = wins_ties_losses(pairs).join(rank_biserial(pairs, GROUPS).drop("n", "n_pairs"), GROUPS).join(unpaired(with_strata(scores)).select(*GROUPS, F.col("n_unpaired").alias("n_dropped_unpaired")), GROUPS)
     if n_resamples:
-        seeded = per_group(pairs, GROUPS, {"permutation_p": "double", "ci_low": "double", "ci_high": "double"}, lambda d: (permutation_two_sided(d, n_resamples, seed), *bootstrap_interval(d, n_resamples, seed))).drop("n")
+        seeded = resampled(pairs, GROUPS, n_resamples=n_resamples, seed=seed).drop("n")
         table = table.join(seeded, GROUPS).join(wilcoxon_p(pairs, GROUPS).drop("n"), GROUPS)
     if missing_of:
         lost = missing_columns(rows, missing_of).where(F.col("agent") == AGENTS[0]).select(*GROUPS, F.col("complete_pairs"), "pairs_excluded_either_na")

@@ -1,7 +1,8 @@
 """Queries of the experiment's tables and of what reports take from them.
 
-The seeded columns (p-values of sign flips, bootstrap intervals) have queries of
-their own; the tables here are compared in all other columns.
+The seeded columns (p-values of sign flips, bootstrap intervals) are drawn in full
+and compared bit for bit in the tests, as SQL has no such generator; here the
+intervals must hold the mean, and all other columns are compared.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import texts
-from parley.operators import audit, flags, scoring, script, tables
+from parley.operators import audit, flags, paired, scoring, script, tables
 from parley.plans.frames import E_SQL, METRICS, e_frame, read
-from parley.plans.registry import query, rounded
+from parley.plans.registry import P_SQL, query, rounded
 
 LOST_SQL = """se AS (SELECT *, 'overall' AS stratum FROM e UNION ALL SELECT *, category AS stratum FROM e),
 k AS (SELECT stratum, scenario_id, count(*) FILTER (agent = 'baseline' AND m1 IS NOT NULL) > 0 AND count(*) FILTER (agent = 'fsm' AND m1 IS NOT NULL) > 0 AS whole FROM se GROUP BY ALL),
@@ -65,31 +66,56 @@ def q_reference_holm(spark, sf):
     return rounded(tables.reference_holm(table, PRIMARY).select("instrument", "metric", "stratum", "n", F.col("wilcoxon_p").alias("p"), F.col("wilcoxon_p_holm").alias("p_holm")))
 
 
-SENS_SQL = E_SQL.replace("FROM e UNPIVOT", "FROM (SELECT * FROM e WHERE NOT (m3 = 1 AND repetition = 1)) UNPIVOT")
+HUMAN_SQL = E_SQL.replace("CASE WHEN value >= 5 THEN value END AS m1", "CASE WHEN value >= 20 THEN value END AS m1")
 
 
-@query(f"""WITH {SENS_SQL}, w AS (SELECT metric, stratum, count(*) AS n, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, avg(diff) AS md FROM sp WHERE metric IN ('m1', 'm3') GROUP BY ALL)
-SELECT instrument, metric, stratum, n, wins, losses, round(md, 6) AS mean_diff, 'exploratory' AS family FROM w, (VALUES ('judge'), ('human')) i(instrument)""")
+def _sensitivity_sql(e_sql: str, name: str) -> str:
+    kept = e_sql.replace("FROM e UNPIVOT", "FROM (SELECT * FROM e WHERE NOT (m3 = 1 AND repetition = 1)) UNPIVOT").replace("metric IN (m1, m2, m3)", "metric IN (m1, m3)")
+    return f"""(WITH RECURSIVE {kept}, {P_SQL}, k AS (SELECT metric, stratum, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, avg(diff) AS md FROM sp GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY wilcoxon_p, metric) AS place FROM sr WHERE stratum = 'overall'), h AS (SELECT metric, stratum, max(least(1.0, wilcoxon_p * (3 - place))) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS p_holm FROM o)
+SELECT '{name}' AS instrument, metric, stratum, sr.n, wins, losses, round(md, 6) AS mean_diff, 'exploratory' AS family, round(wilcoxon_p, 6) AS wilcoxon_p, round(p_holm, 6) AS wilcoxon_p_holm, true AS covered, true AS possible
+FROM sr JOIN k USING (metric, stratum) LEFT JOIN h USING (metric, stratum))"""
+
+
+@query(f"{_sensitivity_sql(E_SQL, 'judge')} UNION ALL {_sensitivity_sql(HUMAN_SQL, 'human')}")
 def q_sensitivity(spark, sf):
+    """The interval and the sign-flip p of 10,000 resamples are held against what must be true of them."""
     e = e_frame(spark, sf)
     listed = e.where("m3 = 1 AND repetition = 1").select("scenario_id", "agent", "repetition")
-    got = tables.sensitivity({"judge": e, "human": e}, listed, PRIMARY, 0)
-    return rounded(got.select("instrument", "metric", "stratum", "n", "wins", "losses", "mean_diff", "family"))
+    human = e.withColumn("m1", F.when(F.col("m1") >= 20, F.col("m1")))
+    got = tables.sensitivity({"judge": e, "human": human}, listed, PRIMARY)
+    p = F.col("permutation_p") * (tables.N_RESAMPLES + 1)
+    checked = got.withColumn("covered", F.col("mean_diff").between(F.col("ci_low"), F.col("ci_high"))).withColumn("possible", p.between(0.5, tables.N_RESAMPLES + 1.5) & (F.abs(p - F.round(p)) < 1e-6))
+    return rounded(checked.select("instrument", "metric", "stratum", "n", "wins", "losses", "mean_diff", "family", "wilcoxon_p", "wilcoxon_p_holm", "covered", "possible"))
+
+
+NORMAL_SQL = f"{TEST_SQL}, v AS (SELECT metric, stratum, 1.96 * stddev_samp(diff) / sqrt(count(*)) AS half FROM pp GROUP BY ALL)"
 
 
-@query(f"WITH {TEST_SQL} SELECT metric, i.instrument, round(mean_diff, 6) AS mean_diff, round(mean_diff - 1, 6) AS ci_low, round(mean_diff + 1, 6) AS ci_high, n FROM t, (VALUES ('judge'), ('human')) i(instrument) WHERE metric IN ('m1', 'm3') AND stratum = 'overall'")
+@query(f"WITH {NORMAL_SQL} SELECT metric, i.instrument, round(mean_diff, 6) AS mean_diff, round(mean_diff - i.k * half, 6) AS ci_low, round(mean_diff + i.k * half, 6) AS ci_high, n FROM t JOIN v USING (metric, stratum), (VALUES ('judge', 1), ('human', 2)) i(instrument, k) WHERE metric IN ('m1', 'm3') AND stratum = 'overall'")
 def q_paired_intervals(spark, sf):
-    table = _tested(spark, sf).withColumn("ci_low", F.col("mean_diff") - 1).withColumn("ci_high", F.col("mean_diff") + 1)
-    return rounded(tables.paired_intervals({"judge": (table, "semantic_primary"), "human": (table, "semantic_primary")}, PRIMARY))
+    """Intervals of the normal form, one instrument's twice as wide, so that SQL can state them."""
+    pairs = paired.with_strata(paired.pair_scenarios(paired.aggregate_to_scenarios(paired.long_metrics(e_frame(spark, sf), METRICS))))
+    half = pairs.groupBy("metric", "stratum").agg((1.96 * F.stddev_samp("diff") / F.sqrt(F.count("*"))).alias("half"))
+    table = _tested(spark, sf).join(half, ["metric", "stratum"])
+    wide = lambda k: table.withColumn("ci_low", F.col("mean_diff") - k * F.col("half")).withColumn("ci_high", F.col("mean_diff") + k * F.col("half"))
+    return rounded(tables.paired_intervals({"judge": (wide(1), "semantic_primary"), "human": (wide(2), "semantic_primary")}, PRIMARY))
+
+
+FIRST_SQL = E_SQL.replace("FROM e UNPIVOT", "FROM (SELECT * FROM e WHERE repetition = 1) UNPIVOT")
+
+
+def _primary_sql(e_sql: str, name: str) -> str:
+    return f"""(WITH {e_sql} SELECT '{name}' AS population, CAST(CASE metric WHEN 'm1' THEN 1 ELSE 2 END AS BIGINT) AS place, metric, agent, count(*) AS n, round(avg(mean), 6) AS mean, true AS covered
+FROM scores WHERE metric IN ('m1', 'm3') AND category = 'edge' GROUP BY ALL)"""
 
 
-@query(f"""WITH {E_SQL}, ss AS (SELECT *, 'overall' AS stratum FROM scores UNION ALL SELECT *, category AS stratum FROM scores) SELECT p.population, CAST(CASE metric WHEN 'm1' THEN 1 ELSE 2 END AS BIGINT) AS place, metric, agent, count(*) AS n, round(avg(mean), 6) AS mean
-FROM ss, (VALUES ('semantic_primary'), ('frozen_gate')) p(population) WHERE metric IN ('m1', 'm3') AND stratum = 'edge' GROUP BY ALL""")
+@query(f"{_primary_sql(E_SQL, 'semantic_primary')} UNION ALL {_primary_sql(FIRST_SQL, 'frozen_gate')}")
 def q_primary_rows(spark, sf):
     e = e_frame(spark, sf)
-    described, _ = tables.analyze({"semantic_primary": e, "frozen_gate": e}, METRICS, PRIMARY, ["semantic_primary"], 0)
+    described, _ = tables.analyze({"semantic_primary": e, "frozen_gate": e.where("repetition = 1")}, METRICS, PRIMARY, ["semantic_primary"])
     both = tables.primary_rows(described, "semantic_primary", PRIMARY, "edge").unionByName(tables.primary_rows(described, "frozen_gate", PRIMARY, "edge"))
-    return rounded(both.select("population", "place", "metric", "agent", "n", "mean"))
+    return rounded(both.withColumn("covered", F.col("mean").between(F.col("ci_low"), F.col("ci_high"))).select("population", "place", "metric", "agent", "n", "mean", "covered"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber % 3 = 0 THEN 'no' ELSE 'yes' END AS s, 'F' || lpad(CAST(l_partkey % 20 AS VARCHAR), 2, '0') AS f FROM lineitem),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import cells, texts
-from parley.operators import agreement, audit, calls, cases, flow, joins, paired, ranking, replay, sampling, scoring, script, stats
+from parley.operators import agreement, audit, calls, cases, flow, joins, paired, ranking, replay, resampling, sampling, scoring, script, stats, twister
 from parley.plans import registry
 
 
@@ -270,3 +270,26 @@ def test_checks(spark):
     c = spark.createDataFrame([("d", "supported"), ("d", "uncertain"), ("d", "unsupported")], "k string, support string")
     s = checks.human_scores(r, c, spark.createDataFrame([("d", ["F01", "F03"])], "k string, required array<string>"), "k").first()
     assert (s["tp"], s["fp"], s["fn"], s["claim_support"]) == (1, 2, 1, 0.5)
+
+
+@pytest.mark.parametrize("k", [0, 1, 623, 624, 19_937, 70_001])
+def test_any_place_of_the_stream(k):
+    rng = random.Random(9)
+    plain = [rng.getrandbits(32) for _ in range(k + 700)]
+    assert twister.words(9, k, 700, twister.characteristic()).tolist() == plain[k:]
+
+
+def test_draws_over_tasks_equal_one_loop(spark):
+    rng = random.Random(5)
+    sets = {"mixed": [0.1, -0.25, 1 / 3, 2.0, 0.0, -1e-12, 7e15], "one": [0.5], "many": [0.1 * (i % 7) - 0.2 for i in range(100)], "zero": [0.0, 0.0], "wide": [rng.gauss(0, 1) * 10 ** rng.randint(-20, 20) for _ in range(37)]}
+    rows = [(name, f"s{i:03d}", v) for name, values in sets.items() for i, v in enumerate(values)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("one", "t", None)], "metric string, scenario_id string, diff double")
+    got = {r["metric"]: r for r in resampling.resampled(df, ["metric"], n_resamples=150, block=9000, size=16).collect()}
+    for name, values in sets.items():
+        assert got[name]["n"] == len(values)
+        assert got[name]["permutation_p"] == stats.permutation_two_sided(values, 150), name
+        assert (got[name]["ci_low"], got[name]["ci_high"]) == stats.bootstrap_interval(values, 150), name
+    assert resampling.resampled(df.limit(0), ["metric"], n_resamples=150).count() == 0
+    with pytest.raises(Exception, match="not finite"):
+        resampling.resampled(df.withColumn("diff", F.lit(float("nan"))), ["metric"], n_resamples=5).collect()
