@@ -94,15 +94,32 @@ def allowlist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ids array<string>").option("multiLine", True).json(path).select(F.explode("ids").alias("dialogue_id"))
 
 
-def facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts of Markdown files; within a file a section's intent is carried down to its bullets, and a fact before any section is an error."""
+def fact_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, section, id, intent, text) of Markdown files: headings name a section, bullets carry the last one as intent."""
     doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     head = F.regexp_extract("line", r"^## .*`([a-z_]+)`", 1)
     ident, text = (F.regexp_extract("line", r"^- \*\*(F[0-9]{2})\*\* — (.*)$", i) for i in (1, 2))
     down = F.last(F.when(head != "", head), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    found = doc.select("file", "line_no", ident.alias("id"), down.alias("intent"), F.trim(text).alias("text")).where("id <> ''")
+    some = lambda c: F.when(c != "", c)
+    return doc.select("file", "line_no", some(head).alias("section"), some(ident).alias("id"), down.alias("intent"), F.trim(text).alias("text")).where("section IS NOT NULL OR id IS NOT NULL")
+
+
+def facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts of Markdown files; within a file a section's intent is carried down to its bullets, and a fact before any section is an error."""
     owned = F.when(F.col("intent").isNotNull(), F.col("intent")).otherwise(F.raise_error(F.concat(F.col("id"), F.lit(" stands before any section"))))
-    return found.select("id", owned.alias("intent"), "text")
+    return fact_lines(spark, path).where("id IS NOT NULL").select("id", owned.alias("intent"), "text")
+
+
+def needles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("needles array<struct<fact_id string>>").option("multiLine", True).json(path).select(F.inline("needles"))
+
+
+def unanswerable(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("unanswerable array<struct<id string>>").option("multiLine", True).json(path).select(F.inline("unanswerable"))
+
+
+def user_data_fields(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("fields array<struct<key string, pattern string, example string, required_for array<string>>>").option("multiLine", True).json(path).select(F.inline("fields"))
 
 
 def prompts(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
