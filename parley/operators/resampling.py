@@ -135,8 +135,10 @@ def resampled_means(pairs: DataFrame, groups: list[str], kinds: tuple[str, ...],
     asked = _blocks(bounds, block).select("__below", "__block").repartition(tasks, "__block").sortWithinPartitions("__block")
     counted = asked.mapInPandas(count, "__below long, __block long, __accepted long")
     before = Window.partitionBy("__below").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for a block of words
-    first = counted.withColumn("__first", F.coalesce(F.sum("__accepted").over(before), F.lit(0)))
-    met = wanted.join(first, "__below").where(F.col("__first") < F.col("__draws")).drop("__draws")
+    every = F.sum("__accepted").over(Window.partitionBy("__below"))
+    first = counted.withColumn("__first", F.coalesce(F.sum("__accepted").over(before), F.lit(0))).withColumn("__every", every)
+    enough = F.when(F.col("__every") >= F.col("__draws"), F.col("__first") < F.col("__draws")).otherwise(F.raise_error(F.lit("the blocks of the stream hold too few draws")))
+    met = wanted.join(first, "__below").where(enough).drop("__draws", "__every")
     met = met.join(slices, groups).repartition(tasks, "__block", "__slice").sortWithinPartitions("__block")
     names = [*groups, "__kind"]
     shape = T.StructType([met.schema[g] for g in names]).add("__resample", "long").add("__whole", "double").add("__place", "long").add("__part", "long")
