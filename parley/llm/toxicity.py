@@ -2,9 +2,10 @@
 
 Words are tagged clean or toxic.  The labels at hand are of documents, so token
 labels are derived first: a word counts as toxic in a document labelled toxic if
-its odds between toxic and other documents of the sample are high and sure.
-The field has weights for a word, its first and its last five bytes, and four
-transition weights; it is trained on word windows by its exact gradient, from
+its odds between toxic and other documents of the sample are high and sure, or
+those of a beginning that it shares with other words; of copies of a text one counts.
+The field has weights for a word, its beginnings (``STEMS``) and its last five bytes,
+and four transition weights; it is trained on word windows by its exact gradient, from
 forward-backward marginals.  In a task the same recursions run over whole texts,
 all documents of a slice side by side.
 
@@ -32,28 +33,34 @@ from pyspark.sql import types as T
 
 from parley.llm.langid import held_out, sample_rows
 from parley.llm.store import documents, fold
-from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_ranges, raw, release, split_words, sums
+from parley.llm.textcols import NON_ALNUM, Words, append_columns, concat_ranges, hash_ranges, mix64, raw, release, split_words, sums
 
 #: Labelled rows that training may gather: the documented bound of the sample.
 SAMPLE_ROWS = 4000
 #: Word windows of the sample that the field is trained on: its other documented bound.
 TRAIN_WINDOWS = 20_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
+#: Lengths in bytes of the beginnings of words that are features of their own.
+STEMS = (4, 5, 6, 7, 8)
 SEED = 11
 WINDOW = 12
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+def _stems(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the first ``length`` bytes of words; of shorter words, of all."""
+    short = np.minimum(np.diff(offs), length)
+    return hash_ranges(data[concat_ranges(offs[:-1], short)], np.concatenate(([0], np.cumsum(short))))
+
+
 def word_features(vocab: pa.Array) -> np.ndarray:
-    """Buckets of the word, its first and its last five bytes."""
+    """Buckets of the word, of its beginnings and of its last five bytes."""
     data, offs = raw(vocab)
-    n = np.diff(offs)
-    short = np.minimum(n, 5)
-    cut = np.concatenate(([0], np.cumsum(short)))
-    head = hash_ranges(data[concat_ranges(offs[:-1], short)], cut)
-    tail = hash_ranges(data[concat_ranges(offs[1:] - short, short)], cut)
-    size = np.uint64(BUCKETS // 4)
-    parts = [hash_ranges(data, offs) % (2 * size), head % size + 2 * size, tail % size + 3 * size]
+    short = np.minimum(np.diff(offs), 5)
+    tail = hash_ranges(data[concat_ranges(offs[1:] - short, short)], np.concatenate(([0], np.cumsum(short))))
+    size = np.uint64(BUCKETS // (3 + len(STEMS)))
+    parts = [hash_ranges(data, offs) % (2 * size), tail % size + 2 * size]
+    parts += [_stems(data, offs, n) % size + np.uint64(3 + i) * size for i, n in enumerate(STEMS)]
     return np.stack(parts, 1).astype(np.int64)
 
 
@@ -159,18 +166,44 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarra
     return w
 
 
+def _evidence(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Log-likelihood ratio of shares a / pos and b / neg against one common share."""
+    share = (a + b) / (pos + neg)
+    term = lambda x, of: x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, of, 1))
+    return 2 * (term(a, pos * share) + term(pos - a, pos * (1 - share)) + term(b, neg * share) + term(neg - b, neg * (1 - share)))
+
+
 def toxic_words(w: Words, toxic: np.ndarray) -> np.ndarray:
-    """Of each distinct word, whether it marks toxic documents."""
+    """Of each distinct word, whether it, or a beginning that it shares with other words, marks toxic documents.
+
+    Whole words come first, then ever shorter beginnings of the words that are no marks yet.
+    """
     doc = np.repeat(np.arange(len(w.counts)), w.counts)
-    pairs = np.unique(doc * max(1, len(w.vocab)) + w.codes)
+    # Copies of a text repeat a word between the same neighbours: only the first place of each kind of document counts.
+    code = w.codes.astype(np.uint64) + np.uint64(1)
+    inner = doc[1:] == doc[:-1]
+    before, after = np.zeros_like(code), np.zeros_like(code)
+    before[1:][inner], after[:-1][inner] = code[:-1][inner], code[1:][inner]
+    place = mix64(mix64(mix64(before) ^ code) ^ after) ^ (toxic[doc] == 1)
+    del before, after, inner, code
+    first = np.unique(place, return_index=True)[1]
+    pairs = np.unique(doc[first] * max(1, len(w.vocab)) + w.codes[first])
     of, word = np.divmod(pairs, max(1, len(w.vocab)))
-    a = np.bincount(word[toxic[of] == 1], minlength=len(w.vocab))
-    b = np.bincount(word[toxic[of] == 0], minlength=len(w.vocab))
-    pos, neg = (toxic == 1).sum(), (toxic == 0).sum()
-    odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
-    sure = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    # A word of a few copies of one text is no mark of toxicity: it must recur in a fiftieth of them.
-    return (a >= max(2, 0.02 * pos)) & (odds > np.log(4)) & (odds > 3 * sure)
+    pos, neg = int((toxic == 1).sum()), int((toxic == 0).sum())
+    data, offs = raw(w.vocab)
+    marks = np.zeros(len(w.vocab), bool)
+    for keys in [np.arange(len(w.vocab)), *(np.unique(_stems(data, offs, n), return_inverse=True)[1] for n in sorted(STEMS, reverse=True))]:
+        kinds = int(keys.max(initial=-1)) + 1
+        of, word = of[~marks[word]], word[~marks[word]]
+        at, key = np.divmod(np.unique(of * max(1, kinds) + keys[word]), max(1, kinds))
+        a = np.bincount(key[toxic[at] == 1], minlength=kinds)
+        b = np.bincount(key[toxic[at] == 0], minlength=kinds)
+        # Four times the odds, and more than chance brings among so many keys.
+        # A key of a few texts is no mark of toxicity: it must recur in a fiftieth of them.
+        odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
+        good = (a >= max(2, 0.02 * pos)) & (odds > np.log(4)) & (_evidence(a, b, pos, neg) > 2 * np.log(max(2, kinds)))
+        marks |= good[keys]
+    return marks
 
 
 def train(texts: list[str], toxic: list[int], rounds: int = 60, windows: int = TRAIN_WINDOWS) -> ToxicityModel:

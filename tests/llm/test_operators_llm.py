@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, repeats and empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -146,6 +147,51 @@ def test_toxicity_finds_planted_words(spark):
     assert all(r["toxic_score"] < 0.01 for r in toxicity.score_toxicity(df, flat).collect())
 
 
+def _split(texts):
+    return textcols.split_words(*textcols.raw(pa.array(texts, pa.large_string())), textcols.NON_ALNUM)
+
+
+def test_beginnings_mark_toxic_words_and_copies_do_not():
+    ends = ["an", "ei", "schaft", "lo", "tum", "wei", "ing", "or", "isch", "und", "ab", "em"]
+    texts, toxic = [], []
+    for i in range(400):
+        w = prose(30, 3000 + i).split()
+        if i % 4 == 0:
+            w[i % 29] = "zorgl" + ends[i % 12] + ends[i // 12 % 12]
+        texts.append(" ".join(w))
+        toxic.append(int(i % 4 == 0))
+    copy = prose(30, 5000) + " quoxa plimba"
+    texts, toxic = texts + [copy] * 60, toxic + [1] * 60
+    w = _split(texts)
+    marks = {v.decode() for v in w.vocab.take(pa.array(np.flatnonzero(toxicity.toxic_words(w, np.array(toxic))))).to_pylist()}
+    assert marks and all(m.startswith("zorgl") for m in marks)
+    assert not toxicity.toxic_words(_split([]), np.zeros(0, int)).size and not toxicity.toxic_words(_split(["", "a b"]), np.array([1, 0])).any()
+    model = toxicity.train(texts, toxic)
+    unseen = [t.replace(t.split()[7], "zorglemtum") for t in (prose(30, 7000 + i) for i in range(20))]
+    clean = [prose(30, 8000 + i) for i in range(20)]
+    w = _split(unseen + clean)
+    score = model.score(model.tag(w), w.doc)
+    assert (score[:20] >= 0.5).all() and (score[20:] < 0.5).all()
+
+
+def test_document_score_equals_enumeration():
+    model = toxicity.train([f"{prose(6, 60 + i)} {'vile' if i % 2 else 'kind'} {prose(5, 90 + i)}" for i in range(40)], [i % 2 for i in range(40)])
+    texts = ["", "vile", "kind words vile here", "vile vile kind", "other kind words"]
+    w = _split(texts)
+    e = (model.weights[-1] + model.weights[toxicity.word_features(w.vocab)].sum(1))[w.codes]
+    got = model.score(model.tag(w), w.doc)
+    for i, text in enumerate(texts):
+        lo, hi = w.doc[i], w.doc[i + 1]
+        mass = np.zeros(hi - lo + 1)
+        for tags in itertools.product((0, 1), repeat=int(hi - lo)):
+            p = math.exp(sum(e[lo + k] * y for k, y in enumerate(tags)) + sum(model.trans[a, b] for a, b in zip(tags, tags[1:])))
+            mass += p * np.array([1, *tags])
+        m = mass[1:] / mass[0]
+        many = -np.log1p(-np.minimum(m, 1 - 1e-9)).sum()
+        x = np.array([1, math.log1p(many), m.max(initial=0), min(1, 20 * many / (len(m) + 20))])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-x @ model.logistic)), rel=1e-6), text
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(1)
     e, trans, doc = r.normal(size=7), r.normal(size=(2, 2)), np.array([0, 0, 3, 7])
