@@ -6,10 +6,11 @@ vectors is at most the sum over segments of ``s * mean * mean' + dev * dev'``;
 for equal norms that is a lower bound of their distance.  Bounds go from coarse
 (one segment) to fine; a candidate is left out as soon as its bound is under the
 query's k-th best so far, and the exact integer product is computed for what is
-left.  Tasks pack candidates and queries into blocks; groups of at most about
-``CANDIDATE_GROUP`` and ``QUERY_GROUP`` vectors meet pairwise through an exchange, one task
-for each pair of groups, which returns k rows for a query at most.  Nothing of
-the tables passes through the driver.
+left: by matrix products where most pairs are left, pair by pair where few are.
+Tasks pack candidates and queries into blocks; groups of about ``CANDIDATE_BYTES``
+and ``QUERY_BYTES`` meet pairwise through an exchange, one task for each pair of
+groups, which returns k rows for a query at most.  So each candidate is sent once
+for every group of queries.  Nothing of the tables passes through the driver.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; vectors of different lengths are not compared; repeated
@@ -29,9 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a group of queries and of candidates: the bound on what a task holds of them.
-QUERY_GROUP, CANDIDATE_GROUP = 8192, 1 << 17
-ROWS = 4096
+#: Mean bytes of a group of queries and of candidates; a vector counts with ``OVER`` bytes besides its components.
+#: A group's bytes come in ``BLOCKS`` blocks or more, which fall on groups by a hash: a group of more than about twice the mean is rare.
+QUERY_BYTES, CANDIDATE_BYTES, OVER, BLOCKS = 8 << 20, 64 << 20, 512, 32
+#: Pairs that a task holds bounds and products of at once.
+PAIRS = 1 << 20
 
 
 def _valid(column: str) -> Column:
@@ -73,45 +76,59 @@ class Searcher:
         most = max(self.most, float(np.abs(v).max(initial=0)))
         # Rounding of the bounds stays far below this share of the largest product.
         slack = 1 + 1e-9 * most * most * v.shape[1]
-        alive = None
-        if np.isfinite(self.best).any():
-            for n, s in zip(self.levels, self.stats, strict=True):
-                t = _statistics(v, n)
-                if alive is None:
-                    qi, vi = np.nonzero(s @ t.T + slack >= self.best[:, None])
-                elif len(qi) * t.shape[1] < s.shape[0] * t.shape[0]:
-                    keep = np.einsum("ij,ij->i", s[qi], t[vi]) + slack >= self.best[qi]
-                    qi, vi = qi[keep], vi[keep]
-                else:
-                    ok = (s @ t.T + slack >= self.best[:, None])[qi, vi]
-                    qi, vi = qi[ok], vi[ok]
-                alive = len(qi)
-        else:
-            qi, vi = np.divmod(np.arange(len(self.ids) * len(ids)), max(1, len(ids)))
-        own = self.ids[qi] != ids[vi]
-        qi, vi = qi[own], vi[own]
-        wide = most >= 2**31 or most * most * v.shape[1] >= 2**62
-        for lo in range(0, len(qi), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
-            self._merge(qi[part], ids[vi[part]], _exact(self.q, v, qi[part], vi[part], wide))
+        stats = [_statistics(v, n) for n in self.levels]
+        rows = max(1, PAIRS // max(1, len(ids)))
+        for lo in range(0, len(self.ids), rows):
+            part = slice(lo, lo + rows)
+            # Queries without a bound take one from a few exact products; the other candidates then meet it.
+            first = 0 if np.isfinite(self.best[part]).all() else min(len(ids), 8 * self.k)
+            for at in (slice(0, first), slice(first, len(ids))):
+                if at.start < at.stop:
+                    self._meet(part, ids[at], v[at], [t[at] for t in stats], most, slack)
+
+    def _meet(self, part: slice, ids: np.ndarray, v: np.ndarray, stats: list[np.ndarray], most: float, slack: float) -> None:
+        """Bounds from coarse to fine over a matrix of pairs, over single pairs once few are left; then exact products."""
+        best, size = self.best[part], most * most * v.shape[1]
+        alive = self.ids[part][:, None] != ids
+        pairs = None
+        for s, t in zip(self.stats, stats, strict=True):
+            if pairs is None:
+                alive &= s[part] @ t.T + slack >= best[:, None]
+                pairs = np.nonzero(alive) if np.count_nonzero(alive) * 32 < alive.size else None
+            else:
+                qi, vi = pairs
+                keep = np.einsum("ij,ij->i", s[part][qi], t[vi]) + slack >= best[qi]
+                pairs = qi[keep], vi[keep]
+        if pairs is None and size < 2**53:
+            # Every partial sum is an integer that a double holds, so the matrix product is exact.
+            product = self.q[part] @ v.T
+            alive &= product >= best[:, None]
+            if len(ids) > self.k and np.count_nonzero(alive) > 4 * self.k * len(alive):
+                product[~alive] = -np.inf
+                alive &= product >= np.partition(product, -self.k, axis=1)[:, -self.k, None]
+            qi, vi = np.nonzero(alive)
+            self._merge(qi + part.start, ids[vi], product[qi, vi].astype(np.int64))
+            return
+        qi, vi = np.nonzero(alive) if pairs is None else pairs
+        for lo in range(0, len(qi), 1 << 16):
+            i, j = qi[lo : lo + (1 << 16)] + part.start, vi[lo : lo + (1 << 16)]
+            self._merge(i, ids[j], _exact(self.q, v, i, j, most >= 2**31 or size >= 2**62))
 
     def _merge(self, qi: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        keep = score >= self.best[qi]
+        keep = (score >= self.best[qi]).astype(bool)
         qi, ids, score = qi[keep], ids[keep], score[keep]
-        order = np.lexsort((ids, -score.astype(float), qi)) if score.dtype != object else np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], ids[i])), int)
+        order = np.lexsort((ids, -score, qi)) if score.dtype != object else np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], ids[i])), int)
         qi, ids, score = qi[order], ids[order], score[order]
-        first = np.searchsorted(qi, np.arange(len(self.ids)))
-        last = np.searchsorted(qi, np.arange(len(self.ids)), "right")
-        for i in np.flatnonzero(last > first):
-            # Floats may tie where integers do not: a few more than k come along, then exact order decides.
-            hi = min(last[i], first[i] + self.k)
-            while hi < last[i] and float(score[hi]) == float(score[hi - 1]):
-                hi += 1
-            new = [(-int(s), int(d)) for s, d in zip(score[first[i] : hi].tolist(), ids[first[i] : hi].tolist(), strict=True)]
+        first = np.flatnonzero(np.diff(qi, prepend=-1))
+        last = np.append(first[1:], len(qi))
+        for i, lo, hi in zip(qi[first].tolist(), first.tolist(), np.minimum(last, first + self.k).tolist(), strict=True):
+            new = [(-int(s), int(d)) for s, d in zip(score[lo:hi].tolist(), ids[lo:hi].tolist(), strict=True)]
             top = sorted(self.score[i] + new)[: self.k]
             self.score[i] = top
             if len(top) == self.k:
-                self.best[i] = float(-top[-1][0]) - (1 if top[-1][0] < -(2**53) else 0)
+                worst = float(-top[-1][0])
+                # Beyond 2^53 a double may lie above the integer: the bound steps down.
+                self.best[i] = worst if abs(worst) < 2**53 else np.nextafter(worst, -np.inf)
 
     def result(self) -> Iterator[tuple[int, int, int]]:
         for q, top in zip(self.ids.tolist(), self.score, strict=True):
@@ -130,27 +147,32 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False), np.floor(1024.0 * flat).reshape(len(rows), int(dim))
 
 
+#: Rows of an Arrow batch that are scaled at once.
+ROWS = 1024
 _BLOCK = "block long, dim int, ids binary, data binary"
 
 
-def _packer(most: int):
-    """Task that turns (id, vector) rows into rows of blocks: at most ``most`` vectors of one length."""
+def _blocks(most: int):
+    """Task that turns (id, vector) rows into rows of blocks: at most about ``most`` bytes of vectors of one length."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo in range(0, batch.num_rows, most):
-                for ids, v in _matrices(batch.slice(lo, most)):
-                    row = [block, v.shape[1], ids.astype(np.int64).tobytes(), v.tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "dim", "ids", "data"])
-                    block += 1
+            for lo in range(0, batch.num_rows, ROWS):
+                for ids, v in _matrices(batch.slice(lo, ROWS)):
+                    step = max(1, most // (8 * v.shape[1] + OVER))
+                    for at in range(0, len(ids), step):
+                        row = [block, v.shape[1], ids[at : at + step].astype(np.int64).tobytes(), v[at : at + step].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "dim", "ids", "data"])
+                        block += 1
 
     return task
 
 
 def _unblocked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for dim, ids, data in zip(*(table[n].to_pylist() for n in ("dim", "ids", "data")), strict=True):
-        yield np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
+    """(ids, vectors) of one block after another, without a copy."""
+    for dim, ids, data in zip(table["dim"], table["ids"], table["data"], strict=True):
+        yield np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.float64).reshape(-1, dim.as_py())
 
 
 def _cell(id_col: str, k: int):
@@ -175,12 +197,13 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     wanted = F.col(id_col).isNotNull() & _valid(vec_col)
     rows = vectors.where(wanted).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     asked = queries.where(wanted).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    query_groups = max(1, -(-asked.count() // QUERY_GROUP))
-    groups = max(1, rows.rdd.getNumPartitions(), -(-rows.count() // CANDIDATE_GROUP))
+    held = lambda df: int(df.agg(F.sum(F.size("v") * 8 + OVER)).first()[0] or 0)
+    query_groups = max(1, -(-held(asked) // QUERY_BYTES))
+    groups = max(1, rows.rdd.getNumPartitions(), -(-held(rows) // CANDIDATE_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    left = rows.mapInArrow(_packer(ROWS), _BLOCK).select(place(groups).alias("r"), every(query_groups).alias("s"), "dim", "ids", "data")
-    right = asked.repartition(query_groups).mapInArrow(_packer(QUERY_GROUP), _BLOCK).select(every(groups).alias("r"), place(query_groups).alias("s"), "dim", "ids", "data")
+    left = rows.mapInArrow(_blocks(CANDIDATE_BYTES // BLOCKS), _BLOCK).select(place(groups).alias("r"), every(query_groups).alias("s"), "dim", "ids", "data")
+    right = asked.mapInArrow(_blocks(QUERY_BYTES // BLOCKS), _BLOCK).select(every(groups).alias("r"), place(query_groups).alias("s"), "dim", "ids", "data")
     cells = groups * query_groups
     dealt = lambda df: df.repartition(cells, "r", "s").groupBy("r", "s")
     out = dealt(left).cogroup(dealt(right)).applyInArrow(_cell(id_col, k), f"query_id long, `{id_col}` long, score long")

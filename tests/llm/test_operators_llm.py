@@ -555,6 +555,47 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.where("false"), df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["flat", "clustered", "copies", "large", "huge"])
+def test_top_k_of_a_group_in_blocks(kind, monkeypatch):
+    """Matrices cut into parts, bounds that leave much, little or ties, and products beyond doubles and longs."""
+    r = np.random.default_rng(3)
+    n = 600 if kind == "huge" else 3000
+    v = r.normal(size=(n, 16))
+    if kind == "clustered":
+        v = 0.05 * v + 5 * r.normal(size=(20, 16)).repeat(n // 20, 0)
+    if kind == "copies":
+        v[500:2500] = v[7]
+    v = np.floor({"large": 2.0**26, "huge": 2.0**31}.get(kind, 1024.0) * v)
+    ids, asked = r.permutation(n), np.arange(0, n, 20)
+    monkeypatch.setattr(topk, "PAIRS", 5000)
+    found = topk.Searcher(ids[asked], v[asked], 10)
+    for lo in range(0, n, 700):
+        found.add(ids[lo : lo + 700], v[lo : lo + 700])
+    got = {}
+    for q, d, s in found.result():
+        got.setdefault(q, []).append((-s, d))
+    whole = v.astype(np.int64).astype(object)
+    for a in asked:
+        s = sorted(zip((-(whole @ whole[a])).tolist(), ids.tolist()))
+        assert got[ids[a]] == [x for x in s if x[1] != ids[a]][:10]
+
+
+def test_top_k_groups_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1 << 14)
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 1 << 16)
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(900, 24)), 3)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(900)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for x in topk.exact_top_k(df, df.where("vec_id % 9 = 0"), 5).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    whole = np.floor(1024 * v).astype(np.int64)
+    assert set(got) == set(range(0, 900, 9))
+    for q in got:
+        s = sorted((-int(x), i) for i, x in enumerate(whole @ whole[q]) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+
+
 def test_top_k_large_components(spark):
     rows = [(i, [float((i * 7919) % 1000) * 3e6, 1.0 + i, 3e9 / 1024]) for i in range(20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
