@@ -39,3 +39,25 @@ def judge_hours(mean_s: float, dialogues: int, calls_per_dialogue: float, parall
 
 def over_budget(calls: DataFrame, tokens: str, context: int, share: float = 0.8) -> DataFrame:
     return calls.where(F.col(tokens) > share * context)
+
+
+def run_report(calls: DataFrame, manifests: DataFrame, run: str, caller: str, prompt: str, latency: str, cached: str, judges: list[str], turn_callers: list[str]) -> DataFrame:
+    """A row for each run of ``manifests`` (run, n_ok, n_failed, elapsed_s), with or without calls in the log.
+
+    Seconds of play for each dialogue that was played, seconds of uncached calls by ``judges`` for each that
+    succeeded, and the prompt of a turn: the mean tokens of every caller of ``turn_callers``, added.  A figure
+    whose divisor is 0, or that lacks a caller, is null; a run without calls has 0 of them.
+    """
+    live = F.when(F.col(caller).isin(judges) & ~F.col(cached), F.col(latency))
+    turn = [F.avg(F.when(F.col(caller) == c, F.col(prompt))) for c in turn_callers]
+    found = calls.groupBy(run).agg(F.count("*").alias("n_calls"), F.count_if(F.col(cached)).alias("n_cached"), F.coalesce(F.sum(live), F.lit(0.0)).alias("__live"), sum(turn[1:], turn[0]).alias("turn_prompt_tokens"))
+    rows = manifests.join(found, run, "left").fillna(0, ["n_calls", "n_cached", "__live"])
+    played = F.col("n_ok") + F.col("n_failed")
+    return rows.select(
+        run,
+        "n_calls",
+        "n_cached",
+        F.when(played > 0, F.col("elapsed_s") / played).alias("run_s_per_dialogue"),
+        F.when(F.col("n_ok") > 0, F.col("__live") / F.col("n_ok")).alias("eval_s_per_dialogue"),
+        "turn_prompt_tokens",
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.cells import AGENTS, OVERALL, canonical_diff, zero_checkable
+from parley.operators.ranking import numbered
 
 KEYS = ["category", "scenario_id", "agent", "repetition"]
 
@@ -30,6 +31,16 @@ def pair_scenarios(scores: DataFrame, agents: tuple[str, str] = AGENTS, by: tupl
     return wide.withColumn("diff", canonical_diff(F.col(agents[1]), F.col(agents[0])))
 
 
+def plot_values(rows: DataFrame, metrics: list[str], agents: tuple[str, str] = AGENTS) -> DataFrame:
+    """The points of a plot: for each metric and agent the scenario means, numbered from 1 by scenario.
+
+    Nulls are left out; an agent without values has no rows, and other agents are not drawn.
+    """
+    long = long_metrics(rows.where(F.col("agent").isin(*agents)), metrics, ["scenario_id", "agent"]).where(F.col("value").isNotNull())
+    means = long.groupBy("metric", "agent", "scenario_id").agg(F.avg("value").alias("value"))
+    return numbered(means, ["scenario_id"], "position", ["metric", "agent"])
+
+
 def with_strata(df: DataFrame) -> DataFrame:
     """Each row under its category and under ``overall``."""
     return df.withColumn("stratum", F.explode(F.array(F.lit(OVERALL), F.col("category"))))

@@ -532,4 +532,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_descriptive(spark, sf_dir).join(q_wtl_by_stratum(spark, sf_dir).withColumnRenamed("n", "n_pairs"), GROUPS)
 
 
-from parley.plans import analysis, files, integrity, loads, rules  # noqa: E402, F401  (their queries register themselves)
+from parley.plans import analysis, files, integrity, loads, reports, rules  # noqa: E402, F401  (their queries register themselves)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.cells import parse_cell
+from parley.functions.cells import dialogue_id, parse_cell
 from parley.operators.ranking import numbered
 from parley.sources.schemas import DIALOGUE, LLM_CALL, MANIFEST, SCENARIO
 
@@ -33,6 +33,24 @@ def dialogue_keys(spark: SparkSession, path: str) -> DataFrame:
     return text_csv(spark, path).select("scenario_id", "agent", F.col("repetition").cast("int").alias("repetition"))
 
 
+def unscored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(dialogue_id and reason, faults) of the table of dialogues that got no scores.
+
+    A blank reason is empty text; of rows that repeat an id the last counts, by file name and place in the file.
+    A repetition that is no integer makes the row a fault, and so does a missing key column.  Without a file both are empty.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "dialogue_id string, reason string"), spark.createDataFrame([], "scenario_id string, agent string, repetition string")
+    found = text_csv(spark, path)
+    cell = lambda c: F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c)
+    place = F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id())
+    rows = found.select(*map(cell, (*KEY, "reason")), place.alias("__place"))
+    number = F.regexp_extract("repetition", r"^\s*([+-]?[0-9]+)\s*$", 1).try_cast("int")
+    known = number.isNotNull() & F.col("scenario_id").isNotNull() & F.col("agent").isNotNull()
+    reasons = rows.where(known).groupBy(dialogue_id(F.col("scenario_id"), F.col("agent"), number).alias("dialogue_id")).agg(F.max_by(F.coalesce("reason", F.lit("")), "__place").alias("reason"))
+    return reasons, rows.where(~F.coalesce(known, F.lit(False))).select(*KEY)
+
+
 def unique_rows(rows: DataFrame, key: list[str]) -> DataFrame:
     """The rows, after a check that no key repeats."""
     if not rows.groupBy(*key).count().where("count > 1").isEmpty():
