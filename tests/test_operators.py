@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import cells, texts
-from parley.operators import agreement, audit, calls, cases, flow, joins, paired, ranking, replay, resampling, sampling, scoring, script, stats, twister
+from parley.operators import agreement, audit, calls, cases, flow, joins, paired, ranking, replay, resampling, sampling, scoring, script, stats, tables, twister
 from parley.plans import registry
 
 
@@ -293,3 +293,22 @@ def test_draws_over_tasks_equal_one_loop(spark):
     assert resampling.resampled(df.limit(0), ["metric"], n_resamples=150).count() == 0
     with pytest.raises(Exception, match="not finite"):
         resampling.resampled(df.withColumn("diff", F.lit(float("nan"))), ["metric"], n_resamples=5).collect()
+
+def test_draws_meet_values_a_bounded_number_of_times(spark):
+    rng = random.Random(7)
+    values = [rng.gauss(0, 3) for _ in range(90)]
+    df = spark.createDataFrame([("a", f"s{i:03d}", v) for i, v in enumerate(values)], "metric string, scenario_id string, diff double")
+    got = resampling.resampled(df, ["metric"], n_resamples=120, block=500, size=16, blocks=3, hold=32).first()
+    assert got["permutation_p"] == stats.permutation_two_sided(values, 120)
+    assert (got["ci_low"], got["ci_high"]) == stats.bootstrap_interval(values, 120)
+    bounds = spark.createDataFrame([(2, 10**10), (360_000, 36 * 10**8), (5, 50)], "__below long, __draws long")
+    blocks = {r["__below"]: r["count"] for r in resampling._blocks(bounds, resampling.BLOCK, resampling.BLOCKS).groupBy("__below").count().collect()}
+    assert blocks[5] == 1 and max(blocks.values()) <= resampling.BLOCKS + 1
+
+
+def test_intervals_of_the_wanted_cells_alone(spark):
+    rows = spark.createDataFrame([(c, f"{c}_{i}", "fsm", 1, float(i)) for c in ("edge", "happy_path") for i in range(5)], "category string, scenario_id string, agent string, repetition int, m1 double")
+    every = {r["stratum"]: r for r in tables.descriptive(rows, ["m1"], n_resamples=40).collect()}
+    some = {r["stratum"]: r for r in tables.descriptive(rows, ["m1"], n_resamples=40, drawn=F.col("stratum") == "edge").collect()}
+    assert some["edge"] == every["edge"] and set(some) == set(every)
+    assert some["overall"]["ci_low"] is None and some["overall"]["mean"] == every["overall"]["mean"]
