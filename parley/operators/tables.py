@@ -27,10 +27,10 @@ def missing_columns(rows: DataFrame, metric: str) -> DataFrame:
     return long.select("stratum", "agent", F.lit(metric).alias("metric"), F.col("total").alias("total_dialogues"), F.col("na").alias("na_dialogues"), F.when(F.col("total") > 0, F.col("na") / F.col("total")).alias("na_pct"), (F.col("total") - F.col("na")).alias("aggregatable_dialogues"), "complete_pairs", F.col("residual").alias("pairs_excluded_either_na"))
 
 
-def descriptive(rows: DataFrame, metrics: list[str], population: str | None = None, missing_of: str | None = None, n_resamples: int = 0, seed: int = SEED) -> DataFrame:
+def descriptive(rows: DataFrame, metrics: list[str], population: str | None = None, missing_of: str | None = None, n_resamples: int = 0, seed: int = SEED, drawn: Column | None = None) -> DataFrame:
     """metric x stratum x agent over scenario means: n, repetitions, mean, deviation, median, mean deviation inside.
 
-    ``n_resamples`` adds the seeded bootstrap interval of the mean, ``missing_of`` the missingness columns of that
+    ``n_resamples`` adds the seeded bootstrap interval of the mean (``drawn``: of those cells alone, null elsewhere), ``missing_of`` the missingness columns of that
     metric; a cell of it that has dialogues but no value is kept, with 0 scenarios and nulls.
     """
     scores = with_strata(aggregate_to_scenarios(long_metrics(rows, metrics))).where(F.col("agent").isin(*AGENTS))
@@ -40,8 +40,9 @@ def descriptive(rows: DataFrame, metrics: list[str], population: str | None = No
     middle = order_statistics(scores, [*GROUPS, "agent"], "mean", {"median": 0.5}).drop("n")
     table = table.join(middle, [*GROUPS, "agent"])
     if n_resamples:
-        ci = resampled(scores, [*GROUPS, "agent"], signs=False, n_resamples=n_resamples, seed=seed, value="mean").drop("n")
-        table = table.join(ci, [*GROUPS, "agent"])
+        asked = scores if drawn is None else scores.where(drawn)
+        ci = resampled(asked, [*GROUPS, "agent"], signs=False, n_resamples=n_resamples, seed=seed, value="mean").drop("n")
+        table = table.join(ci, [*GROUPS, "agent"], "left")
     if missing_of:
         lost = missing_columns(rows, missing_of).where("total_dialogues > 0")
         table = table.join(lost, [*GROUPS, "agent"], "full").fillna(0, ["n", "n_dialogues"])
@@ -89,10 +90,10 @@ def tests(rows: DataFrame, metrics: list[str], population: str, primary: list[st
     return with_holm(table, F.col("family") == "primary", primary) if n_resamples else table
 
 
-def analyze(populations: dict[str, DataFrame], metrics: list[str], primary: list[str], confirmatory: list[str], n_resamples: int = N_RESAMPLES, missing_of: str | None = None, n_checkable: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(descriptive, tests) over all populations of one experiment."""
+def analyze(populations: dict[str, DataFrame], metrics: list[str], primary: list[str], confirmatory: list[str], n_resamples: int = N_RESAMPLES, missing_of: str | None = None, n_checkable: str | None = None, drawn: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(descriptive, tests) over all populations of one experiment; ``drawn`` tells the cells of the descriptive table whose intervals are wanted."""
     union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    described = union([descriptive(rows, metrics, name, missing_of, n_resamples) for name, rows in populations.items()])
+    described = union([descriptive(rows, metrics, name, missing_of, n_resamples, drawn=drawn) for name, rows in populations.items()])
     tested = union([tests(rows, metrics, name, primary, confirmatory, n_resamples, missing_of=missing_of, n_checkable=n_checkable) for name, rows in populations.items()])
     return described, tested
 

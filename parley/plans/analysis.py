@@ -113,7 +113,8 @@ FROM scores WHERE metric IN ('m1', 'm3') AND category = 'edge' GROUP BY ALL)"""
 @query(f"{_primary_sql(E_SQL, 'semantic_primary')} UNION ALL {_primary_sql(FIRST_SQL, 'frozen_gate')}")
 def q_primary_rows(spark, sf):
     e = e_frame(spark, sf)
-    described, _ = tables.analyze({"semantic_primary": e, "frozen_gate": e.where("repetition = 1")}, METRICS, PRIMARY, ["semantic_primary"])
+    shown = (F.col("stratum") == "edge") & F.col("metric").isin(PRIMARY)  # Spark can't see through the draws that only these are taken
+    described, _ = tables.analyze({"semantic_primary": e, "frozen_gate": e.where("repetition = 1")}, METRICS, PRIMARY, ["semantic_primary"], drawn=shown)
     both = tables.primary_rows(described, "semantic_primary", PRIMARY, "edge").unionByName(tables.primary_rows(described, "frozen_gate", PRIMARY, "edge"))
     return rounded(both.withColumn("covered", F.col("mean").between(F.col("ci_low"), F.col("ci_high"))).select("population", "place", "metric", "agent", "n", "mean", "covered"))
 
