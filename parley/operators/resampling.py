@@ -160,7 +160,8 @@ def resampled_means(pairs: DataFrame, groups: list[str], kinds: tuple[str, ...],
         at = first
         for picks in _pieces(seed, b * words, words, below, modulus):
             for (what, n, last, low, _), (*_, (layers, sums)) in alike.items():
-                _add(sums, what, picks[: max(0, last - at)], at, first, n, low, layers)
+                if at < last:
+                    _add(sums, what, picks[: last - at], at, first, n, low, layers)
             at += len(picks)
         for (_, n, last, _, width), (*them, (_, sums)) in alike.items():
             resamples = first // n + np.arange(len(sums))
