@@ -112,6 +112,14 @@ def _blocks(bounds: DataFrame, size: int, most: int) -> DataFrame:
     return bounds.withColumn("__words", words).withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor(enough / F.col("__words")).cast("long"))))
 
 
+def value_slices(rows: DataFrame, groups: list[str], value: str, order: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """((groups, __slice, __cells), (groups, n)): the values in order, at most ``size`` in a row, and how many there are."""
+    placed = numbered(rows, [order], "__i", groups).withColumn("__i", F.col("__i") - 1)
+    cell = F.struct(F.col("__i").alias("i"), F.col(value).alias("v"))
+    slices = placed.groupBy(*groups, F.floor(F.col("__i") / size).alias("__slice")).agg(F.array_sort(F.collect_list(cell)).alias("__cells"))
+    return slices.withColumn("__cells", F.col("__cells.v")), placed.groupBy(*groups).agg(F.count("*").alias("n"))
+
+
 def resampled_means(pairs: DataFrame, groups: list[str], kinds: tuple[str, ...], n_resamples: int, seed: int, value: str, order: str, block: int, size: int, blocks: int = BLOCKS, hold: int = HELD) -> DataFrame:
     """(groups, __kind, __resample, n, mean): the mean of each resample, and of the values as resample -1.
 
@@ -120,11 +128,7 @@ def resampled_means(pairs: DataFrame, groups: list[str], kinds: tuple[str, ...],
     modulus = twister.characteristic()
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows that ask for much work are not put together
     there = pairs.where(F.col(value).isNotNull()).select(*groups, order, F.col(value).cast("double").alias("__value"))
-    placed = numbered(there, [order], "__i", groups).withColumn("__i", F.col("__i") - 1)
-    cell = F.struct(F.col("__i").alias("i"), F.col("__value").alias("v"))
-    slices = placed.groupBy(*groups, F.floor(F.col("__i") / size).alias("__slice")).agg(F.array_sort(F.collect_list(cell)).alias("__cells"))  # SLICE rows at most
-    slices = slices.withColumn("__cells", F.col("__cells.v"))
-    sizes = placed.groupBy(*groups).agg(F.count("*").alias("n"))
+    slices, sizes = value_slices(there, groups, "__value", order, size)
     kind = F.explode(F.array(*map(F.lit, kinds)))
     wanted = sizes.withColumn("__kind", kind).withColumn("__below", F.when(F.col("__kind") == "signs", F.lit(2)).otherwise(F.col("n")).cast("long"))
     wanted = wanted.withColumn("__draws", F.col("n") * n_resamples)

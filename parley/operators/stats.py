@@ -8,6 +8,7 @@ functions of lists here are the same on one machine.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Callable, Iterator
@@ -15,12 +16,13 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.ranking import average_ranks, numbered
-from parley.operators.resampling import N_RESAMPLES, SEED, resampled
+from parley.operators.ranking import average_ranks
+from parley.operators.resampling import BLOCKS, HELD, N_RESAMPLES, SEED, SLICE, resampled, value_slices
 
 
 def signed_rank_sums(pairs: DataFrame, groups: list[str]) -> DataFrame:
@@ -198,17 +200,68 @@ def bootstrap_mean_ci(pairs: DataFrame, groups: list[str], n_resamples: int = N_
     return resampled(pairs, groups, signs=False, n_resamples=n_resamples, seed=seed)
 
 
-def bootstrap_counter(pairs: DataFrame, groups: list[str], n_resamples: int, seed: int = SEED) -> DataFrame:
+#: Numbers whose digests are held at once.
+PLACES = 1 << 16
+
+
+def _counter_sums(b: range, seed: int, held: list[tuple]) -> list[list[float | None]]:
+    """For each resample of ``b`` the sums over values held, (n, first place, values, which are known): a digest is taken once for all."""
+    sums: list[list[float | None]] = [[None] * len(held) for _ in b]
+    top = max(n for n, *_ in held)
+    for at in range(0, top, PLACES):
+        places = [b"%d" % i for i in range(at, min(at + PLACES, top))]
+        for k, resample in enumerate(b):
+            prefix = b"%d:%d:" % (seed, resample)
+            drawn = np.frombuffer(b"".join([hashlib.md5(prefix + i).digest() for i in places]), ">u4")[::4].astype(np.int64)
+            for e, (n, low, values, known) in enumerate(held):
+                own = drawn[: max(0, n - at)] % n
+                if len(values) < n:
+                    own = own[(own >= low) & (own < low + len(values))] - low
+                own = own[known[own]]
+                if len(own):
+                    sums[k][e] = (sums[k][e] or 0.0) + float(values[own].sum())
+    return sums
+
+
+def bootstrap_counter(pairs: DataFrame, groups: list[str], n_resamples: int, seed: int = SEED, size: int = SLICE, hold: int = HELD) -> DataFrame:
     """Percentile interval with counter-based draws: draw i of resample b is md5(seed, b, i) modulo n.
 
-    Draws join their values by place, and places are dealt by range, so a group of any size spreads over tasks.
+    At most ``BLOCKS`` blocks of resamples meet the values, of which a task holds at most ``hold``; draws are not rows.
     """
-    sizes = pairs.groupBy(*groups).agg(F.count("*").alias("__n"))
-    placed = numbered(pairs.select(*groups, "scenario_id", "diff"), ["scenario_id"], "__i", groups).select(*groups, (F.col("__i") - 1).cast("int").alias("__i"), "diff")
-    draws = placed.select(*groups, "__i").join(sizes, groups).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("__n")
-    counts = draws.select(*groups, "__b", "__n", pick.cast("int").alias("__i")).groupBy(*groups, "__b", "__n", "__i").count()
-    means = counts.join(placed, [*groups, "__i"]).groupBy(*groups, "__b").agg((F.sum(F.col("diff") * F.col("count")) / F.first("__n")).alias("mean"))
+    tasks, block = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_resamples // BLOCKS)
+    slices, sizes = value_slices(pairs.select(*groups, "scenario_id", F.col("diff").cast("double").alias("diff")), groups, "diff", "scenario_id", size)
+    every = F.explode(F.sequence(F.lit(0), F.lit((n_resamples - 1) // block)))
+    met = slices.join(sizes, groups).withColumn("__block", every).repartition(tasks, "__block").sortWithinPartitions("__block", *groups, "__slice")
+    shape = T.StructType([met.schema[g] for g in groups]).add("n", "long").add("__b", "long").add("__sum", "double")
+
+    def summed(at: int, held: list) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches([row for row, *_ in held])
+        whole = [(n, low, np.concatenate(values), np.concatenate(known)) for _, n, low, values, known in held]
+        held.clear()
+        b = range(at * block, min((at + 1) * block, n_resamples))
+        for resample, sums in zip(b, _counter_sums(b, seed, whole), strict=True):
+            made = own.append_column("__b", pa.array([resample] * len(own), pa.int64())).append_column("__sum", pa.array(sums, pa.float64()))
+            yield from made.combine_chunks().to_batches()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before, held, length = None, None, [], 0
+        for rows in batches:
+            columns = [rows.column(c).to_pylist() for c in ("__block", "__slice", "n", *groups)]
+            for r, (at, slice_, n, *name) in enumerate(zip(*columns, strict=True)):
+                if held and (at != now or length >= hold):
+                    yield from summed(now, held)
+                    length = 0
+                if not held or name != before:
+                    now, before = at, name
+                    held.append((rows.slice(r, 1).select([*groups, "n"]), n, slice_ * size, [], []))
+                cells = rows.column("__cells")[r].values
+                held[-1][-2].append(cells.fill_null(0.0).to_numpy(zero_copy_only=False))
+                held[-1][-1].append(cells.is_valid().to_numpy(zero_copy_only=False))
+                length += len(cells)
+        if held:
+            yield from summed(now, held)
+
+    means = met.mapInArrow(draw, shape).groupBy(*groups, "__b").agg((F.sum("__sum") / F.first("n")).alias("mean"))
     return means.groupBy(*groups).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))
 
 

@@ -1,6 +1,7 @@
 """Operators on small literal tables with results worked out by hand."""
 
 import json
+import hashlib
 import random
 from fractions import Fraction
 
@@ -312,3 +313,16 @@ def test_intervals_of_the_wanted_cells_alone(spark):
     some = {r["stratum"]: r for r in tables.descriptive(rows, ["m1"], n_resamples=40, drawn=F.col("stratum") == "edge").collect()}
     assert some["edge"] == every["edge"] and set(some) == set(every)
     assert some["overall"]["ci_low"] is None and some["overall"]["mean"] == every["overall"]["mean"]
+
+
+def test_counter_draws_are_not_rows(spark):
+    rng = random.Random(3)
+    values = {"a": [rng.gauss(0, 2) for _ in range(50)], "b": [1.5], "c": [0.5, None, None]}
+    df = spark.createDataFrame([(g, f"s{i:02d}", v) for g, vs in values.items() for i, v in enumerate(vs)], "metric string, scenario_id string, diff double")
+    table = stats.bootstrap_counter(df, ["metric"], 130, size=8, hold=16)
+    got = {r["metric"]: r for r in table.collect()}
+    for g, vs in values.items():
+        drawn = [[vs[int(hashlib.md5(f"42:{b}:{i}".encode()).hexdigest()[:8], 16) % len(vs)] for i in range(len(vs))] for b in range(130)]
+        means = sorted(sum(x for x in d if x is not None) / len(vs) for d in drawn if any(x is not None for x in d))
+        assert [got[g]["ci_low"], got[g]["ci_high"]] == pytest.approx([stats.percentile(means, 2.5), stats.percentile(means, 97.5)])
+    assert "Join" not in str(table._jdf.queryExecution().analyzed()).split("MapInArrow")[0]
