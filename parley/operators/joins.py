@@ -34,21 +34,23 @@ def contains_join(needles: DataFrame, needle_id: str, needle: str, hay: DataFram
     """(needle_id, hay_id) pairs where ``text`` holds ``needle`` literally.
 
     Needles under five words (the outer two may be parts of words) have no inner run: automata of bounded
-    blocks of them read the texts.
+    blocks of them read the texts.  Runs are told apart by hash, as the text is checked; rows of runs carry no
+    text, and texts are not broadcast, as their size in memory can be a multiple of that in a shuffle.
     """
     split = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     n = needles.select(needle_id, F.col(needle).alias("__needle")).where(F.col("__needle").isNotNull()).withColumn("__w", split(F.col("__needle")))
-    inner = n.where(F.size("__w") >= RUN + 2).withColumn("__run", F.explode(_runs(F.slice(F.col("__w"), F.lit(2), F.size("__w") - 2))))
+    hashed = lambda w: F.explode(F.array_distinct(F.transform(_runs(w), lambda r: F.xxhash64(r)))).alias("__run")
+    inner = n.where(F.size("__w") >= RUN + 2).select(needle_id, hashed(F.slice(F.col("__w"), F.lit(2), F.size("__w") - 2)))
     h = hay.select(hay_id, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    runs = h.select(hay_id, F.explode(F.array_distinct(_runs(split(F.col("__text"))))).alias("__run"))
+    runs = h.select(hay_id, hashed(split(F.col("__text"))))
     seen = runs.join(inner.select("__run").distinct(), "__run", "left_semi")
     often = seen.groupBy("__run").agg(F.count("*").alias("__df"))
     # A run that no text has can't be contained: such needles drop out here.
-    missing = inner.select("__run").distinct().join(often, "__run", "left_anti")
-    dead = inner.join(missing, "__run", "left_semi").select(needle_id).distinct()
-    rarest = inner.join(often, "__run").join(dead, needle_id, "left_anti").withColumn("__r", F.row_number().over(Window.partitionBy(needle_id).orderBy("__df", "__run"))).where("__r = 1")
-    met = rarest.select(needle_id, "__needle", "__run").join(seen, "__run").select(needle_id, "__needle", hay_id)
-    found = met.join(h, hay_id).where(F.contains("__text", "__needle")).select(needle_id, hay_id)
+    rated = inner.join(often, "__run", "left").groupBy(needle_id).agg(F.min(F.struct("__df", "__run")).alias("__least"), F.count_if(F.col("__df").isNull()).alias("__lost"))
+    rarest = rated.where("__lost = 0").select(needle_id, F.col("__least.__run").alias("__run"))
+    met = rarest.join(seen, "__run").select(needle_id, hay_id).distinct()
+    beside = met.join(n.select(needle_id, "__needle").hint("merge"), needle_id)
+    found = beside.join(h.hint("merge"), hay_id).where(F.contains("__text", "__needle")).select(needle_id, hay_id)
     short = n.where(F.size("__w") < RUN + 2).select(F.col(needle_id).alias("nid"), F.col("__needle").alias("needle"))
     return found.unionByName(automaton_matches(short, h.select(F.col(hay_id).alias("hid"), F.col("__text").alias("text"))).toDF(needle_id, hay_id)).distinct()
 
@@ -112,8 +114,12 @@ def unique_attribution(pairs: DataFrame, needles: DataFrame, needle_id: str, hay
 
 
 def reconstruct(calls: DataFrame, call_text: str, answer: str, dialogues: DataFrame, key: str, transcript: str, latest: str) -> DataFrame:
-    """The last answer of the calls whose prompt holds exactly one dialogue's transcript."""
-    marked = calls.withColumn("__call", F.monotonically_increasing_id())
-    pairs = contains_join(dialogues, key, transcript, marked, "__call", call_text)
-    one = pairs.groupBy("__call").agg(F.count("*").alias("__n"), F.min(key).alias(key)).where("__n = 1").drop("__n")
-    return one.join(marked, "__call").groupBy(key).agg(F.max_by(answer, latest).alias(answer))
+    """The last answer of the calls whose prompt holds exactly one dialogue's transcript.
+
+    Equal prompts and equal transcripts meet once, however many there are.
+    """
+    prompts = calls.groupBy(call_text).agg(F.max_by(answer, latest).alias(answer), F.max(latest).alias(latest)).withColumn("__call", F.sha2(call_text, 256))
+    texts = dialogues.groupBy(transcript).agg(F.min(key).alias(key), F.count("*").alias("__same"))
+    pairs = contains_join(texts, key, transcript, prompts, "__call", call_text).join(texts.select(key, "__same"), key)
+    one = pairs.groupBy("__call").agg(F.sum("__same").alias("__n"), F.min(key).alias(key)).where("__n = 1").drop("__n")
+    return one.join(prompts.select("__call", answer, latest), "__call").groupBy(key).agg(F.max_by(answer, latest).alias(answer))

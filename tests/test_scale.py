@@ -73,3 +73,13 @@ def test_population_by_name(spark):
     assert [paired.named_population(rows, n, known).count() for n in known] == [3, 2, 1]
     with pytest.raises(ValueError, match="'other'"):
         paired.named_population(rows, "other", known)
+
+
+def test_equal_prompts_and_transcripts_meet_once(spark, monkeypatch):
+    same, own = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    talks = spark.createDataFrame([(i, same) for i in range(40)] + [(90, own), (91, "short"), (92, None)], "k int, t string")
+    calls = [(f"ask {same} end", "a", i) for i in range(40)] + [(f"ask {own} end", f"b{i}", i) for i in range(9)] + [("a short one", "c", 1), (f"{own} and {same}", "d", 99), (None, "e", 5)]
+    sizes, plain = [], joins.contains_join
+    monkeypatch.setattr(joins, "contains_join", lambda n, i, c, h, j, t: (sizes.append((n.count(), h.count())), plain(n, i, c, h, j, t))[1])
+    got = joins.reconstruct(spark.createDataFrame(calls, "p string, a string, at int"), "p", "a", talks, "k", "t", "at")
+    assert sorted(map(tuple, got.collect())) == [(90, "b8"), (91, "c")] and sizes == [(4, 5)]
