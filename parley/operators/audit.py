@@ -11,6 +11,16 @@ from parley.functions.cells import failure_class
 from parley.operators.ranking import numbered, order_statistics
 
 
+#: Jobs of a partition, in the mean: a task of the census sorts so many rows of each table.
+ROWS = 1 << 18
+
+
+def _dealt(jobs: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
+    """The jobs and tables dealt alike by key, before rows of a key are put together: as many partitions as there are jobs for."""
+    parts = -(-max(1, jobs.count()) // ROWS)
+    return [df.repartition(parts, key) for df in (jobs, *tables)]
+
+
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -22,6 +32,7 @@ def census(jobs: DataFrame, logs: DataFrame, frozen: DataFrame, sidecar: DataFra
     the others are key tables.  Execution comes first and is never rewritten: a job without a
     log is missing, one without records is empty.  ``anomalies`` names broken rules, or is empty.
     """
+    jobs, logs, frozen, sidecar, unscored, listed = _dealt(jobs, key, logs, frozen, sidecar, unscored, listed)
     flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
     # The least of several logs of a job counts, by its file where there is one; that there are several is a broken rule.
     fields = ["status", "n_records", "failure_kind", "failure_reason"]
@@ -55,6 +66,7 @@ def census(jobs: DataFrame, logs: DataFrame, frozen: DataFrame, sidecar: DataFra
 def anomalies(jobs: DataFrame, frozen: DataFrame, sidecar: DataFrame, audited: DataFrame, key: str) -> DataFrame:
     """(rule, key) of every violation, instead of the first alone."""
     named = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
+    jobs, frozen, sidecar = _dealt(jobs, key, frozen, sidecar)
     scored = sidecar.select(key).distinct()
     parts = [
         named(duplicates(jobs, [key]), "duplicate_job"),

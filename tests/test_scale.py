@@ -83,3 +83,13 @@ def test_equal_prompts_and_transcripts_meet_once(spark, monkeypatch):
     monkeypatch.setattr(joins, "contains_join", lambda n, i, c, h, j, t: (sizes.append((n.count(), h.count())), plain(n, i, c, h, j, t))[1])
     got = joins.reconstruct(spark.createDataFrame(calls, "p string, a string, at int"), "p", "a", talks, "k", "t", "at")
     assert sorted(map(tuple, got.collect())) == [(90, "b8"), (91, "c")] and sizes == [(4, 5)]
+
+
+def test_census_deals_rows_by_the_number_of_jobs(spark, monkeypatch):
+    monkeypatch.setattr(audit, "ROWS", 20)
+    ids = spark.range(100)
+    logs = ids.where("id <> 7").selectExpr("id", "'ok' AS status", "5 AS n_records", "CAST(NULL AS string) AS failure_kind", "CAST(NULL AS string) AS failure_reason")
+    none = ids.where("id < 0")
+    audited = audit.census(ids, logs, ids, ids, none.selectExpr("id", "'' AS reason"), none, "id")
+    assert [tuple(r) for r in audit.anomalies(ids, ids, ids, audited, "id").collect()] == [("missing_dialogue", "7")]
+    assert "hashpartitioning(id" in (plan := audited._jdf.queryExecution().executedPlan().toString()) and ", 5)" in plan
