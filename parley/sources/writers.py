@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most rows of a CSV file: a reader takes a file that may hold line breaks in cells in one task.
+ROWS = 1 << 18
+
+
 def csv_table(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None, allow_empty: bool = False) -> None:
-    """A report table as one CSV file: columns in order, null as an empty cell, booleans as True and False.
+    """A table as CSV: columns in order, null as an empty cell, booleans as True and False.
 
-    Only for report-sized tables: they meet in one file by design.
+    A report-sized table is one file; one of more than ``ROWS`` rows is as many as it takes, in the rows' order by their names.
     """
-    if not allow_empty and df.isEmpty():
+    n = df.limit(ROWS + 1).count()
+    if not n and not allow_empty:
         raise ValueError("refusing to write an empty table")
     kinds = dict(df.dtypes)
     cells = [F.initcap(F.col(c).cast("string")).alias(c) if kinds[c] == "boolean" else F.concat_ws(" ", c).alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns]
-    out = df.orderBy(*order) if order else df
-    out.select(*cells).coalesce(1).write.options(header=True, nullValue="", emptyValue="", escape='"').csv(path)
+    out = (df.orderBy(*order) if order else df).select(*cells)
+    (out if n > ROWS else out.coalesce(1)).write.options(header=True, nullValue="", emptyValue="", escape='"', maxRecordsPerFile=ROWS).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, partition: str | None = None) -> None:

@@ -76,3 +76,14 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("SELECT * FROM fold").collect()} == {("u", "a", 3, 1), ("v", "x", 0, 0)}
     events = spark.createDataFrame([("a",)], "kind string").withColumn("ts", F.current_timestamp())
     assert folds.windowed_counts(events, "ts", "kind").count() == 1
+
+
+def test_large_tables_are_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ROWS", 10)
+    df = spark.range(95).selectExpr("94 - id AS k", "'a\n' || id AS note")
+    writers.csv_table(df, str(tmp_path / "t"), ["k", "note"], ["k"])
+    files = sorted((tmp_path / "t").glob("*.csv"))
+    held = [[int(r["k"]) for r in readers.text_csv(spark, str(f)).collect()] for f in files]
+    assert len(held) >= 10 and max(map(len, held)) <= 10 and sum(held, []) == list(range(95))
+    writers.csv_table(df.limit(10), str(tmp_path / "u"), ["k"])
+    assert len(list((tmp_path / "u").glob("*.csv"))) == 1
