@@ -70,8 +70,26 @@ def optional(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
     return read(spark, path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def json_records(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Records of a closed schema with their file; strict refuses malformed ones, else they carry ``_corrupt``."""
+def bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of the small files that ``writers.bundle`` packed; readers take it in place of a path."""
+    return spark.read.schema("name string, value string").parquet(path)
+
+
+def whole_texts(spark: SparkSession, source: str | DataFrame, name: Column | None = None) -> DataFrame:
+    """(name, value) of text files at a path, by their path if ``name`` does not tell them apart, or of a bundle."""
+    if isinstance(source, DataFrame):
+        return source.select(F.col("name") if name is None else name.alias("name"), "value")
+    named = F.col("_metadata.file_path") if name is None else name
+    return spark.read.text(source, wholetext=True).select(named.alias("name"), "value")
+
+
+def json_records(spark: SparkSession, path: str | DataFrame, schema: str, strict: bool = True) -> DataFrame:
+    """Records of a closed schema, a line for each, with their file; strict refuses malformed ones, else they carry ``_corrupt``."""
+    if isinstance(path, DataFrame):
+        lines = path.select(F.col("name").alias("source_file"), F.explode(F.split("value", "\r?\n")).alias("line")).where(F.trim("line") != "")
+        full = schema if strict else schema + ", _corrupt string"
+        options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        return lines.select(F.from_json("line", full, options).alias("r"), "source_file").select("r.*", "source_file")
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("source_file", F.col("_metadata.file_name"))
     return spark.read.schema(schema + ", _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path).withColumn("source_file", F.col("_metadata.file_name"))
@@ -88,11 +106,11 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
     return json_records(spark, path, SCENARIO)
 
 
-def dialogues(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def dialogues(spark: SparkSession, path: str | DataFrame, strict: bool = True) -> DataFrame:
     logs = json_records(spark, path, DIALOGUE, strict)
     if strict:
         return logs
-    named = F.regexp_extract("source_file", r"^(.*)\.jsonl?$", 1)
+    named = F.regexp_extract("source_file", r"([^/]*)\.jsonl?$", 1)
     own = F.format_string("%s__%s__rep%02d", "scenario_id", "agent", "repetition")
     return logs.withColumn("dialogue_id", F.when(F.col("scenario_id").isNull(), named).otherwise(own))
 
@@ -112,9 +130,9 @@ def allowlist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ids array<string>").option("multiLine", True).json(path).select(F.explode("ids").alias("dialogue_id"))
 
 
-def fact_lines(spark: SparkSession, path: str) -> DataFrame:
+def fact_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, line_no, section, id, intent, text) of Markdown files: headings name a section, bullets carry the last one as intent."""
-    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    doc = whole_texts(spark, path).select(F.col("name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     head = F.regexp_extract("line", r"^## .*`([a-z_]+)`", 1)
     ident, text = (F.regexp_extract("line", r"^- \*\*(F[0-9]{2})\*\* — (.*)$", i) for i in (1, 2))
     down = F.last(F.when(head != "", head), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
@@ -122,7 +140,7 @@ def fact_lines(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("file", "line_no", some(head).alias("section"), some(ident).alias("id"), down.alias("intent"), F.trim(text).alias("text")).where("section IS NOT NULL OR id IS NOT NULL")
 
 
-def facts(spark: SparkSession, path: str) -> DataFrame:
+def facts(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Facts of Markdown files; within a file a section's intent is carried down to its bullets, and a fact before any section is an error."""
     owned = F.when(F.col("intent").isNotNull(), F.col("intent")).otherwise(F.raise_error(F.concat(F.col("id"), F.lit(" stands before any section"))))
     return fact_lines(spark, path).where("id IS NOT NULL").select("id", owned.alias("intent"), "text")
@@ -140,10 +158,10 @@ def user_data_fields(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("fields array<struct<key string, pattern string, example string, required_for array<string>>>").option("multiLine", True).json(path).select(F.inline("fields"))
 
 
-def prompts(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+def prompts(spark: SparkSession, path: str | DataFrame, name: Column | None = None) -> DataFrame:
     """(name, version, body) of prompt files that begin with a ``Version:`` line; ``name`` tells names that are not the file's."""
-    named = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[a-z]+$", 1) if name is None else name
-    files = spark.read.text(path, wholetext=True).select(named.alias("name"), "value")
+    own = F.col("name") if isinstance(path, DataFrame) else F.col("_metadata.file_name")
+    files = whole_texts(spark, path, F.regexp_extract(own, r"([^/]*)\.[a-z]+$", 1) if name is None else name)
     return files.select("name", F.regexp_extract("value", r"^Version:\s*([0-9]+)", 1).try_cast("int").alias("version"), F.regexp_replace(F.regexp_replace("value", r"^Version:[^\n]*\n", ""), r"^\s+|\s+$", "").alias("body"))
 
 

@@ -28,6 +28,11 @@ def csv_table(df: DataFrame, path: str, columns: list[str], order: list[str] | N
     (out if n > ROWS else out.coalesce(1)).write.options(header=True, nullValue="", emptyValue="", escape='"', maxRecordsPerFile=ROWS).csv(path)
 
 
+def bundle(df: DataFrame, path: str, name: str, text: str) -> None:
+    """Small text files packed in one table, a row for each: a folder and a file of its own cost more than what is in them."""
+    df.select(F.col(name).cast("string").alias("name"), F.col(text).alias("value")).write.parquet(path)
+
+
 def json_lines(df: DataFrame, path: str, partition: str | None = None) -> None:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition) if partition else writer).json(path)

@@ -87,3 +87,20 @@ def test_large_tables_are_many_files(spark, tmp_path, monkeypatch):
     assert len(held) >= 10 and max(map(len, held)) <= 10 and sum(held, []) == list(range(95))
     writers.csv_table(df.limit(10), str(tmp_path / "u"), ["k"])
     assert len(list((tmp_path / "u").glob("*.csv"))) == 1
+
+
+def test_packed_files_read_like_files(spark, tmp_path):
+    good = json.dumps({"scenario_id": "x", "agent": "fsm", "repetition": 1, "status": "ok"})
+    files = {"a/x.jsonl": good + "\n" + good + "\n", "b/y.jsonl": "{broken\n"}
+    texts = {"p/ask.md": "Version: 3\n\nServe.\n", "p/kb.md": "# KB\n\n## A (`a_b`)\n\n- **F01** \u2014 One.\n"}
+    for name, text in (files | texts).items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    pack = lambda held, at: (writers.bundle(spark.createDataFrame(list(held.items()), "n string, t string"), str(tmp_path / at), "n", "t"), readers.bundle(spark, str(tmp_path / at)))[1]
+    logs, docs = pack(files, "logs"), pack(texts, "docs")
+    shown = lambda df: sorted(map(str, df.collect()))
+    columns = ["dialogue_id", "scenario_id", "status", "_corrupt"]
+    assert shown(readers.dialogues(spark, logs, strict=False).select(columns)) == shown(readers.dialogues(spark, str(tmp_path / "[ab]"), strict=False).select(columns))
+    assert shown(readers.prompts(spark, docs)) == shown(readers.prompts(spark, str(tmp_path / "p"))) and shown(readers.facts(spark, docs)) == shown(readers.facts(spark, str(tmp_path / "p")))
+    with pytest.raises(Exception):
+        readers.dialogues(spark, logs).collect()
