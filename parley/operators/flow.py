@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.sources.scratch import written
+from parley.sources.scratch import scratch, written
 
 
 def expand_wildcards(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -25,23 +27,34 @@ def walks_within(edges: DataFrame, limit: int = 2) -> DataFrame:
     return reach
 
 
-def reachable(edges: DataFrame, initial: str | DataFrame) -> DataFrame:
-    """States that walks from the initial state or states reach, these included; an edge from ``*`` leads on from anywhere.
+def _rounds(first: DataFrame, hop: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``first`` and all that hops lead to, each once.
 
-    Semi-naive: each round joins the edges with the states of the last round alone and keeps what is new, so
-    all rounds together read each state's edges once.  Rounds are written, and only their emptiness is asked.
+    Semi-naive: each round hops from the rows of the last round alone and keeps what is new.  What was seen lies in
+    one folder, to which rounds are added, and meets the hops in one aggregation: it is never broadcast, so the
+    driver gets no seen row again each round, and a scan packs small rounds in a few tasks.
     """
+    spark, keys = first.sparkSession, first.columns
+    path = scratch(spark, "seen")
+    read = spark.read.schema(first.schema)
+    first.distinct().write.parquet(path)
+    frontier = seen = read.parquet(path)
+    while not frontier.isEmpty():
+        both = hop(frontier).select(*keys, F.lit(True).alias("__new")).union(seen.select(*keys, F.lit(False)))
+        frontier = written(both.groupBy(*keys).agg(F.bool_and("__new").alias("__new")).where("__new").select(*keys), "frontier")
+        frontier.write.mode("append").parquet(path)
+        seen = read.parquet(path)
+    return seen
+
+
+def reachable(edges: DataFrame, initial: str | DataFrame) -> DataFrame:
+    """States that walks from the initial state or states reach, these included; an edge from ``*`` leads on from anywhere."""
     spark = edges.sparkSession
-    start = spark.createDataFrame([(initial,)], "state string") if isinstance(initial, str) else initial.select("state").distinct()
+    start = spark.createDataFrame([(initial,)], "state string") if isinstance(initial, str) else initial.select("state")
     steps = written(edges.select(F.col("source").alias("state"), "dest").distinct(), "edges")
     anywhere = steps.where("state = '*'").select(F.col("dest").alias("state"))
-    frontier = written(start.union(anywhere).distinct(), "frontier") if not start.isEmpty() else start
-    seen = frontier
-    while not frontier.isEmpty():
-        hop = steps.join(frontier, "state").select(F.col("dest").alias("state")).distinct()
-        frontier = written(hop.join(seen, "state", "left_anti"), "frontier")
-        seen = seen.union(frontier)
-    return seen
+    first = start.union(anywhere) if not start.isEmpty() else start
+    return _rounds(first, lambda frontier: steps.join(frontier, "state").select(F.col("dest").alias("state")))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -50,12 +63,8 @@ def closure(edges: DataFrame) -> DataFrame:
     The result has a row for each pair, so it is for graphs whose closure is wanted, like a machine's.
     """
     one = written(edges.where("source <> '*'").select("source", "dest").distinct(), "edges")
-    frontier = seen = one
-    while not frontier.isEmpty():
-        hop = frontier.select("source", F.col("dest").alias("via")).join(one.select(F.col("source").alias("via"), "dest"), "via").select("source", "dest").distinct()
-        frontier = written(hop.join(seen, ["source", "dest"], "left_anti"), "frontier")
-        seen = seen.union(frontier)
-    return seen
+    on = one.select(F.col("source").alias("via"), "dest")
+    return _rounds(one, lambda frontier: frontier.select("source", F.col("dest").alias("via")).join(on, "via").select("source", "dest"))
 
 
 def orphans(edges: DataFrame, states: DataFrame, initial: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import agreement, checks, flow, inclusion, provenance, replay, validation
+from parley.sources.scratch import written
 
 LOGS = [
     ("edge_01__fsm__rep01", "failed", "instrument", "retry"), ("edge_02__fsm__rep01", "ok", None, None), ("edge_03__fsm__rep01", "failed", "simulation", "turns"),
@@ -172,6 +173,28 @@ def test_reachable_and_closure(spark):
     assert flow.reachable(chain, "0").count() == 10 and flow.closure(chain).count() == 45
 
 
+def test_rounds_do_not_send_what_was_seen_to_the_driver(spark, monkeypatch):
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(flow, "written", spied)
+    chain = [("e", str(i), str(i + 1)) for i in range(6)] + [("e", "0", "4"), ("e", "3", "1"), ("e", "2", None), ("e", "5", None)]
+    edges = spark.createDataFrame(chain, "event string, source string, dest string")
+    found, pairs = flow.reachable(edges, "0"), flow.closure(edges)
+    rounds = [p for p in plans if "Join" in p]
+    assert len(rounds) > 6
+    # Of a round's tables only the last round's rows, or the edges, may be broadcast, and no plan grows with the rounds.
+    assert all(p.count("BroadcastExchange") <= 1 and p.count("FileScan parquet") <= 3 for p in rounds)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert sorted((r.state for r in found.collect()), key=str) == sorted(["0", "1", "2", "3", "4", "5", "6", None], key=str)
+    got = [tuple(r) for r in pairs.collect()]  # an end that is null comes once too
+    assert len(got) == len(set(got))
+    assert set(got) == {(x, y) for x in "123" for y in "123456"} | {("0", y) for y in "123456"} | {("4", "5"), ("4", "6"), ("5", "6")} | {(x, None) for x in "012345"}
+
+
 def test_division(spark):
     pairs = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1), ("c", 2), ("c", 1), ("c", 3), ("d", None)], "k string, m int")
     wanted = spark.createDataFrame([(1,), (2,), (2,), (None,)], "m int")
